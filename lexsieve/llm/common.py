@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..storage import work_dir
+
 #: A side of a join (or a model shipped with a Python function) up to this size may be broadcast.
 BROADCAST_BYTES = 64 << 20
 
@@ -15,20 +16,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def work_dir(spark: SparkSession) -> str:
-    """Folder that all executors share: `spark.checkpoint.dir` of the session.
-
-    Only where that is unset, and only on a local master, a folder of this machine is taken instead.
-    """
-    for value in (spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.getCheckpointDir()):
-        if value:
-            return value.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lexsieve-"))
-    return spark.sparkContext.getCheckpointDir().rstrip("/")
-
-
 def written(df: DataFrame, label: str) -> DataFrame:
     """Write `df` as Parquet in the shared folder and return the reread table.
 
