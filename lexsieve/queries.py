@@ -215,7 +215,7 @@ def index_of(spark: SparkSession, d: str) -> str:
 
 
 _GRAM = """b AS (SELECT doc_id, text FROM documents),
-g AS (SELECT doc_id, unnest(list_distinct(list_transform(generate_series(1, (length(h) - {n2}) // 2 + 1), i -> h[2 * i - 1 : 2 * i + {n2} - 2]))) AS ngram FROM (SELECT doc_id, hex(text::BLOB) AS h FROM b) AS x WHERE length(h) >= {n2})"""
+g AS (SELECT doc_id, unnest(list_distinct(list_transform(generate_series(1, (length(h) - {n2}) // 2 + 1), lambda i: h[2 * i - 1 : 2 * i + {n2} - 2]))) AS ngram FROM (SELECT doc_id, hex(text) AS h FROM b) AS x WHERE length(h) >= {n2})"""
 
 
 @query("gram_trigrams", "WITH " + _GRAM.format(n2=6) + " SELECT ngram, count(*)::BIGINT AS docs FROM g GROUP BY ngram")
