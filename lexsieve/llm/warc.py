@@ -28,7 +28,7 @@ DICTIONARY_MAGIC = 0x184D2A5D
 FRAME_MAGIC = b"\x28\xb5\x2f\xfd"
 RECORD = "path string, record int, offset bigint, length bigint, type string, record_id string, target_uri string, date string, content_length bigint, content binary, error string"
 REQUIRED = ("warc-type", "warc-record-id", "warc-date", "content-length")
-#: An archive that the writer makes holds about this many bytes of records; the dictionary is of DICTIONARY_BYTES.
+#: An archive that the writer makes holds about this many bytes of records; its dictionary at most DICTIONARY_BYTES.
 ARCHIVE_BYTES, DICTIONARY_BYTES = 8 << 20, 16 << 10
 
 
@@ -150,9 +150,10 @@ def write_archive(records: list[bytes], level: int = 3) -> bytes:
     """An archive: a dictionary trained on the records (where they suffice), then a frame for each."""
     out, dictionary = [], None
     sample = [r[:8192] for r in records[:: max(1, len(records) // 200)]]
-    if sum(map(len, sample)) > 10 * DICTIONARY_BYTES and len(sample) >= 16:
+    size = min(DICTIONARY_BYTES, sum(map(len, sample)) // 10)
+    if size >= 1024 and len(sample) >= 16:
         try:
-            dictionary = zstandard.train_dictionary(DICTIONARY_BYTES, sample)
+            dictionary = zstandard.train_dictionary(size, sample)
         except zstandard.ZstdError:  # records that share too little
             dictionary = None
     if dictionary:
