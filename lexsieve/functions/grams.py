@@ -7,6 +7,7 @@ string holds a longer string that contains it holds too.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -15,6 +16,8 @@ from pyspark.sql import Column, functions as F
 from pyspark.sql.types import ArrayType, BinaryType, StringType
 
 SHORTEST, LONGEST = 3, 8
+#: Content of the documents whose posting lists are stored together.
+BLOCK_BYTES = 4 << 20
 
 
 @lru_cache(1)
@@ -57,46 +60,57 @@ def positions(data: np.ndarray, shortest: int = SHORTEST, longest: int = LONGEST
     return out
 
 
-def packed(data: np.ndarray, first: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(n-grams as big-endian numbers shifted to the top, their lengths) of all sparse n-grams, with repeats.
+def grams_of(text: bytes) -> list[bytes]:
+    """The distinct sparse n-grams of a string, sorted."""
+    return sorted({text[i : i + n] for n, at in positions(np.frombuffer(text, np.uint8)) for i in at.tolist()})
 
-    first: row number of each byte; n-grams across rows are left out.
-    """
-    keys, sizes = [], []
-    wide = data.astype(np.uint64)
+
+def gram_keys(data: np.ndarray) -> np.ndarray:
+    """The distinct sparse n-grams of bytes without NUL as big-endian numbers of 8 bytes, zeros after the end, sorted."""
+    parts, wide = [], data.astype(np.uint64)
     for n, at in positions(data):
-        if first is not None:
-            at = at[first[at] == first[at + n - 1]]
         key = np.zeros(len(at), np.uint64)
         for k in range(n):
             key |= wide[at + k] << np.uint64(8 * (7 - k))
-        keys.append(key)
-        sizes.append(np.full(len(at), n, np.uint8))
-    if not keys:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint8)
-    return np.concatenate(keys), np.concatenate(sizes)
+        parts.append(key)
+    return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
 
 
-def grams_of(text: bytes) -> list[bytes]:
-    """The distinct sparse n-grams of a string, sorted."""
-    data = np.frombuffer(text, np.uint8)
-    return sorted({text[i : i + n] for n, at in positions(data) for i in at.tolist()})
+def key_bytes(key: np.ndarray) -> pa.Array:
+    """The n-grams of keys as a binary array."""
+    raw = key.astype(">u8").view(np.uint8).reshape(-1, 8)
+    ends = np.concatenate([[0], np.cumsum((raw != 0).sum(1))]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(key), [None, pa.py_buffer(ends), pa.py_buffer(raw[raw != 0])])
 
 
 def distinct_grams(data: np.ndarray) -> pa.Array:
-    """The distinct sparse n-grams of the bytes as a binary array."""
-    key, size = packed(data)
-    if not len(key):
-        return pa.array([], pa.binary())
-    order = np.lexsort([size, key])
-    key, size = key[order], size[order]
-    new = np.ones(len(key), bool)
-    new[1:] = (key[1:] != key[:-1]) | (size[1:] != size[:-1])
-    key, size = key[new], size[new].astype(np.int64)
-    raw = key.astype(">u8").view(np.uint8).reshape(-1, 8)
-    body = raw[np.arange(8) < size[:, None]]
-    ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
-    return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(body))])
+    """The distinct sparse n-grams of the bytes as a binary array, in byte order."""
+    if (data == 0).any():  # a key then doesn't tell where its n-gram ends
+        return pa.array(grams_of(data.tobytes()), pa.binary())
+    return key_bytes(gram_keys(data))
+
+
+def posting_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, content without NUL) -> (ngram, block, doc_ids): inverted lists of runs of documents of about BLOCK_BYTES."""
+    for batch in batches:
+        ids, start, keys, size = batch.column(0), 0, [], 0
+        for i, value in enumerate(batch.column(1)):
+            data = np.frombuffer(value.as_buffer(), np.uint8)
+            keys.append(gram_keys(data))
+            size += len(data)
+            if size >= BLOCK_BYTES or i == batch.num_rows - 1:
+                yield _block(ids.slice(start, i + 1 - start), keys)
+                start, keys, size = i + 1, [], 0
+
+
+def _block(ids: pa.Array, keys: list[np.ndarray]) -> pa.RecordBatch:
+    key, doc = np.concatenate(keys), np.repeat(np.arange(len(keys)), [len(k) for k in keys])
+    order = np.argsort(key)
+    key = key[order]
+    head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    number = fnv1a_64(repr((ids[0].as_py(), ids[-1].as_py(), len(ids))).encode()) >> 1
+    lists = pa.ListArray.from_arrays(pa.array(np.append(head, len(key)).astype(np.int32)), ids.take(pa.array(doc[order])))
+    return pa.RecordBatch.from_arrays([key_bytes(key[head]), pa.array(np.full(len(head), number, np.int64)), lists], ["ngram", "block", "doc_ids"])
 
 
 @F.arrow_udf(ArrayType(BinaryType()))

@@ -1,6 +1,6 @@
 """The n-gram index: build, refresh, status, and pruned search.
 
-An index is a folder of versions, `v-...`, each with Parquet tables postings(ngram, doc_id), sorted by ngram, and
+An index is a folder of versions, `v-...`, each with Parquet tables postings(ngram, block, doc_ids), sorted by ngram, and
 files(doc_id, path, mtime_secs, content_hash); the file CURRENT names the version in force and its facts, and is put in
 place by one rename, so that a reader sees the old version or the new one and a failed build changes nothing.
 """
@@ -13,7 +13,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions.grams import sparse_grams
+from ..functions.grams import posting_blocks
 from ..plans import gram_query
 from ..plans.spec import SearchSpec
 from ..sources.corpus import INDEX_BYTES
@@ -22,6 +22,8 @@ from . import search as S
 
 FORMAT = 1
 CURRENT = "CURRENT.json"
+#: Corpora up to this size are spread over all cores before n-grams are extracted.
+SPREAD_BYTES = 1 << 30
 
 
 class NoIndex(LookupError):
@@ -36,10 +38,25 @@ def _prepared(corpus: DataFrame, max_bytes: int) -> DataFrame:
     return rows.select("doc_id", path.alias("path"), mtime.alias("mtime_secs"), F.col("text").cast("binary").alias("content"))
 
 
+def _spread(corpus: DataFrame) -> DataFrame:
+    """A small corpus over all cores, however few row groups it came in; a large one as it is read."""
+    size = int(corpus._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return corpus.repartition(corpus.sparkSession.sparkContext.defaultParallelism * 2) if size <= SPREAD_BYTES else corpus
+
+
+def extract_blocks(corpus: DataFrame, max_bytes: int = INDEX_BYTES) -> DataFrame:
+    """(ngram, block, doc_ids) of all distinct sparse n-grams of each document, inverted for runs of documents."""
+    rows = _prepared(_spread(corpus), max_bytes).select("doc_id", "content")
+    return rows.mapInArrow(posting_blocks, f"ngram binary, block bigint, doc_ids array<{rows.schema['doc_id'].dataType.simpleString()}>")
+
+
+def _long(blocks: DataFrame) -> DataFrame:
+    return blocks.select("ngram", F.explode("doc_ids").alias("doc_id"))
+
+
 def extract(corpus: DataFrame, max_bytes: int = INDEX_BYTES) -> DataFrame:
     """(ngram, doc_id) of all distinct sparse n-grams of each document."""
-    rows = _prepared(corpus, max_bytes)
-    return rows.select(F.explode(sparse_grams("content")).alias("ngram"), "doc_id")
+    return _long(extract_blocks(corpus, max_bytes))
 
 
 def _files(corpus: DataFrame, max_bytes: int) -> DataFrame:
@@ -50,7 +67,7 @@ def _write(spark: SparkSession, folder: Folder, postings: DataFrame, files: Data
     version = f"v-{uuid.uuid4().hex}"
     at = f"{folder.path}/{version}"
     # sorted by n-gram: a lookup reads the row groups whose range holds it
-    postings.repartitionByRange("ngram").sortWithinPartitions("ngram", "doc_id").write.parquet(f"{at}/postings")
+    postings.repartitionByRange("ngram").sortWithinPartitions("ngram").write.parquet(f"{at}/postings")
     files.write.parquet(f"{at}/files")
     n_files = spark.read.parquet(f"{at}/files").count()
     n_grams = spark.read.parquet(f"{at}/postings").select(F.count_distinct("ngram")).first()[0]
@@ -71,7 +88,7 @@ def build(corpus: DataFrame, path: str, force: bool = False, max_bytes: int = IN
             return refresh(corpus, path, max_bytes, corpus_version)
         except NoIndex:
             pass
-    return _write(spark, folder, extract(corpus, max_bytes), _files(corpus, max_bytes), corpus_version)
+    return _write(spark, folder, extract_blocks(corpus, max_bytes), _files(corpus, max_bytes), corpus_version)
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -90,10 +107,16 @@ def facts(spark: SparkSession, path: str) -> dict:
     return out
 
 
-def postings(spark: SparkSession, path: str) -> DataFrame:
+def posting_table(spark: SparkSession, path: str) -> DataFrame:
+    """(ngram, block, doc_ids) as stored."""
     return spark.read.parquet(f"{path.rstrip('/')}/{facts(spark, path)['version']}/postings")
 
 
+def postings(spark: SparkSession, path: str) -> DataFrame:
+    """(ngram, doc_id); a filter on ngram reaches the sorted files."""
+    return _long(posting_table(spark, path))
+
+
 def files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path.rstrip('/')}/{facts(spark, path)['version']}/files")
 
@@ -123,9 +146,10 @@ def refresh(corpus: DataFrame, path: str, max_bytes: int = INDEX_BYTES, corpus_v
     same = old.join(new, ["doc_id", "path", "mtime_secs"], "left_semi").select("doc_id")
     key = "path" if "path" in corpus.columns else "doc_id"
     fresh = corpus.join(old.join(same, "doc_id", "left_semi").select("path").withColumnRenamed("path", "__path"), F.col(key).cast("string") == F.col("__path"), "left_anti")
-    kept = postings(spark, path).join(same, "doc_id", "left_semi").select("ngram", "doc_id")
+    kept = posting_table(spark, path).select("ngram", "block", F.explode("doc_ids").alias("doc_id")).join(same, "doc_id", "left_semi")
+    kept = kept.groupBy("ngram", "block").agg(F.collect_list("doc_id").alias("doc_ids"))  # as long as a block has documents
     all_files = old.join(same, "doc_id", "left_semi").unionByName(_files(fresh, max_bytes))
-    return _write(spark, folder, kept.unionByName(extract(fresh, max_bytes)), all_files, corpus_version)
+    return _write(spark, folder, kept.unionByName(extract_blocks(fresh, max_bytes)), all_files, corpus_version)
 
 
 def is_stale(indexed: str | None, current: str | None) -> bool:
@@ -140,7 +164,7 @@ def status(spark: SparkSession, path: str) -> DataFrame:
         f = facts(spark, path)
     except NoIndex:
         return spark.createDataFrame([(False, *[None] * 7)], kinds)
-    n = postings(spark, path).count()
+    n = posting_table(spark, path).agg(F.coalesce(F.sum(F.size("doc_ids")), F.lit(0)).cast("bigint")).first()[0]
     return spark.createDataFrame([(True, f["format"], f["num_files"], f["num_ngrams"], n, f["corpus_version"], f["timestamp"], Folder(spark, path).size())], kinds)
 
 

@@ -220,8 +220,8 @@ g AS (SELECT doc_id, unnest(list_distinct(list_transform(generate_series(1, (len
 
 @query("gram_trigrams", "WITH " + _GRAM.format(n2=6) + " SELECT ngram, count(*)::BIGINT AS docs FROM g GROUP BY ngram")
 def gram_trigrams(spark: SparkSession, d: str) -> DataFrame:
-    rows = I.postings(spark, index_of(spark, d)).where(F.octet_length("ngram") == 3)
-    return rows.groupBy(F.hex("ngram").alias("ngram")).agg(F.count("*").alias("docs"))
+    rows = I.posting_table(spark, index_of(spark, d)).where(F.octet_length("ngram") == 3)
+    return rows.groupBy(F.hex("ngram").alias("ngram")).agg(F.sum(F.size("doc_ids")).alias("docs"))
 
 
 @query("gram_sparse")
@@ -231,7 +231,7 @@ def gram_sparse(spark: SparkSession, d: str) -> DataFrame:
 
 @query("gram_df")
 def gram_df(spark: SparkSession, d: str) -> DataFrame:
-    return I.postings(spark, index_of(spark, d)).groupBy(F.hex("ngram").alias("ngram")).agg(F.count("*").alias("docs"))
+    return I.posting_table(spark, index_of(spark, d)).groupBy(F.hex("ngram").alias("ngram")).agg(F.sum(F.size("doc_ids")).alias("docs"))
 
 
 @query("index_status", "SELECT TRUE AS exists, 1 AS format, count(*)::BIGINT AS num_files FROM documents")
