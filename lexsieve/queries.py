@@ -148,13 +148,9 @@ query("max_count", f"WITH {L}, r AS (SELECT *, row_number() OVER (PARTITION BY d
 query("max_results", f"WITH {L} SELECT doc_id, line_no, {_rtrim('line')} AS line FROM l WHERE contains(line, 'tion') ORDER BY doc_id, line_no LIMIT 25")(_docs(S.match_lines, SearchSpec("tion", max_results=25)))
 
 
-@query("sort_path", "SELECT page_id AS doc_id, regexp_replace(url, '^[a-z]+://', '') AS path, (row_number() OVER (ORDER BY string_split(regexp_replace(url, '^[a-z]+://', ''), '/') DESC, page_id) - 1)::BIGINT AS place FROM pages WHERE contains(html, 'idiot')")
-def sort_path(spark: SparkSession, d: str) -> DataFrame:
-    spec = SearchSpec("idiot", sort="path", sort_reverse=True)
-    rows = S.ordered(S.files_with(C.pages(spark, d), spec), spec)
-    # places follow the sorted partitions one after the other
-    return rows.rdd.zipWithIndex().map(lambda r: (*r[0], r[1])).toDF("doc_id bigint, path string, place bigint")
-
+query("sort_path", "SELECT page_id AS doc_id, regexp_replace(url, '^[a-z]+://', '') AS path FROM pages WHERE contains(html, 'idiot')")(
+    lambda spark, d: S.ordered(S.files_with(C.pages(spark, d), SearchSpec("idiot")), SearchSpec("idiot", sort="path", sort_reverse=True))
+)
 
 # document filters, over page URLs as paths
 
