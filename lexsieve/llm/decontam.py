@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import BROADCAST_BYTES, private, table, written
-from .tokens import U, slices, tokenise
+from .tokens import TOKENS_SQL, slices, tokenise
 
 N, MIN_TOKENS = 13, 5
 SHARE, SLOP = 0.8, 6
@@ -271,3 +271,23 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = N) -> Data
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_matches(build_index(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
+
+
+#: DuckDB SQL of op6_decontamination: all token pairs of equal words, by diagonal.
+ORACLE = f"""
+WITH b AS {TOKENS_SQL.format(id="item_id", text="text", table="benchmark")},
+d AS {TOKENS_SQL.format(id="doc_id", text="text", table="documents")},
+size AS (SELECT id AS item, count(*) AS n FROM b GROUP BY id HAVING count(*) >= {MIN_TOKENS}),
+m AS (SELECT b.id AS item, d.id AS doc, b.pos AS j, d.pos AS p, d.pos - b.pos AS diag FROM b JOIN d ON b.word = d.word SEMI JOIN size ON b.id = size.item),
+runs AS (SELECT item, doc, diag, min(j) AS j, min(p) AS p, count(*) AS n FROM
+  (SELECT *, j - row_number() OVER (PARTITION BY item, doc, diag ORDER BY j) AS run FROM m) AS x GROUP BY item, doc, diag, run),
+exact AS (SELECT runs.* FROM runs JOIN size ON runs.item = size.item WHERE runs.n >= least({N}, size.n)),
+near AS (SELECT m.item, m.doc, any_value(size.n - floor({1 - SHARE} * size.n + 1e-9)) AS need FROM m JOIN size ON m.item = size.item
+  ANTI JOIN exact ON m.item = exact.item AND m.doc = exact.doc GROUP BY m.item, m.doc HAVING count(DISTINCT m.j) >= need),
+leads AS (SELECT DISTINCT m.item, m.doc, near.need, m.diag - s.s AS lead FROM m JOIN near ON m.item = near.item AND m.doc = near.doc, range({SLOP + 1}) AS s(s)),
+hits AS (SELECT l.item, l.doc, l.lead, count(DISTINCT m.j) AS n, min(m.p) AS p FROM leads AS l JOIN m ON l.item = m.item AND l.doc = m.doc AND m.diag BETWEEN l.lead AND l.lead + {SLOP}
+  GROUP BY l.item, l.doc, l.lead, l.need HAVING count(DISTINCT m.j) >= l.need),
+best AS (SELECT *, row_number() OVER (PARTITION BY item, doc ORDER BY n DESC, p) AS k FROM hits)
+SELECT item AS item_id, doc AS doc_id, 'exact' AS kind, j::INT AS item_pos, p::INT AS doc_pos, n::INT AS n_tokens FROM exact
+UNION ALL SELECT item, doc, 'proximity', 0::INT, p::INT, n::INT FROM best WHERE k = 1
+"""

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import table
-from .tokens import U, slices, tokenise
+from .tokens import TOKENS_SQL, U, slices, tokenise
 
 SHARE = 0.8
 
@@ -145,3 +145,29 @@ def scan(docs: DataFrame, templates: list[tuple[str, str, list[str]]] = TEMPLATE
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
+
+
+def oracle() -> str:
+    """DuckDB SQL of op3_license_scan: all alignments of all templates, without an index."""
+    rows = []
+    for k, (name, text, phrases) in enumerate(TEMPLATES):
+        words = [w.decode() for w in _words(text)]
+        must = set()
+        for phrase in phrases:
+            p = [w.decode() for w in _words(phrase)]
+            at = next(i for i in range(len(words)) if words[i : i + len(p)] == p)
+            must |= set(range(at, at + len(p)))
+        low = int(np.ceil(SHARE * len(words) - 1e-9))
+        rows += [f"({k}, '{name}', {len(words)}, {low}, {len(must)}, {i}, '{w}', {i in must})" for i, w in enumerate(words)]
+    return f"""
+WITH t(template, license, size, low, musts, i, word, must) AS (VALUES {", ".join(rows)}),
+d AS {TOKENS_SQL.format(id="doc_id", text="text", table="documents")}
+SELECT d.id AS doc_id, t.license, t.template::INT AS template, (d.pos - t.i)::INT AS token_pos, round(count(*) / t.size::DOUBLE, 6) AS share
+FROM d JOIN t ON d.word = t.word GROUP BY d.id, t.license, t.template, d.pos - t.i, t.size, t.low, t.musts
+HAVING count(*) >= t.low AND count(*) FILTER (WHERE t.must) = t.musts
+"""
+
+
+def _words(text: str) -> list[bytes]:
+    t = tokenise(pa.array([text], pa.large_string()))
+    return [t.text[a:b].tobytes() for a, b in zip(t.start, t.end)]

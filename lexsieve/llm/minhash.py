@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from .common import BROADCAST_BYTES, private, table, written
 from .components import components
-from .tokens import U, mix, shingles, slices, tokenise
+from .tokens import TOKENS_SQL, U, mix, shingles, slices, tokenise
 
 SHINGLE, SLOTS, ROWS, THRESHOLD = 3, 128, 4, 0.5
 #: Rounds in which a bucket's members are compared with its smallest member; what is left is compared pair by pair.
@@ -179,3 +179,16 @@ def drop_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataF
 
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+#: DuckDB SQL of the groups that all pairs of documents give, without hashing.
+ORACLE = f"""
+WITH RECURSIVE t AS {TOKENS_SQL.format(id="doc_id", text="text", table="documents")},
+w AS (SELECT id, word, lead(word, 1) OVER o AS b, lead(word, 2) OVER o AS c, pos, count(*) OVER (PARTITION BY id) AS n FROM t WINDOW o AS (PARTITION BY id ORDER BY pos)),
+s AS (SELECT DISTINCT id, CASE WHEN n >= 3 THEN word || ' ' || b || ' ' || c WHEN n = 2 THEN word || ' ' || b ELSE word END AS gram FROM w WHERE c IS NOT NULL OR (n < 3 AND pos = 0)),
+size AS (SELECT id, count(*) AS n FROM s GROUP BY id),
+pairs AS (SELECT x.id AS x, y.id AS y, count(*) AS c FROM s AS x JOIN s AS y ON x.gram = y.gram AND x.id <> y.id GROUP BY x.id, y.id),
+near AS (SELECT x, y FROM pairs JOIN size AS a ON a.id = x JOIN size AS b ON b.id = y WHERE c >= {THRESHOLD} * (a.n + b.n - c)),
+reach AS (SELECT x, y FROM near UNION SELECT r.x, n.y FROM reach AS r JOIN near AS n ON r.y = n.x)
+SELECT x AS doc_id, min(y) AS group_id, x = min(y) AS keep FROM reach GROUP BY x
+"""

@@ -18,6 +18,9 @@ U = np.uint64
 SLICE_BYTES = 2 << 20
 TOKEN_PATTERN = r"[^\x00-\x2f:-@\[-`{-\x7f]+"
 
+#: The same tokens in DuckDB SQL: (id, word, pos) of a table's texts.
+TOKENS_SQL = "(SELECT {id} AS id, unnest(regexp_extract_all(lower({text}), '[^\\x{{00}}-\\x{{2f}}:-@\\[-`\\{{-\\x{{7f}}]+')) AS word, generate_subscripts(regexp_extract_all(lower({text}), '[^\\x{{00}}-\\x{{2f}}:-@\\[-`\\{{-\\x{{7f}}]+'), 1) - 1 AS pos FROM {table})"
+
 _WORD = np.zeros(256, bool)
 _WORD[np.frombuffer(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", np.uint8)] = True
 _WORD[128:] = True
