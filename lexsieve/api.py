@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 import time
@@ -93,6 +94,17 @@ def search_records(corpus: DataFrame, pattern: str, index: str | None = None, ma
     return found, stats
 
 
+def search_response(corpus: DataFrame, pattern: str, index: str | None = None, **options) -> str:
+    """search_records as one JSON text: {matches, stats}, or {error}.  At most max_results matches come to the driver."""
+    try:
+        found, stats = search_records(corpus, pattern, index, **options)
+        name = "path" if "path" in found.columns else "doc_id"
+        rows = [{"file": str(r[name]), "line": r["line_no"], "text": r["line"], **{k: r[k] for k in ("context_before", "context_after") if r[k]}} for r in found.collect()]
+        return json.dumps({"matches": rows, "stats": stats.first().asDict()}, indent=2, ensure_ascii=False)
+    except (ValueError, TypeError) as e:
+        return json.dumps({"error": str(e)})
+
+
 def index_status(spark: SparkSession, path: str) -> DataFrame:
     return I.status(spark, path)
 

@@ -180,6 +180,13 @@ def lookup(spark: SparkSession, path: str, ngrams: list[bytes]) -> DataFrame:
     return rows.groupBy("ngram").agg(F.array_sort(F.collect_set("doc_id")).alias("doc_ids"))
 
 
+def documents_with_all(spark: SparkSession, path: str, ngrams: list[bytes]) -> DataFrame:
+    """(doc_ids): the intersection of the n-grams' sorted posting lists; an n-gram that the index lacks has an empty one."""
+    lists = lookup(spark, path, ngrams).agg(F.collect_list("doc_ids").alias("lists"))
+    whole = F.when(F.size("lists") == len(set(ngrams)), F.aggregate(F.slice("lists", 2, F.greatest(F.size("lists") - 1, F.lit(0))), F.get("lists", F.lit(0)), lambda a, b: F.array_intersect(a, b)))
+    return lists.select(F.coalesce(whole, F.array().cast(lists.schema["lists"].dataType.elementType)).alias("doc_ids"))
+
+
 def delta_encoded(lists: DataFrame) -> DataFrame:
     """(ngram, first, gaps) of (ngram, doc_ids): sorted lists as differences; delta_decoded is its inverse."""
     ids = F.col("doc_ids")

@@ -16,7 +16,7 @@ from ..plans.spec import SearchSpec
 
 
 def _keys(docs: DataFrame) -> list[str]:
-    return [c for c in ("doc_id", "path", "mtime") if c in docs.columns]
+    return [c for c in ("doc_id", "path", "mtime", "atime", "created") if c in docs.columns]
 
 
 def searched(docs: DataFrame, spec: SearchSpec) -> DataFrame:
@@ -238,11 +238,12 @@ def json_lines(docs: DataFrame, spec: SearchSpec, path: str = "path") -> DataFra
 
 
 def ordered(rows: DataFrame, spec: SearchSpec) -> DataFrame:
-    """Rows by document attribute: path (by component), modified; then by line.  Unknown names mean path."""
+    """Rows by document attribute: path (by component), modified, accessed, created; then by line.  Unknown names mean path."""
+    times = {"modified": "mtime", "accessed": "atime", "created": "created"}
     if not spec.sort or spec.sort == "none":
         key = [F.col("doc_id")]
-    elif spec.sort in ("modified", "mtime") and "mtime" in rows.columns:
-        key = [F.col("mtime")]
+    elif times.get(spec.sort) in rows.columns:
+        key = [F.col(times[spec.sort])]
     else:
         key = [F.split(F.col("path" if "path" in rows.columns else "doc_id").cast("string"), "/")]
     if spec.sort_reverse:

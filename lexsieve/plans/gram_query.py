@@ -122,6 +122,15 @@ def candidates(postings: DataFrame, c: object) -> DataFrame:
     return sets.where(test(c)).select("doc_id")
 
 
+def candidates_in_cases(postings: DataFrame, literal: str) -> DataFrame:
+    """doc_id of documents that may hold the literal as it is, in lower case or in upper case.
+
+    Mixed case is missed, so no search prunes by this.
+    """
+    forms = sorted({literal, literal.lower(), literal.upper()})
+    return candidates(postings, either([condition(Node("lit", f)) for f in forms]))
+
+
 def strength(n_candidates: int, n_docs: int, prunable: bool) -> str:
     """'useless' without a condition, 'weak' if no or more than half of the documents remain, else 'strong'."""
     if not prunable:

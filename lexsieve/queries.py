@@ -246,6 +246,11 @@ def posting_lists(spark: SparkSession, d: str) -> DataFrame:
     return lists.select(F.col("ngram").cast("string").alias("ngram"), F.array_join("doc_ids", ",").alias("doc_ids"))
 
 
+@query("list_intersection", "SELECT string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS doc_ids FROM documents WHERE contains(text, 'MIT') AND contains(text, 'Rel')")
+def list_intersection(spark: SparkSession, d: str) -> DataFrame:
+    return I.documents_with_all(spark, index_of(spark, d), [b"MIT", b"Rel"]).select(F.array_join("doc_ids", ",").alias("doc_ids"))
+
+
 def _pruned(name: str, spec: SearchSpec, where: str) -> None:
     run = lambda spark, d: I.search_lines(C.documents(spark, d), index_of(spark, d), spec, current=True)
     query(name, f"WITH {L} SELECT doc_id, line_no, {_rtrim('line')} AS line FROM l WHERE {where}")(run)

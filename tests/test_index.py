@@ -8,9 +8,11 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from lexsieve import api
+from lexsieve.functions import codec as C
 from lexsieve.functions import grams as N
 from lexsieve.operators import index as I
 from lexsieve.operators import search as S
+from lexsieve.plans import gram_query
 from lexsieve.plans.spec import SearchSpec
 
 
@@ -175,3 +177,27 @@ def test_index_size_cap(spark, tmp_path):
     I.build(df, str(tmp_path / "i"), max_bytes=1024)
     assert _ids(I.files(spark, str(tmp_path / "i"))) == [2]
     assert _ids(S.files_with(I.candidates(df, str(tmp_path / "i"), SearchSpec("xxx")), SearchSpec("xxx"))) == [1]
+
+
+@pytest.mark.parametrize("ids", [[], [7], [0, 5, 10, 100, 500, 10000], list(range(100)), [0, 0, 1], [127, 128, 16383, 16384, 2**32 - 1, 2**62]])
+def test_codec(ids):
+    data = C.encode_list(ids)
+    assert C.decode_list(data).tolist() == ids
+    if len(ids) == 100:
+        assert len(data) < 4 * len(ids) / 3
+
+
+def test_codec_faults():
+    for bad in (b"\x80", b"\xff" * 11 + b"\x01"):
+        with pytest.raises(ValueError):
+            C.decode_list(bad)
+    with pytest.raises(ValueError):
+        C.encode_list([2, 1])
+
+
+def test_intersection_and_cases(spark, five):
+    _, path = five
+    assert I.documents_with_all(spark, path, [b"MAX", b"SIZ"]).first().doc_ids == [1, 2, 3]
+    assert I.documents_with_all(spark, path, [b"MAX", b"no!"]).first().doc_ids == []
+    found = gram_query.candidates_in_cases(I.postings(spark, path), "max_file_size")
+    assert _ids(found) == [1, 2, 3]

@@ -1,5 +1,7 @@
 """Corpora, file trees, path filters, file types, the surface and the entry module."""
 
+import io
+import json
 import os
 import subprocess
 import sys
@@ -8,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexsieve import api
+from lexsieve.__main__ import main
 from lexsieve.operators import search as S
 from lexsieve.plans.spec import SearchSpec
 from lexsieve.sources import corpus as C
@@ -123,3 +126,27 @@ def test_entry_without_the_optional_part(tmp_path):
     """The entry module imports, and has its queries, where the optional subpackage isn't there."""
     code = "import sys; sys.path.insert(0, %r); sys.modules['lexsieve.llm'] = None; import __spark_entry__ as e; assert 'match_lines' in e.queries() and not any(q.startswith('op') for q in e.queries()); assert set(e.oracle_sql()) <= set(e.queries())" % ROOT
     subprocess.run([sys.executable, "-c", code], check=True, cwd=tmp_path)
+
+
+def test_command_line(spark, tree, tmp_path, monkeypatch):
+    monkeypatch.setenv("LEXSIEVE_INDEX_DIR", str(tmp_path))
+
+    def run(*args):
+        out = io.StringIO()
+        return main([*args], spark, out), out.getvalue()
+
+    search = lambda *args: run("search", *args, "--path", tree)
+    assert run("index", tree)[0] == 0 and '"num_files": 6' in run("status", tree)[1]
+    assert search("main") == (0, "main.rs:fn main() {}\n") and search("absent") == (1, "")
+    assert search("-n", "--column", "-b", "-F", "main()") == (0, "main.rs:1:4:0:fn main() {}\n")
+    assert search("-l", "-e", "import", "-e", "fn") == (0, "main.rs\npkg/__init__.py\n") or search("-l", "-e", "import", "-e", "fn", "--sort", "path") == (0, "main.rs\npkg/__init__.py\n")
+    assert search("-c", "y", "-g", "*.py", "--sort", "path") == (0, "pkg/__init__.py:0\npkg/deep/y.py:1\n")
+    assert search("-q", "main")[0] == 0 and search("(", "-q")[0] == 2
+    assert search("--files", "-t", "py", "-0")[1].count("\0") == 2
+    assert search("--json", "import")[1].startswith('{"data":')
+    assert "1 matches found" in search("import", "--stats")[1]
+    assert search("x", "--sortr", "modified", "--max-results", "1")[0] == 0
+    assert run("type-list")[1].startswith("agda: ") and run("clear", tree)[0] == 0 and run("clear", tree)[0] == 1
+    got = json.loads(api.search_response(C.file_tree(spark, tree), "import", context_lines=1))
+    assert got["matches"] == [{"file": "pkg/__init__.py", "line": 1, "text": "import x"}] and got["stats"]["matches_found"] == 1
+    assert "error" in json.loads(api.search_response(C.file_tree(spark, tree), "("))
