@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lexsieve.llm.bpe import encode
-from lexsieve.llm.common import table, written
+from lexsieve.llm.common import small_batches, table, written
 from lexsieve.llm.decontam import drop_contaminated
 from lexsieve.llm.langid import keep_identified
 from lexsieve.llm.minhash import drop_near_duplicates
@@ -19,6 +19,7 @@ from lexsieve.llm.quality import keep_good
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told."""
+    small_batches(spark)
     return keep_identified(docs)
 
 
@@ -29,6 +30,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, and all others."""
+    small_batches(spark)
     return drop_near_duplicates(docs)
 
 
@@ -39,6 +41,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, ids, n_tokens, round_trip) of every document."""
+    small_batches(spark)
     return encode(docs)
 
 

@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
-from .tokens import buffer, slices
+from .tokens import buffer, give_back, slices
 
 #: Vocabulary file of base64 tokens and ranks; each executor reads it at this path.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -34,11 +34,11 @@ _PLAIN = re.compile(r" ?[^\W\d_]++|'(?:[sdmt]|ll|ve|re)| ?(?:[^\s\w]|_)++| ?\d++
 _ODD = re.compile("[^\x00-\x1b\x20-\xb1\xb4-\xb8\xba\xbb\xbf-\u02af\u2010-\u2027\u2030-\u205e]").search
 _EXACT = regex.compile(PATTERN).findall
 #: Distinct pieces remembered at once; beyond it a worker starts afresh, which changes no result.
-PIECES = 1_000_000
+PIECES = 400_000
 #: Ranks whose position lists are kept apart at a time; higher ones wait unsorted.
 BLOCK = 512
 #: Text whose new pieces are encoded together.
-GROUP_BYTES = 32 << 20
+GROUP_BYTES = 8 << 20
 
 
 class Vocabulary:
@@ -53,7 +53,7 @@ class Vocabulary:
                 if left is not None and right is not None:
                     pairs[left << 32 | right] = rank
         self.keys = np.array(sorted(pairs), np.int64)
-        self.ranks = np.array([pairs[k] for k in self.keys.tolist()], np.int64)
+        self.ranks = np.array([pairs[k] for k in self.keys.tolist()], np.int32)
         self.tokens = [b""] * (max(ranks.values()) + 1)
         self.double = np.zeros(len(self.tokens), bool)  # tokens that two equal halves make
         self.double[self.ranks[self.keys >> 32 == (self.keys & 0xFFFFFFFF)]] = True
@@ -65,25 +65,25 @@ class Vocabulary:
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of each pair, -1 if it has none."""
-        key = left << 32 | right
+        key = left.astype(np.int64) << 32 | right
         at = np.searchsorted(self.keys, key)
         at[at == len(self.keys)] = 0
-        return np.where(self.keys[at] == key, self.ranks[at], -1)
+        return np.where(self.keys[at] == key, self.ranks[at], np.int32(-1))
 
     def encode(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, bounds) of the pieces."""
         size = np.array([len(p) for p in pieces], np.int64)
         data = np.frombuffer(b"".join(pieces), np.uint8)
         n, first = len(data), np.concatenate([[0], np.cumsum(size)])
-        token, alive = self.byte[data], np.ones(n, bool)
-        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        token, alive = self.byte[data].astype(np.int32), np.ones(n, bool)
+        after, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
         last = first[1:][size > 0] - 1
         after[last] = -1
         before[first[:-1][size > 0]] = -1
-        now = np.full(n, -1, np.int64)  # rank of the pair that begins here
+        now = np.full(n, -1, np.int32)  # rank of the pair that begins here
         index: dict[int, list[np.ndarray]] = {}  # rank -> positions, for the ranks below `until`
         active: list[int] = []
-        later = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]  # (ranks, positions) from `until` on
+        later = [(np.zeros(0, np.int32), np.zeros(0, np.int32))]  # (ranks, positions) from `until` on
         until = 0
 
         def file(rank: np.ndarray, at: np.ndarray) -> None:
@@ -115,7 +115,7 @@ class Vocabulary:
             if len(at):
                 later.append((rank, at))
 
-        enter(np.arange(n))
+        enter(np.arange(n, dtype=np.int32))
         while True:
             if not active:
                 rank, at = (np.concatenate(x) for x in zip(*later))
@@ -142,7 +142,7 @@ class Vocabulary:
                     if p not in used:
                         chosen.append(p)
                         used.add(q)
-                at = np.array(chosen)
+                at = np.array(chosen, np.int32)
                 right = after[at]
             token[at], alive[right], now[right] = r, False, -1
             beyond = after[right]
@@ -234,6 +234,8 @@ def _encode(path: str):
                     waiting, size = [], 0
         if waiting:
             yield from flush(encoder, waiting)
+        encoder = None
+        give_back()
 
     def flush(encoder: Encoder, waiting: list) -> Iterator[pa.RecordBatch]:
         encoder.learn()

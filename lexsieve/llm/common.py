@@ -12,7 +12,18 @@ from ..storage import work_dir
 BROADCAST_BYTES = 64 << 20
 
 
+#: Rows go to Python in batches of this size, so that a worker's memory doesn't depend on how long texts are.
+BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Set BATCH on the session, unless it was configured."""
+    if not spark.sparkContext.getConf().contains(BATCH[0]):
+        spark.conf.set(*BATCH)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -89,11 +89,17 @@ def _fit(word: np.ndarray, row: np.ndarray, shape: np.ndarray, y: np.ndarray, st
         return w
     n = len(y)
     # words that go with the class beyond chance, by the likelihood ratio of their counts
-    a, b = np.bincount(word, y[row], 1 << WORD_BITS), np.bincount(word, 1 - y[row], 1 << WORD_BITS)
+    a, every = np.zeros(1 << WORD_BITS), np.zeros(1 << WORD_BITS)
+    for i in range(0, len(word), 1 << 19):  # a part at a time, for the driver's memory
+        part = word[i : i + (1 << 19)]
+        every += np.bincount(part, minlength=1 << WORD_BITS)
+        a += np.bincount(part, y[row[i : i + (1 << 19)]], 1 << WORD_BITS)
+    b = every - a
     q, have = y.mean(), np.maximum(a + b, 1)
     g2 = 2 * (a * np.log(np.maximum(a / have / q, 1e-9)) + b * np.log(np.maximum(b / have / (1 - q), 1e-9)))
     telling = g2 >= MIN_G2
-    row, word = row[telling[word]], word[telling[word]]
+    chosen = telling[word]
+    row, word = row[chosen], word[chosen]
     used, word = np.unique(word, return_inverse=True)
     theta = np.zeros(len(used) + SHAPE)
     theta[len(used)] = np.log(y.mean() / (1 - y.mean()))

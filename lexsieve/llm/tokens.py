@@ -7,6 +7,7 @@ Null texts count as empty texts.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -15,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U = np.uint64
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 TOKEN_PATTERN = r"[^\x00-\x2f:-@\[-`{-\x7f]+"
 
 #: The same tokens in DuckDB SQL: (id, word, pos) of a table's texts.
@@ -30,6 +31,15 @@ _R_INV = pow(_R, -1, 2**64)
 _powers: dict[int, np.ndarray] = {}
 
 
+def give_back() -> None:
+    """Return freed memory to the system: Python workers live on from task to task, and freed memory would stay with them."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser of splitmix64; a bijection of 64-bit words."""
     x = x ^ (x >> U(30))
@@ -77,6 +87,7 @@ def slices(arr: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, pa.Arr
         j = min(max(j, i + 1), n)
         yield i, arr.slice(i, j - i)
         i = j
+    give_back()
 
 
 @dataclass
