@@ -20,9 +20,8 @@ SHORTEST, LONGEST = 3, 8
 BLOCK_BYTES = 4 << 20
 
 
-@lru_cache(1)
-def pair_weights() -> np.ndarray:
-    """Weights of all 256 x 256 byte pairs."""
+def byte_classes() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(score, upper case, digit, sign) of each byte."""
     score = np.full(256, 40)
 
     def put(chars: str, value: int) -> None:
@@ -35,6 +34,13 @@ def pair_weights() -> np.ndarray:
     is_upper, is_digit, is_sign = (np.zeros(256, bool) for _ in range(3))
     is_upper[upper], is_digit[digits] = True, True
     is_sign[[ord(c) for c in "!@#$%^&*"]] = True
+    return score, is_upper, is_digit, is_sign
+
+
+@lru_cache(1)
+def pair_weights() -> np.ndarray:
+    """Weights of all 256 x 256 byte pairs."""
+    score, is_upper, is_digit, is_sign = byte_classes()
     cross = lambda a, b: a[:, None] & b | b[:, None] & a
     bonus = np.select([cross(is_upper, is_sign), cross(is_upper, is_digit), is_upper[:, None] & is_upper], [40, 20, 15], 0)
     a = np.arange(256)

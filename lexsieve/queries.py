@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .functions import text as T
-from .functions.grams import fnv1a
+from .functions.grams import byte_classes, fnv1a
 from .operators import index as I
 from .operators import search as S
 from .plans import gram_query
@@ -220,12 +220,29 @@ def gram_trigrams(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy(F.hex("ngram").alias("ngram")).agg(F.sum(F.size("doc_ids")).alias("docs"))
 
 
-@query("gram_sparse")
+def _grams_sql() -> str:
+    """CTEs up to g(doc_id, ngram in hex): the sparse n-grams by their definition, byte by byte."""
+    classes = ", ".join(f"('{v:02X}', {v}, {s}, {int(u)}, {int(d)}, {int(g)})" for v, (s, u, d, g) in enumerate(zip(*(x.tolist() for x in byte_classes()))))
+    near = lambda c, most: ", ".join(f"lead({c}, {k}) OVER o AS {c}{k}" for k in range(1, most + 1))
+    parts = []
+    for n in range(3, 9):
+        text = " || ".join(["x", *(f"x{k}" for k in range(1, n))])
+        inside = ", ".join(["0", *(f"w{k}" for k in range(1, n - 2))])
+        parts.append(f"SELECT doc_id, {text} AS ngram FROM q WHERE x{n - 1} IS NOT NULL AND least(w, w{n - 2}) > greatest({inside})")
+    return f"""c(x, v, s, u, d, g) AS (VALUES {classes}),
+t AS (SELECT doc_id, unnest(h) AS x, generate_subscripts(h, 1) AS i FROM (SELECT doc_id, regexp_extract_all(hex(text), '..') AS h FROM documents) AS b),
+e AS (SELECT doc_id, i, t.x, v, s, u, d, g, {", ".join(f"lead({c}) OVER o AS {c}n" for c in "vsudg")} FROM t JOIN c ON t.x = c.x WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+p AS (SELECT doc_id, i, x, s + sn + CASE WHEN u * gn + g * un > 0 THEN 40 WHEN u * dn + d * un > 0 THEN 20 WHEN u * un > 0 THEN 15 ELSE 0 END + ((31 * v + vn) & 15) AS w FROM e),
+q AS (SELECT doc_id, x, w, {near("x", 7)}, {near("w", 6)} FROM p WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+g AS (SELECT DISTINCT doc_id, ngram FROM ({" UNION ALL ".join(parts)}) AS a)"""
+
+
+@query("gram_sparse", f"WITH {_grams_sql()} SELECT (length(ngram) // 2)::INT AS bytes, count(*)::BIGINT AS postings, count(DISTINCT ngram)::BIGINT AS ngrams FROM g GROUP BY length(ngram)")
 def gram_sparse(spark: SparkSession, d: str) -> DataFrame:
     return I.extract(C.documents(spark, d)).groupBy(F.octet_length("ngram").alias("bytes")).agg(F.count("*").alias("postings"), F.count_distinct("ngram").alias("ngrams"))
 
 
-@query("gram_df")
+@query("gram_df", f"WITH {_grams_sql()} SELECT ngram, count(*)::BIGINT AS docs FROM g GROUP BY ngram")
 def gram_df(spark: SparkSession, d: str) -> DataFrame:
     return I.posting_table(spark, index_of(spark, d)).groupBy(F.hex("ngram").alias("ngram")).agg(F.sum(F.size("doc_ids")).alias("docs"))
 
@@ -235,7 +252,11 @@ def index_status(spark: SparkSession, d: str) -> DataFrame:
     return I.status(spark, index_of(spark, d)).select("exists", "format", "num_files")
 
 
-@query("content_hash")
+@query(
+    "content_hash",
+    """SELECT doc_id, lpad(lower(hex(list_reduce(list_prepend(14695981039346656037::UHUGEINT, list_transform(regexp_extract_all(hex(text), '..'), lambda b: ('0x' || b)::UHUGEINT)),
+ lambda x, y: (xor(x, y) * 1099511628211::UHUGEINT) % 18446744073709551616::UHUGEINT)::UBIGINT)), 16, '0') AS hash FROM documents""",
+)
 def content_hash(spark: SparkSession, d: str) -> DataFrame:
     return C.documents(spark, d).select("doc_id", fnv1a(F.col("text").cast("binary")).alias("hash"))
 
