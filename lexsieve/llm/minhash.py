@@ -22,7 +22,7 @@ from .common import BROADCAST_BYTES, private, table, written
 from .components import components
 from .tokens import TOKENS_SQL, U, mix, shingles, slices, tokenise
 
-SHINGLE, SLOTS, ROWS, THRESHOLD = 3, 128, 4, 0.5
+SHINGLE, SLOTS, ROWS, THRESHOLD = 3, 160, 4, 0.5
 #: Rounds in which a bucket's members are compared with its smallest member; what is left is compared pair by pair.
 LEADER_ROUNDS = 3
 
