@@ -2,7 +2,7 @@
 
 Two documents are near-duplicates if the Jaccard similarity of their sets of 3-token windows reaches the threshold;
 groups are the connected components.  Banding finds a pair of similarity s with probability 1 - (1 - s^rows)^bands;
-every pair used is verified on the whole sets.
+every pair so found is compared on the whole sets, unless others link it already.
 
 Defined results: null or token-less texts and null doc_id are in no group; rows that repeat a doc_id count as
 one document (its smallest text); texts of any length are read whole; an empty table gives an empty result;
@@ -23,7 +23,8 @@ from .components import components
 from .tokens import TOKENS_SQL, U, mix, shingles, slices, tokenise
 
 SHINGLE, SLOTS, ROWS, THRESHOLD = 3, 160, 4, 0.5
-#: Rounds in which a bucket's members are compared with its smallest member; what is left is compared pair by pair.
+#: Rounds in which a bucket's members are compared with its smallest member, and those that match it leave; then all
+#: members of a bucket that these matches don't link are compared pair by pair.
 LEADER_ROUNDS = 3
 
 
@@ -134,24 +135,28 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     members = same.where("doc_id = rep").select("doc_id", F.explode("bands").alias("key"))
     members = members.select("key", "doc_id", F.min("doc_id").over(bucket).alias("lead"), F.count("*").over(bucket).alias("n"))
     left = written(members.where("n > 1").drop("n"), "buckets")
-    found = []
-    for turn in range(LEADER_ROUNDS + 1):
-        if turn == LEADER_ROUNDS:
-            other = left.select("key", F.col("doc_id").alias("b"))
-            pairs = left.select("key", F.col("doc_id").alias("a")).join(other, "key").where("a < b").select("a", "b").distinct()
-        else:
-            pairs = left.where("doc_id <> lead").select(F.col("lead").alias("a"), F.col("doc_id").alias("b")).distinct()
+    buckets, found, differ = left, [], []
+    for _ in range(LEADER_ROUNDS):
+        pairs = left.where("doc_id <> lead").select(F.col("lead").alias("a"), F.col("doc_id").alias("b")).distinct()
         checked = _verified(written(pairs, "pairs"), sigs, threshold)
         found.append(checked.where("ok").select("a", "b"))
-        if turn == LEADER_ROUNDS:
-            break
-        apart = checked.where("not ok").select(F.col("a").alias("lead"), F.col("b").alias("doc_id"))
-        rest = left.join(apart, ["lead", "doc_id"], "left_semi")
+        differ.append(checked.where("not ok").select("a", "b"))
+        rest = left.join(differ[-1].toDF("lead", "doc_id"), ["lead", "doc_id"], "left_semi")
         rest = rest.select("key", "doc_id", F.min("doc_id").over(bucket).alias("lead"), F.count("*").over(bucket).alias("n"))
         left = written(rest.where("n > 1").drop("n"), "buckets")
         if not left.limit(1).count():
             break
-    roots = components(reduce(DataFrame.union, found))
+    roots = written(components(reduce(DataFrame.union, found)), "linked")
+    # whoever matched a lead left its bucket: all members of the whole buckets that aren't linked yet are compared
+    of = buckets.select("key", "doc_id").join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
+    several = of.withColumn("n", F.min("root").over(bucket) < F.max("root").over(bucket)).where("n").drop("n")
+    several = written(several, "unlinked")
+    if several.limit(1).count():
+        pairs = several.toDF("b", "key", "s").join(several.toDF("a", "key", "r"), "key").where("a < b and r <> s").select("a", "b").distinct()
+        pairs = pairs.join(reduce(DataFrame.union, differ), ["a", "b"], "left_anti")
+        more = _verified(written(pairs, "pairs"), sigs, threshold).where("ok").select("a", "b")
+        if more.limit(1).count():
+            roots = components(roots.toDF("a", "b").union(more))
     all_ids = same.select("doc_id", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
     all_ids = all_ids.select("doc_id", F.coalesce("root", "rep").alias("group_id"))
     sized = all_ids.withColumn("n", F.count("*").over(W.partitionBy("group_id"))).where("n > 1")

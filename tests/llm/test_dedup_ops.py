@@ -119,6 +119,26 @@ def test_hot_bucket(spark, monkeypatch, words):
     assert got == {i: i - i % 3 for i, _ in rows}
 
 
+def test_chains(spark, words):
+    """A~B, B~C, but not A~C: of 100 such groups at least 90 are found whole, though B matches A, which leads their buckets."""
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    rows = []
+    for g in range(100):
+        b = [word() for _ in range(200)]
+        c = b[:139] + [word() for _ in range(61)]
+        a = list(b)
+        for at in (20, 60, 100):
+            a[at] = word()
+        rows += [(3 * g + k, " ".join(t)) for k, t in enumerate((a, b, c))]
+    sets = _sets(rows, words)
+    like = lambda x, y: len(sets[x] & sets[y]) / len(sets[x] | sets[y])
+    assert all(like(3 * g, 3 * g + 1) > 0.9 and like(3 * g + 1, 3 * g + 2) >= 0.5 > like(3 * g, 3 * g + 2) for g in range(100))
+    got = {r.doc_id: r.group_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert all(g == i - i % 3 for i, g in got.items())
+    assert sum(3 * g + 2 in got and 3 * g + 1 in got for g in range(100)) >= 90
+
+
 def test_near_duplicates_awkward(awkward, nothing):
     got = {r.doc_id: (r.group_id, r.keep) for r in minhash.near_duplicates(awkward).collect()}
     assert got == {1: (1, True), 2: (1, False), 3: (1, False)}
