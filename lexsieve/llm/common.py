@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..storage import work_dir
 
@@ -43,3 +43,17 @@ def private(df: DataFrame, *wanted: str) -> str:
     while any(c.lower().startswith(prefix) for c in [*df.columns, *wanted]):
         prefix += "x"
     return prefix
+
+
+def keyed(docs: DataFrame, key: str) -> DataFrame:
+    """`docs` with a bigint column `key` that tells its rows apart: doc_id if that does.
+
+    If a doc_id is null or repeated it is a number that ascends by doc_id (nulls last), text and the other columns; the
+    table is then written once, so that a row's number stays as it is.
+    """
+    doc_id = F.col("doc_id").cast("bigint")
+    if not docs.groupBy(doc_id.alias(key)).count().where(f"{key} is null or count > 1").limit(1).count():
+        return docs.withColumn(key, doc_id)
+    others = [F.col(f"`{c}`").cast("string") for c in docs.columns if c not in ("doc_id", "text")]
+    ordered = docs.orderBy(doc_id.asc_nulls_last(), "text", F.xxhash64(F.lit(0), *others))
+    return written(ordered.withColumn(key, F.monotonically_increasing_id()), "keyed")

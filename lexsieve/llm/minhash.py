@@ -4,9 +4,9 @@ Two documents are near-duplicates if the Jaccard similarity of their sets of 3-t
 groups are the connected components.  Banding finds a pair of similarity s with probability 1 - (1 - s^rows)^bands;
 every pair so found is compared on the whole sets, unless others link it already.
 
-Defined results: null or token-less texts and null doc_id are in no group; rows that repeat a doc_id count as
-one document (its smallest text); texts of any length are read whole; an empty table gives an empty result;
-other columns are ignored.
+Defined results: null or token-less texts and null doc_id are in no group; rows that repeat a doc_id are one
+document, near to whatever any of its texts is near to, but are dropped each by its own text; texts of any length
+are read whole; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from .common import BROADCAST_BYTES, private, table, written
+from .common import BROADCAST_BYTES, keyed, private, table, written
 from .components import components
 from .tokens import TOKENS_SQL, U, mix, shingles, slices, tokenise
 
@@ -119,16 +119,9 @@ def _verified(pairs: DataFrame, sigs: DataFrame, threshold: float) -> DataFrame:
     return written(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_similar(threshold), "a bigint, b bigint, ok boolean"), "verified")
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """docs(doc_id, text) -> (doc_id, group_id, keep) of all documents in groups of two or more.
-
-    group_id is the group's smallest doc_id, which alone has keep = true.
-    """
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id is not null")
+def _linked(rows: DataFrame, threshold: float) -> DataFrame:
+    """rows(doc_id BIGINT, text), doc_id unique and not null -> (doc_id, group_id) of groups of two or more."""
     sigs = written(rows.mapInArrow(signatures, "doc_id bigint, fp bigint, bands array<bigint>, grams binary"), "signatures")
-    if sigs.groupBy("doc_id").count().where("count > 1").limit(1).count():
-        again = rows.groupBy("doc_id").agg(F.min("text").alias("text"))
-        sigs = written(again.mapInArrow(signatures, sigs.schema), "signatures")
     # documents of equal sets are one from here on
     same = written(sigs.select("doc_id", "fp", "bands", F.min("doc_id").over(W.partitionBy("fp")).alias("rep")), "same")
     bucket = W.partitionBy("key")
@@ -160,26 +153,36 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     all_ids = same.select("doc_id", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
     all_ids = all_ids.select("doc_id", F.coalesce("root", "rep").alias("group_id"))
     sized = all_ids.withColumn("n", F.count("*").over(W.partitionBy("group_id"))).where("n > 1")
-    return sized.select("doc_id", "group_id", (F.col("doc_id") == F.col("group_id")).alias("keep"))
+    return sized.select("doc_id", "group_id")
+
+
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """docs(doc_id, text) -> (doc_id, group_id, keep) of all documents in groups of two or more.
+
+    group_id is the group's smallest doc_id, which alone has keep = true.
+    """
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id is not null")
+    rows = keyed(rows, "row")
+    got = _linked(rows.select(F.col("row").alias("doc_id"), "text"), threshold)
+    if rows.where("row <> doc_id").limit(1).count():
+        name = rows.select("row", "doc_id")
+        links = got.toDF("row", "root").join(name.withColumnRenamed("doc_id", "a"), "row").join(name.toDF("root", "b"), "root")
+        got = components(links.select("a", "b")).toDF("doc_id", "group_id")
+    return got.select("doc_id", "group_id", (F.col("doc_id") == F.col("group_id")).alias("keep"))
 
 
 def drop_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of `docs` without those of documents that aren't their group's kept one; all columns stay.
+    """The rows of `docs` but those whose text is near to that of their group's kept row; all columns stay.
 
-    Of rows that repeat a doc_id one stays (that of the smallest text); rows of null doc_id all stay.
+    Kept is the row of the smallest doc_id, then text.  Rows without tokens and rows of null doc_id all stay.
     """
     p = private(docs)
-    gone = written(near_duplicates(docs, threshold).where("not keep").select(F.col("doc_id").alias(p)), "dropped")
+    docs = keyed(docs, p)
+    linked = _linked(docs.where("doc_id is not null").select(F.col(p).alias("doc_id"), "text"), threshold)
+    gone = written(linked.where("doc_id <> group_id").select(F.col("doc_id").alias(p)), "dropped")
     if gone.count() * 16 <= BROADCAST_BYTES:
         gone = F.broadcast(gone)
-    out = docs.join(gone, docs["doc_id"].cast("bigint") == F.col(p), "left_anti")
-    twice = docs.where("doc_id is not null").groupBy(F.col("doc_id").alias(p)).count().where("count > 1").select(p)
-    if twice.limit(1).count():
-        twice = written(twice, "repeated")
-        first = W.partitionBy("doc_id").orderBy(F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in out.columns if c != "text"])).orderBy("text")
-        once = out.join(twice, out["doc_id"] == F.col(p), "left_semi").withColumn(p, F.row_number().over(first)).where(f"{p} = 1").drop(p)
-        out = out.join(twice, out["doc_id"] == F.col(p), "left_anti").unionByName(once)
-    return out
+    return docs.join(gone, p, "left_anti").drop(p)
 
 
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

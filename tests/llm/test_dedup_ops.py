@@ -149,6 +149,15 @@ def test_near_duplicates_awkward(awkward, nothing):
     assert minhash.near_duplicates(nothing).count() == 0 and minhash.drop_near_duplicates(nothing).count() == 0
 
 
+def test_near_duplicates_repeated_ids(spark):
+    """Each row is judged by its own text."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(1, b), (1, a), (2, a), (3, b + " more"), (4, None), (4, ""), (4, c)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    assert {(r.doc_id, r.text) for r in minhash.drop_near_duplicates(docs).collect()} == {(1, a), (1, b), (4, None), (4, ""), (4, c)}
+    assert {(r.doc_id, r.group_id, r.keep) for r in minhash.near_duplicates(docs).collect()} == {(1, 1, True), (2, 1, False), (3, 1, False)}
+
+
 def _brute_exact(docs, items, words, n):
     out = set()
     items = {i: words(t) for i, t in items if i is not None and t is not None}
