@@ -13,7 +13,7 @@ Search, in each segment, for every benchmark item:
 
 Both are exact: nothing is capped or sampled, the order by rarity only saves work.
 
-Defined results: null doc_id or item_id, and texts without tokens, match nothing; items of fewer than MIN_TOKENS tokens
+Defined results: null doc_id (but in drop_contaminated) or item_id, and texts without tokens, match nothing; items of fewer than MIN_TOKENS tokens
 are too short to tell and match nothing; items of fewer than N tokens must occur whole; repeated rows match by
 themselves; an empty benchmark or table gives an empty result; other columns are ignored.
 """
@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import BROADCAST_BYTES, private, table, written
+from .common import BROADCAST_BYTES, keyed, private, table, written
 from .tokens import TOKENS_SQL, slices, tokenise
 
 N, MIN_TOKENS = 13, 5
@@ -261,12 +261,14 @@ def find_matches(index: DataFrame, benchmark: DataFrame, n: int = N) -> DataFram
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = N) -> DataFrame:
-    """The rows of `docs` that match no benchmark item, with all their columns; rows of null doc_id stay."""
+    """The rows of `docs` that match no benchmark item, with all their columns; each is judged by its own text."""
     p = private(docs)
-    hit = written(find_matches(build_index(docs), benchmark, n).select(F.col("doc_id").alias(p)).distinct(), "contaminated")
+    docs = keyed(docs, p)
+    index = build_index(docs.select(F.col(p).alias("doc_id"), "text"))
+    hit = written(find_matches(index, benchmark, n).select(F.col("doc_id").alias(p)).distinct(), "contaminated")
     if hit.count() * 16 <= BROADCAST_BYTES:
         hit = F.broadcast(hit)
-    return docs.join(hit, docs["doc_id"].cast("bigint") == F.col(p), "left_anti")
+    return docs.join(hit, p, "left_anti").drop(p)
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

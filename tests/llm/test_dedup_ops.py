@@ -246,6 +246,15 @@ def test_decontamination_awkward(spark, awkward, nothing):
     assert decontam.drop_contaminated(nothing, b).count() == 0
 
 
+def test_decontamination_rows(spark):
+    """Rows of null doc_id are searched too, and each row is judged by its own text."""
+    item = " ".join(f"w{i}" for i in range(20))
+    rows = [(None, "see " + item), (None, "clean text without it"), (1, item + " end"), (1, "clean as well"), (2, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    kept = decontam.drop_contaminated(docs, spark.createDataFrame([(7, item)], "item_id bigint, text string"))
+    assert {(r.doc_id, r.text) for r in kept.collect()} == {(None, "clean text without it"), (1, "clean as well"), (2, None)}
+
+
 def test_hadamard():
     h = np.array([[1.0]])
     while len(h) < 16:
