@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, functions as F
-from pyspark.sql.types import ArrayType, LongType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructType
 
 from ..plans.dialect import Pattern
 from ..plans.spec import SearchSpec
 
-SPAN = "array<struct<match:string,start:int,end:int>>"
+SPAN = ArrayType(StructType().add("match", StringType()).add("start", IntegerType()).add("end", IntegerType()))
 #: White space in the Unicode sense, of the line's end or beginning.
 _RIGHT, _LEFT = r"(?U)\s+\z", r"(?U)\A\s+"
 
@@ -49,6 +51,11 @@ def hit(line: Column, spec: SearchSpec) -> Column:
     return ~matches(line, spec) if spec.invert else matches(line, spec)
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value evaluated once a row; an expression that a lambda names is evaluated at each of its calls."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 @lru_cache(64)
 def _finder(python: str):
     return regex.compile(python).finditer
@@ -84,27 +91,49 @@ def spans_udf(pattern: Pattern):
     return spans
 
 
+@F.arrow_udf(SPAN)
+def _laid_out(found: pa.Array, gaps: pa.Array) -> pa.Array:
+    """Spans of the matches of a line, whose gaps (one more than matches) lie between and around them."""
+    n = np.asarray(pc.fill_null(pc.list_value_length(found), 0)).astype(np.int64)
+    texts, between = found.flatten(), gaps.flatten()
+    size, gap = (np.asarray(pc.binary_length(x)).astype(np.int64) for x in (texts, between))
+    row = np.repeat(np.arange(len(n)), n)
+    ends = np.concatenate([[0], np.cumsum(n)])
+    before = np.concatenate([[0], np.cumsum(gap)])[np.arange(len(size)) + 1 + row]  # all gaps up to a match, of all rows
+    first = np.concatenate([[0], np.cumsum(np.asarray(pc.fill_null(pc.list_value_length(gaps), 0)))])[:-1]
+    lead = np.concatenate([[0], np.cumsum(gap)])[first]
+    done = np.concatenate([[0], np.cumsum(size)])
+    start = before - lead[row] + done[:-1] - done[ends[:-1]][row]
+    rows = pa.StructArray.from_arrays([texts, pa.array(start.astype(np.int32)), pa.array((start + size).astype(np.int32))], ["match", "start", "end"])
+    null = np.asarray(found.is_null())
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), rows, mask=pa.array(null) if null.any() else None)
+
+
 def spans(line: Column, spec: SearchSpec) -> Column:
     """All matches as (match, start, end).
 
-    Without Python where no match is empty: the matches and the gaps between them follow from one another.
+    Where no match is empty the matches and the gaps between them are found in generated code, and only laid out in Python.
     """
     p = spec.compiled
     if p.may_be_empty:
         return spans_udf(p)(line)
-    found = F.regexp_extract_all(line, F.lit(p.java), F.lit(0))
-    gaps = F.split(line, p.java, -1)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
+    return _laid_out(F.regexp_extract_all(line, F.lit(p.java), F.lit(0)), F.split(line, p.java, -1))
 
-    def step(acc: Column, i: Column) -> Column:
-        a = acc["at"] + F.octet_length(F.get(gaps, i))
-        m = F.get(found, i)
-        b = a + F.octet_length(m)
-        return F.struct(b.alias("at"), F.concat(acc["out"], F.array(F.struct(m.alias("match"), a.alias("start"), b.alias("end")))).alias("out"))
 
-    count = F.size(found)
-    each = F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(each, start, step, lambda acc: acc["out"])
+@F.arrow_udf(ArrayType(StringType()))
+def _gaps(line: pa.Array, found: pa.Array) -> pa.Array:
+    """The texts before, between and after the spans of a line."""
+    out = []
+    for text, spans in zip(line, found):
+        if not text.is_valid:
+            out.append(None)
+            continue
+        raw, at, parts = text.as_buffer().to_pybytes(), 0, []
+        for m in spans.as_py():
+            parts.append(raw[at : m["start"]].decode())
+            at = m["end"]
+        out.append([*parts, raw[at:].decode()])
+    return pa.array(out, pa.list_(pa.string()))
 
 
 def match_count(line: Column, spec: SearchSpec) -> Column:
@@ -144,16 +173,9 @@ def replaced(line: Column, spec: SearchSpec) -> Column:
     if not p.may_be_empty:
         return F.regexp_replace(line, F.lit(p.java), F.lit(p.template(spec.replace)))
     # gaps and replaced matches, so that an empty match right after another is left alone
-    found = spans(line, spec)
-    raw = line.cast("binary")
-    template = F.lit(p.template(spec.replace))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, m: Column) -> Column:
-        gap = F.substring(raw, acc["at"] + 1, m["start"] - acc["at"]).cast("string")
-        return F.struct(m["end"].alias("at"), F.concat(acc["out"], gap, F.regexp_replace(m["match"], F.lit(r"\A(?:" + p.java + r")\z"), template)).alias("out"))
-
-    return F.aggregate(found, start, step, lambda acc: F.concat(acc["out"], F.substring(raw, acc["at"] + 1, F.octet_length(line)).cast("string")))
+    found, template = spans(line, spec), F.lit(p.template(spec.replace))
+    new = F.transform(found, lambda m: F.regexp_replace(m["match"], F.lit(r"\A(?:" + p.java + r")\z"), template))
+    return F.array_join(F.zip_with(_gaps(line, found), F.array_append(new, F.lit("")), lambda gap, m: F.concat(gap, m)), "")
 
 
 def shown(line: Column, spec: SearchSpec) -> Column:

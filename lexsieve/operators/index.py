@@ -11,7 +11,11 @@ import json
 import time
 import uuid
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 from ..functions.grams import posting_blocks
 from ..plans import gram_query
@@ -194,10 +198,26 @@ def delta_encoded(lists: DataFrame) -> DataFrame:
     return lists.select("ngram", F.get(ids, F.lit(0)).alias("first"), gaps.alias("gaps"))
 
 
+@F.arrow_udf(ArrayType(LongType()))
+def _running(first: pa.Array, gaps: pa.Array) -> pa.Array:
+    """The numbers that begin with `first` and grow by the gaps; none without a first."""
+    some = np.asarray(first.is_valid())
+    gap = np.asarray(pc.fill_null(gaps.flatten(), 0)).astype(np.int64)
+    n = np.where(some, np.asarray(pc.fill_null(pc.list_value_length(gaps), 0)) + 1, 0)
+    ends = np.concatenate([[0], np.cumsum(n)])
+    steps = np.zeros(ends[-1], np.int64)
+    head = ends[:-1][some]
+    inner = np.ones(len(steps), bool)
+    inner[head] = False
+    steps[inner] = gap
+    steps[head] = np.asarray(first.drop_null())
+    total = np.cumsum(steps)
+    base = np.repeat(np.concatenate([[0], total])[head], n[some])
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(total - base))
+
+
 def delta_decoded(lists: DataFrame) -> DataFrame:
-    start = F.when(F.col("first").isNull(), F.array().cast("array<bigint>")).otherwise(F.array("first"))
-    grow = lambda acc, gap: F.concat(acc, F.array(F.element_at(acc, -1) + gap))
-    return lists.select("ngram", F.aggregate("gaps", start, grow).alias("doc_ids"))
+    return lists.select("ngram", _running(F.col("first").cast("bigint"), "gaps").alias("doc_ids"))
 
 
 def candidates(corpus: DataFrame, path: str, spec: SearchSpec, current: bool = False) -> DataFrame:

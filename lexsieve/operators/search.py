@@ -188,19 +188,21 @@ def _context_array(spec: SearchSpec) -> Column:
     is_match is false for what only stands near a match, matches beyond max_count among them.
     """
     before, after = spec.lines_before, spec.lines_after
-    every = T.lines_of(F.col("text"))
-    hits = F.transform(every, lambda line: T.hit(line, spec))
-    if spec.max_count is not None:
-        places = F.filter(F.transform(hits, lambda h, i: F.when(h, i)), lambda i: i.isNotNull())
-        last = F.coalesce(F.get(places, F.lit(spec.max_count - 1)), F.size(hits)) if spec.max_count > 0 else F.lit(-1)
-        hits = F.transform(hits, lambda h, i: h & (i <= last))
-    rows = F.transform(F.arrays_zip(every.alias("line"), hits.alias("hit")), lambda r, i: F.struct((i + 1).alias("line_no"), r["line"].alias("line"), r["hit"].alias("is_match")))
 
-    def near(row: Column, i: Column) -> Column:
-        first = F.greatest(i - after, F.lit(0))
-        return F.exists(F.slice(hits, first + 1, i + before - first + 1), lambda h: h)
+    def around(x: Column) -> Column:
+        """The places of the matches and of their neighbours, ascending, out of all lines and their places of matches."""
+        last = F.size(x["line"]) - 1
+        near = F.transform(x["at"], lambda i: F.sequence(F.greatest(i - before, F.lit(0)), F.least(i + after, last)))
+        end = F.coalesce(F.element_at(x["at"], -1), F.lit(-1)) if spec.max_count != 0 else F.lit(-1)
+        row = lambda i: F.struct((i + 1).alias("line_no"), F.get(x["line"], i).alias("line"), (F.get(x["hit"], i) & (i <= end)).alias("is_match"))
+        return F.transform(F.array_distinct(F.flatten(near)), row)
+
+    def places(x: Column) -> Column:
+        at = F.filter(F.transform(x["hit"], lambda h, i: F.when(h, i)), lambda i: i.isNotNull())
+        return F.struct(x["line"].alias("line"), x["hit"].alias("hit"), (F.slice(at, 1, spec.max_count) if spec.max_count is not None else at).alias("at"))
 
-    return F.filter(rows, near)
+    hits = lambda every: F.struct(every.alias("line"), F.transform(every, lambda line: T.hit(line, spec)).alias("hit"))
+    return T.bound(T.lines_of(F.col("text")), lambda every: T.bound(hits(every), lambda x: T.bound(places(x), around)))
 
 
 def context(docs: DataFrame, spec: SearchSpec) -> DataFrame:
@@ -221,12 +223,19 @@ def context_records(docs: DataFrame, spec: SearchSpec) -> DataFrame:
     """(keys, line_no, line, context_before, context_after): each match with the lines before and after it, right-trimmed."""
     docs = promising(docs, spec)
     keys = _keys(docs)
-    every = T.lines_of(F.col("text"))
-    out = docs.where(_any_line(docs, spec)).select(*keys, every.alias("all"))
-    out = out.select(*keys, "all", F.posexplode(F.transform("all", lambda line: T.hit(line, spec))).alias("pos", "hit")).where("hit")
-    first = F.greatest(F.col("pos") - spec.lines_before, F.lit(0))
-    part = lambda at, n: F.transform(F.slice(F.col("all"), at + 1, n), T.trim_right)
-    out = out.select(*keys, (F.col("pos") + 1).alias("line_no"), T.trim_right(F.get("all", "pos")).alias("line"), part(first, F.col("pos") - first).alias("context_before"), part(F.col("pos") + 1, F.lit(spec.lines_after)).alias("context_after"))
+    hit = lambda every: F.filter(F.transform(every, lambda line, i: F.when(T.hit(line, spec), i)), lambda i: i.isNotNull())
+
+    def records(x: Column) -> Column:
+        part = lambda at, n: F.transform(F.slice(x["line"], at + 1, n), T.trim_right)
+
+        def record(i: Column) -> Column:
+            first = F.greatest(i - spec.lines_before, F.lit(0))
+            return F.struct((i + 1).alias("line_no"), T.trim_right(F.get(x["line"], i)).alias("line"), part(first, i - first).alias("context_before"), part(i + 1, F.lit(spec.lines_after)).alias("context_after"))
+
+        return F.transform(x["at"], record)
+
+    both = lambda every: T.bound(F.struct(every.alias("line"), hit(every).alias("at")), records)
+    out = docs.where(_any_line(docs, spec)).select(*keys, F.explode(T.bound(T.lines_of(F.col("text")), both)).alias("r")).select(*keys, "r.*")
     return _limited(out, spec, *keys[:1], "line_no")
 
 

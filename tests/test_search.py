@@ -180,3 +180,28 @@ def test_stream(spark, tmp_path):
     assert {r.doc_id for r in spark.read.parquet(str(tmp_path / "out")).where("ngram = X'626172'").collect()} == {1, 2}
     with pytest.raises(ValueError):
         match_stream(stream(), SearchSpec("foo", max_results=1))
+
+
+def test_long_inputs(spark):
+    """Context, spans and replacement take time in proportion to lines, and to matches of a line."""
+    import time
+
+    n = 100_000
+    many = spark.createDataFrame([(1, "\n".join(f"{'MATCH' if i % 3 == 0 else 'other'} {i}" for i in range(n)))], "doc_id bigint, text string").cache()
+    wide = spark.createDataFrame([(1, "é ab1 " * n)], "doc_id bigint, text string").cache()
+    spec = SearchSpec("MATCH", context=1)
+
+    def timed(rows):
+        began = time.monotonic()
+        return rows.collect(), time.monotonic() - began
+
+    S.match_lines(many, spec).count(), S.only_matching(wide, SearchSpec("[a-z]+1")).count()
+    lines, usual = timed(S.match_lines(many, spec))
+    near, took = timed(S.context(many, spec))
+    assert [r.line_no for r in near] == list(range(1, n + 1)) and sum(r.is_match for r in near) == len(lines) and took < 5 * usual + 10
+    records, took = timed(S.context_records(many, spec))
+    assert len(records) == len(lines) and records[1].context_before == ["other 2"] and records[-1].context_after == [] and took < 5 * usual + 10
+    found, took = timed(S.only_matching(wide, SearchSpec("[a-z]+1")))
+    assert [r.start for r in found] == [7 * i + 3 for i in range(n)] and {r.match for r in found} == {"ab1"} and took < 10
+    swapped, took = timed(S.match_lines(wide, SearchSpec("z*", replace="-")))
+    assert swapped[0].line.startswith("-é- -a-b-1- -é-") and took < 30
