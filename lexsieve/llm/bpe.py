@@ -34,11 +34,11 @@ _PLAIN = re.compile(r" ?[^\W\d_]++|'(?:[sdmt]|ll|ve|re)| ?(?:[^\s\w]|_)++| ?\d++
 _ODD = re.compile("[^\x00-\x1b\x20-\xb1\xb4-\xb8\xba\xbb\xbf-\u02af\u2010-\u2027\u2030-\u205e]").search
 _EXACT = regex.compile(PATTERN).findall
 #: Distinct pieces remembered at once; beyond it a worker starts afresh, which changes no result.
-PIECES = 400_000
+PIECES = 200_000
 #: Ranks whose position lists are kept apart at a time; higher ones wait unsorted.
 BLOCK = 512
 #: Text whose new pieces are encoded together.
-GROUP_BYTES = 8 << 20
+GROUP_BYTES = 2 << 20
 
 
 class Vocabulary:

@@ -12,14 +12,18 @@ from ..storage import work_dir
 BROADCAST_BYTES = 64 << 20
 
 
-#: Rows go to Python in batches of this size, so that a worker's memory doesn't depend on how long texts are.
-BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+#: Rows are read, and go to Python, in batches of this size, so that memory doesn't depend on how long texts are.
+BATCHES = {"spark.sql.execution.arrow.maxBytesPerBatch": "2m", "spark.sql.parquet.columnarReaderBatchSize": "512"}
+#: Row groups of written tables.
+ROW_GROUP_BYTES = 16 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Set BATCH on the session, unless it was configured."""
-    if not spark.sparkContext.getConf().contains(BATCH[0]):
-        spark.conf.set(*BATCH)
+    """Set BATCHES on the session, but what was configured."""
+    configured = spark.sparkContext.getConf()
+    for key, value in BATCHES.items():
+        if not configured.contains(key):
+            spark.conf.set(key, value)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,7 +37,7 @@ def written(df: DataFrame, label: str) -> DataFrame:
     This cuts the lineage: what follows survives the loss of executors without computing `df` again.
     """
     path = f"{work_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -152,14 +152,15 @@ def evidence(weights: np.ndarray):
     used = (weights[:, : 1 << WORD_BITS] != 0).any(0)
 
     @F.arrow_udf("good double, toxic double")
-    def score(text: pa.Array) -> pa.Array:
-        parts = []
-        for _, texts in slices(text):
-            word, row, shape = features(texts, used)
-            n = len(texts)
-            z = [np.round(np.clip(np.bincount(row, w[word], n) + shape @ w[1 << WORD_BITS :].astype(float), -12, 12), 6) for w in weights]
-            parts.append(pa.StructArray.from_arrays([pa.array(z[0]), pa.array(z[1])], ["good", "toxic"]))
-        return pa.chunked_array(parts, pa.struct([("good", pa.float64()), ("toxic", pa.float64())])).combine_chunks()
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for text in batches:
+            parts = []
+            for _, texts in slices(text):
+                word, row, shape = features(texts, used)
+                n = len(texts)
+                z = [np.round(np.clip(np.bincount(row, w[word], n) + shape @ w[1 << WORD_BITS :].astype(float), -12, 12), 6) for w in weights]
+                parts.append(pa.StructArray.from_arrays([pa.array(z[0]), pa.array(z[1])], ["good", "toxic"]))
+            yield pa.chunked_array(parts, pa.struct([("good", pa.float64()), ("toxic", pa.float64())])).combine_chunks()
 
     return score
 

@@ -16,7 +16,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U = np.uint64
-SLICE_BYTES = 1 << 20
+#: Text that is worked on at once, and text whose bytes are hashed at once.
+SLICE_BYTES, HASH_BYTES = 1 << 19, 1 << 17
 TOKEN_PATTERN = r"[^\x00-\x2f:-@\[-`{-\x7f]+"
 
 #: The same tokens in DuckDB SQL: (id, word, pos) of a table's texts.
@@ -28,9 +29,6 @@ _WORD[128:] = True
 _BYTE = np.random.Generator(np.random.PCG64(20231)).integers(0, 2**64, 256, dtype=U)
 _R = 0xD1342543DE82EF95
 _R_INV = pow(_R, -1, 2**64)
-_powers: dict[int, np.ndarray] = {}
-
-
 def give_back() -> None:
     """Return freed memory to the system: Python workers live on from task to task, and freed memory would stay with them."""
     pa.default_memory_pool().release_unused()
@@ -50,13 +48,13 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _power(base: int, n: int) -> np.ndarray:
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        steps = np.full(max(n, SLICE_BYTES + 1), U(base))
-        steps[0] = U(1)
-        have = _powers[base] = np.multiply.accumulate(steps)
-    return have[:n]
+def _powers(base: int) -> np.ndarray:
+    steps = np.full(HASH_BYTES + 1, U(base))
+    steps[0] = U(1)
+    return np.multiply.accumulate(steps)
+
+
+_UP, _DOWN = _powers(_R), _powers(_R_INV)
 
 
 def strings(arr: pa.Array | pa.ChunkedArray) -> pa.Array:
@@ -77,14 +75,14 @@ def buffer(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(arr: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, pa.Array]]:
-    """(first row, rows) of about `most` bytes each, whole rows only; a longer row comes alone."""
+def slices(arr: pa.Array, most: int = SLICE_BYTES, rows: int = 1 << 20) -> Iterator[tuple[int, pa.Array]]:
+    """(first row, rows) of about `most` bytes and at most `rows` rows each, whole rows only; a longer row comes alone."""
     arr = strings(arr)
     ends = buffer(arr)[1]
     i, n = 0, len(arr)
     while i < n:
         j = int(np.searchsorted(ends, ends[i] + most, "right")) - 1
-        j = min(max(j, i + 1), n)
+        j = min(max(j, i + 1), i + rows, n)
         yield i, arr.slice(i, j - i)
         i = j
     give_back()
@@ -98,13 +96,14 @@ class Tokens:
     end: np.ndarray
     text: np.ndarray  # that buffer
     offsets: np.ndarray  # byte range of a row in it
-    sums: np.ndarray  # of the rolling hash, at each byte
 
     def prefixes(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(hashes of the first k bytes, index) of the tokens longer than k bytes."""
         at = np.flatnonzero(self.end - self.start > k)
         start = self.start[at]
-        h = (self.sums[start + k] - self.sums[start]) * _power(_R_INV, len(self.text))[start]
+        h = np.zeros(len(at), U)
+        for j in range(k):
+            h += _BYTE[self.text[start + j]] * _UP[j]
         return mix(h + U(k + (1 << 32))), at
 
     @property
@@ -115,26 +114,53 @@ class Tokens:
         return np.repeat(np.arange(len(self.bounds) - 1), self.counts)
 
 
+def _places(text: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the tokens, SLICE_BYTES of text at a time."""
+    starts, ends, before, n = [], [], False, len(text)
+    kind = np.int32 if n < 1 << 31 else np.int64
+    for a in range(0, n, SLICE_BYTES):
+        word = _WORD[text[a : a + SLICE_BYTES]]
+        last = np.empty_like(word)
+        last[0], last[1:] = before, word[:-1]
+        cut = np.zeros(len(word), bool)  # row starts
+        lo, hi = np.searchsorted(offsets, [a, a + len(word)])
+        cut[offsets[lo:hi] - a] = True
+        starts.append((np.flatnonzero(word & (cut | ~last)) + a).astype(kind))
+        ends.append((np.flatnonzero(last & (cut | ~word)) + a).astype(kind))
+        before = word[-1]
+    if before:
+        ends.append(np.array([n], kind))
+    return np.concatenate([np.zeros(0, kind), *starts]), np.concatenate([np.zeros(0, kind), *ends])
+
+
+def _hashes(text: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of each token, HASH_BYTES of text at a time: the sum of its bytes' numbers times powers by their place."""
+    out, i = np.empty(len(start), U), 0
+    while i < len(start):
+        base = int(start[i])
+        j = max(i + 1, int(np.searchsorted(end, base + HASH_BYTES, "right")))
+        if int(end[i]) - base > HASH_BYTES:  # one very long token
+            total, scale = U(0), U(1)
+            with np.errstate(over="ignore"):
+                for a in range(base, int(end[i]), HASH_BYTES):
+                    part = _BYTE[text[a : min(a + HASH_BYTES, int(end[i]))]]
+                    total += (part * _UP[: len(part)]).sum(dtype=U) * scale
+                    scale *= _UP[HASH_BYTES]
+            out[i] = total
+        else:
+            part = text[base : int(end[j - 1])]
+            sums = np.zeros(len(part) + 1, U)
+            np.cumsum(_BYTE[part] * _UP[: len(part)], out=sums[1:])
+            a = start[i:j] - base
+            out[i:j] = (sums[end[i:j] - base] - sums[a]) * _DOWN[a]
+        i = j
+    return mix(out + (end - start).astype(U) * U(0x9E3779B97F4A7C15))
+
+
 def tokenise(arr: pa.Array) -> Tokens:
     text, offsets = buffer(strings(pc.utf8_lower(strings(arr))))
-    n = len(text)
-    if n == 0:
-        none = np.zeros(0, np.int64)
-        return Tokens(np.zeros(0, U), np.zeros(len(offsets), np.int64), none, none, text, offsets, np.zeros(1, U))
-    word = np.zeros(n + 1, bool)
-    np.take(_WORD, text, out=word[:n])
-    first = np.zeros(n + 1, bool)  # row starts
-    first[offsets] = True
-    before = np.empty(n + 1, bool)
-    before[0] = False
-    before[1:] = word[:-1]
-    start = np.flatnonzero(word & (first | ~before))
-    end = np.flatnonzero(before & (first | ~word))
-    sums = np.zeros(n + 1, U)
-    np.cumsum(_BYTE[text] * _power(_R, n), out=sums[1:])
-    h = (sums[end] - sums[start]) * _power(_R_INV, n)[start]
-    h = mix(h + (end - start).astype(U) * U(0x9E3779B97F4A7C15))
-    return Tokens(h, np.searchsorted(start, offsets), start, end, text, offsets, sums)
+    start, end = _places(text, offsets)
+    return Tokens(_hashes(text, start, end), np.searchsorted(start, offsets), start, end, text, offsets)
 
 
 def hash_words(words: list[str]) -> np.ndarray:
