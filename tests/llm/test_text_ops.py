@@ -75,7 +75,86 @@ def test_language_awkward(spark, awkward, nothing):
     kept = langid.keep_identified(awkward)
     assert kept.columns == awkward.columns and kept.where("doc_id = 9").count() == 2
     assert langid.identify_languages(nothing).count() == 0 and langid.keep_identified(nothing).count() == 0
-    assert not any(r.accepted for r in langid.identify_languages(awkward, {}).collect())
+    untrained = langid.profiles(nothing)
+    assert not any(r.accepted or r.detected for r in langid.identify_languages(awkward, untrained).collect())
+
+
+def _trigrams(text):
+    s = ""
+    for c in (text or "").lower():
+        if c.isalpha():
+            s += c
+        elif s and s[-1] != " ":
+            s += " "
+    return Counter(zip(s, s[1:], s[2:]))
+
+
+def test_language_brute_force(spark):
+    """The whole operator, trigram by trigram; all labelled documents train."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("n_chars < 4000")
+    rows = docs.collect()
+    assert max(Counter(r.lang for r in rows).values()) <= langid.TRAIN_PER_LANG
+    letter, gram = {}, {}
+
+    def vector(text):
+        out = np.zeros(langid.DIM)
+        for t, n in _trigrams(text).items():
+            if t not in gram:
+                a, b, c = (letter.setdefault(x, langid._letter_vector(ord(x), langid.DIM).astype(float)) for x in t)
+                gram[t] = np.roll(a, 2) * np.roll(b, 1) * c
+            out += n * gram[t]
+        return out / max(np.linalg.norm(out), 1e-30)
+
+    vectors = {r.doc_id: vector(r.text) for r in rows}
+    names = sorted({r.lang for r in rows})
+    prototypes = np.stack([sum(vectors[r.doc_id] for r in rows if r.lang == k) for k in names])
+    prototypes /= np.linalg.norm(prototypes, axis=1, keepdims=True)
+    length = {r.doc_id: sum(_trigrams(r.text).values()) for r in rows}
+    by_length = defaultdict(list)
+    for r in rows:
+        if length[r.doc_id]:
+            by_length[int(math.log2(length[r.doc_id]))].append(vectors[r.doc_id] @ prototypes[names.index(r.lang)])
+    least, last = [], langid.MIN_COSINE
+    for k in range(63):
+        if len(by_length[k]) >= langid.KNOWN:
+            last = max(langid.MIN_COSINE, langid.LENIENCE * np.quantile(by_length[k], langid.QUANTILE))
+        least.append(last)
+    got = {r.doc_id: r for r in langid.identify_languages(docs).collect()}
+    sure = 0
+    for i, v in vectors.items():
+        cos = prototypes @ v
+        order = np.argsort(-cos)
+        want = (cos[order[0]], cos[order[0]] - cos[order[1]])
+        assert got[i].detected == (names[order[0]] if length[i] else None)
+        assert (got[i].cosine, got[i].margin) == pytest.approx(want if length[i] else (0, 0), abs=1e-5)
+        slack = [want[0] - least[int(math.log2(max(length[i], 1)))], want[1] - langid.MIN_MARGIN]
+        if min(map(abs, slack)) > 1e-4 or not length[i]:
+            sure += 1
+            assert got[i].accepted == (length[i] > 0 and min(slack) > 0)
+    assert sure > 0.95 * len(rows)
+
+
+def test_language_gibberish(spark):
+    """Random letters and scripts without a prototype are rejected, declared documents are kept."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rng = np.random.default_rng(6)
+    word = lambda a, n: "".join(chr(c) for c in rng.integers(a, a + n, rng.integers(3, 9)))
+    odd = [(i, " ".join(word(*[(97, 26), (0x430, 32), (0x3B1, 25)][i % 3]) for _ in range([60, 300, 2000][i // 3 % 3]))) for i in range(90)]
+    model = langid.profiles(docs)
+    bad = langid.identify_languages(spark.createDataFrame(odd, "doc_id bigint, text string").selectExpr("*", "'xx' as lang"), model).collect()
+    assert np.mean([r.accepted for r in bad]) < 0.05
+    assert np.mean([r.accepted for r in langid.identify_languages(docs, model).collect()]) > 0.98
+
+
+def test_long_tokens():
+    """Tokens and texts longer than what is hashed or worked on at once; the hash of a token doesn't depend on its place."""
+    long = "ab" * tokens.HASH_BYTES
+    texts = [long + " x " + long, "y", "x" * (tokens.SLICE_BYTES + 7), "é" * tokens.SLICE_BYTES + " end", "end " + long + "!"]
+    t = tokens.tokenise(pa.array(texts))
+    assert t.counts.tolist() == [3, 1, 1, 2, 2]
+    h = t.hash.tolist()
+    assert h[0] == h[2] == h[8] and h[6] == h[7] and len(set(h)) == 6
+    assert tokens.tokenise(pa.array(texts[2:])).hash.tolist() == h[4:]
 
 
 def test_quality_held_out(spark):
