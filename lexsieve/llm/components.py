@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from .common import written
 
@@ -35,6 +35,11 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["u", "v"])
 
 
+def _least(edges: DataFrame) -> DataFrame:
+    """edges(u, v) with m, the least v of each u: aggregated before the shuffle, then joined, so that a node of very many edges is no single task."""
+    return edges.join(edges.groupBy("u").agg(F.min("v").alias("m")), "u")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """edges(a BIGINT, b BIGINT) -> (node, root): every node of an edge, and the smallest node it is linked with.
 
@@ -49,10 +54,8 @@ def components(edges: DataFrame) -> DataFrame:
             break
         state = new
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.withColumn("m", F.least("u", F.min("v").over(W.partitionBy("u"))))
-        large = low.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        m = F.min("v").over(W.partitionBy("u"))  # every u > v here
-        low = large.withColumn("m", m)
+        large = _least(both).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
+        low = _least(large)  # every u > v here
         small = low.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
         e = written(small.where("u <> v").distinct(), "stars")
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

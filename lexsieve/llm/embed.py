@@ -2,14 +2,18 @@
 
 A vector is normalised, padded to a power of two, and rotated by three rounds of random signs and Hadamard transform.
 Its hash is the axis, with sign, nearest to the result.  A table's key joins HASHES such hashes; vectors of equal keys
-in one of TABLES tables are candidates.  With multiprobe, one of the two sides also looks in the PROBES keys that lie
-next: those with one hash's nearest axis replaced by a later one, in the order of the least loss.  Each candidate pair
-is verified by its cosine.
-
-Defined results: null vectors, null vec_id, vectors with null or non-finite parts and zero vectors have no partners;
-vectors of another length than most have partners of their own length only; rows that repeat a vec_id are one vector
-(the first in order of its parts); equal vectors are a pair like others; an empty table gives an empty result; other
-columns are ignored.
+in one of the tables are candidates.  With multiprobe, one of the two sides also looks in the PROBES keys that lie
+next: those with one hash's nearest axis replaced by a later one, in the order of the least loss.  There are more tables
+for longer vectors, whose hashes are finer, so that recall at the threshold stays above 0.9.
+
+Equal vectors are one class, of which the least vec_id is looked up for all.  Candidates of a bucket are compared with
+its leaders (buckets.py), each pair by its cosine, and what is near is grouped: a result row for each vector, not for
+each of the pairs of a group.
+
+Defined results: null vectors, null vec_id, vectors with null or non-finite parts and zero vectors have no row; vectors
+of another length than most are near to vectors of their own length only; rows that repeat a vec_id are one vector (the
+first in order of its parts); equal vectors are near like others; a vector near to none is a group of itself, with links
+0; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,13 +22,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .buckets import linked
 from .common import table, written
 from .tokens import U, mix
 
 THRESHOLD = 0.9
-TABLES, HASHES, PROBES, SEED = 8, 3, 4, 10
+HASHES, PROBES, SEED = 3, 4, 10
+
+
+def tables_for(dim: int) -> int:
+    """Hash tables for vectors of a length: 8 up to 64 parts, 4 more for each doubling."""
+    return 8 + 4 * max(0, (dim - 1).bit_length() - 6)
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -80,51 +91,90 @@ def keys(x: np.ndarray, table_no: int, hashes: int = HASHES, probes: int = PROBE
     return np.stack(out, 1)
 
 
+def _units(column: pa.ListArray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(row numbers, unit vectors) of the usable vectors, for each length."""
+    column = column.cast(pa.list_(pa.float64()))
+    size = np.asarray(pc.fill_null(pc.list_value_length(column), 0))
+    flat, out = column.flatten(), []
+    values = flat.to_numpy(zero_copy_only=False)  # nulls become NaN
+    ends = np.cumsum(size)
+    for n in np.unique(size[size > 0]):
+        rows = np.flatnonzero(size == n)
+        x = values[(ends[rows] - n)[:, None] + np.arange(n)]
+        norm = np.linalg.norm(x, axis=1)
+        ok = np.isfinite(norm) & (norm > 0)
+        out.append((rows[ok], x[ok] / norm[ok, None]))
+    return out
+
+
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        rows: dict[int, list[tuple[int, np.ndarray]]] = {}
-        for vec_id, v in zip(b.column(0).to_pylist(), b.column(1)):
-            if vec_id is not None and v.is_valid:
-                x = np.array([np.nan if p is None else p for p in v.as_py()], float) if v.values.null_count else v.values.to_numpy().astype(float)
-                if len(x) and np.isfinite(x).all() and (size := np.linalg.norm(x)) > 0:
-                    rows.setdefault(len(x), []).append((vec_id, x / size))
-        for group in rows.values():
-            ids, x = np.array([g[0] for g in group], np.int64), np.stack([g[1] for g in group])
-            all_keys = np.concatenate([keys(x, t) for t in range(TABLES)], 1)
-            width = all_keys.shape[1]
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, all_keys.size + 1, width, dtype=np.int32)), pa.array(all_keys.ravel()))
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([v.astype("<f4").tobytes() for v in x], pa.binary()), lists], ["vec_id", "unit", "keys"])
+        b = b.filter(b.column(0).is_valid())
+        for rows, x in _units(b.column(1)):
+            for i in range(0, len(rows), 1024):
+                part, tables = x[i : i + 1024], tables_for(x.shape[1])
+                all_keys = np.concatenate([keys(part, t) for t in range(tables)], 1)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, all_keys.size + 1, all_keys.shape[1], dtype=np.int32)), pa.array(all_keys.ravel()))
+                unit = np.ascontiguousarray(part, "<f4")
+                ends = np.arange(len(part) + 1, dtype=np.int32) * 4 * x.shape[1]
+                units = pa.Array.from_buffers(pa.binary(), len(part), [None, pa.py_buffer(ends), pa.py_buffer(unit)])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows[i : i + 1024])), units, lists], ["vec_id", "unit", "keys"])
 
 
 def _checked(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cos = np.array([np.frombuffer(x.as_buffer(), "<f4").astype(float) @ np.frombuffer(y.as_buffer(), "<f4").astype(float) for x, y in zip(b.column(2), b.column(3))])
-            ok = cos >= threshold
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(ok)), b.column(1).filter(pa.array(ok)), pa.array(np.round(cos[ok], 6))], ["id_a", "id_b", "cosine"])
+            size = np.asarray(pc.binary_length(b.column(2)))
+            same = size == np.asarray(pc.binary_length(b.column(3)))
+            ok = np.zeros(b.num_rows, bool)
+            for n in np.unique(size[same]):
+                rows = np.flatnonzero(same & (size == n))
+                x, y = (np.frombuffer(b"".join(b.column(k).take(pa.array(rows)).to_pylist()), "<f4").reshape(len(rows), -1).astype(float) for k in (2, 3))
+                ok[rows] = np.einsum("ij,ij->i", x, y) >= threshold
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ok)], ["a", "b", "ok"])
 
     return run
 
 
-def near_pairs(embeddings: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """embeddings(vec_id, embedding) -> (id_a, id_b, cosine), id_a < id_b, of all pairs found with cosine >= threshold.
+def near_groups(embeddings: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """embeddings(vec_id, embedding) -> (vec_id, class_id, links), a row for each vector.
 
-    Every vector is a query.  Vectors and keys are written once; only ids and keys are shuffled to find candidates.
+    class_id is the smallest vec_id of the group that cosines of at least `threshold` link, directly or over others;
+    links is the number of other vectors in it.
     """
     rows = embeddings.select(F.col("vec_id").cast("bigint").alias("vec_id"), "embedding")
     hashed = written(rows.mapInArrow(_hashed, "vec_id bigint, unit binary, keys array<bigint>"), "hashed")
     if hashed.groupBy("vec_id").count().where("count > 1").limit(1).count():
         first = hashed.groupBy("vec_id").agg(F.min(F.struct("unit", "keys")).alias("r"))
         hashed = written(first.select("vec_id", "r.unit", "r.keys"), "hashed")
-    every = hashed.select("vec_id", F.posexplode("keys").alias("place", "key"))
-    own = every.where(F.pmod("place", F.lit(PROBES + 1)) == 0).select("key", F.col("vec_id").alias("x"))
-    probe = every.select("key", F.col("vec_id").alias("y"))
-    pairs = own.join(probe, "key").where("x <> y").select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
-    a = hashed.select(F.col("vec_id").alias("id_a"), F.col("unit").alias("u"))
-    b = hashed.select(F.col("vec_id").alias("id_b"), F.col("unit").alias("v"))
-    pairs = pairs.join(a, "id_a").join(b, "id_b").select("id_a", "id_b", "u", "v")
-    return pairs.mapInArrow(_checked(threshold), "id_a bigint, id_b bigint, cosine double")
+    print_of = F.md5("unit").alias("print")
+    classes = written(hashed.select("vec_id", print_of).groupBy("print").agg(F.min("vec_id").alias("rep")), "classes")
+    lead = hashed.join(classes.select(F.col("rep").alias("vec_id")), "vec_id", "left_semi")
+    members = lead.select(F.col("vec_id").alias("id"), F.posexplode("keys").alias("place", "key"))
+    # a vector's own key comes before its probes
+    members = members.select("key", "id", (F.pmod("place", F.lit(PROBES + 1)) == 0).alias("own"))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        a = hashed.select(F.col("vec_id").alias("a"), F.col("unit").alias("u"))
+        b = hashed.select(F.col("vec_id").alias("b"), F.col("unit").alias("v"))
+        return written(pairs.join(a, "a").join(b, "b").select("a", "b", "u", "v").mapInArrow(_checked(threshold), "a bigint, b bigint, ok boolean"), "verified")
+
+    roots = linked(members, verified)
+    of = classes.join(roots.toDF("rep", "root"), "rep", "left").select("print", F.coalesce("root", "rep").alias("class_id"))
+    found = hashed.select("vec_id", print_of).join(of, "print").select("vec_id", "class_id")
+    found = written(found, "classed")
+    sizes = found.groupBy("class_id").agg((F.count("*") - 1).alias("links"))
+    return found.join(sizes, "class_id").select("vec_id", "class_id", "links")
 
 
 def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_pairs(table(spark, sf_dir, "embeddings"))
+    return near_groups(table(spark, sf_dir, "embeddings"))
+
+
+#: DuckDB SQL of op10_embedding_dedup: all pairs of vectors, without hashing.
+ORACLE = f"""
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e, sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS size FROM embeddings),
+near AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v AS a JOIN v AS b ON len(a.e) = len(b.e) AND a.vec_id <> b.vec_id WHERE list_inner_product(a.e, b.e) >= {THRESHOLD} * a.size * b.size),
+reach AS (SELECT vec_id AS x, vec_id AS y FROM v UNION SELECT r.x, n.y FROM reach AS r JOIN near AS n ON r.y = n.x)
+SELECT x AS vec_id, min(y) AS class_id, count(*) - 1 AS links FROM reach GROUP BY x
+"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import decontam, license, minhash, sharding, warc
+from . import decontam, embed, license, minhash, sharding, warc
 from .bpe import op9_bpe
 from .decontam import op6_decontamination
 from .embed import op10_embedding_dedup
@@ -18,6 +18,6 @@ from .warc import op8_warc
 
 _ALL = (op1_quality, op2_sharding, op3_license_scan, op4_lm_scoring, op5_language_id, op6_decontamination, op7_minhash, op8_warc, op9_bpe, op10_embedding_dedup)
 QUERIES = {f.__name__: f for f in _ALL} | {"pipeline": corpus_pipeline.run}
-ORACLES = {"op2_sharding": sharding.oracle(), "op3_license_scan": license.oracle(), "op6_decontamination": decontam.ORACLE, "op7_minhash": minhash.ORACLE, "op8_warc": warc.ORACLE}
+ORACLES = {"op2_sharding": sharding.oracle(), "op3_license_scan": license.oracle(), "op6_decontamination": decontam.ORACLE, "op7_minhash": minhash.ORACLE, "op8_warc": warc.ORACLE, "op10_embedding_dedup": embed.ORACLE}
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
