@@ -1,6 +1,6 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
-The index is stored as Parquet in segments (runs of documents of about 2 MB): for each segment its sorted term hashes,
+The index is stored as Parquet in segments (runs of documents of about SLICE_BYTES): for each segment its sorted term hashes,
 list lengths and token positions.  Segments are independent, so building and searching need no shuffle.
 
 Search, in each segment, for every benchmark item:
@@ -13,15 +13,19 @@ Search, in each segment, for every benchmark item:
 
 Both are exact: nothing is capped or sampled, the order by rarity only saves work.
 
-Defined results: null doc_id (but in drop_contaminated) or item_id, and texts without tokens, match nothing; items of fewer than MIN_TOKENS tokens
-are too short to tell and match nothing; items of fewer than N tokens must occur whole; repeated rows match by
-themselves; an empty benchmark or table gives an empty result; other columns are ignored.
+The benchmark is the query set.  It is searched in blocks of about BLOCK_BYTES, each against all segments, so that neither
+the driver nor a worker ever holds more of it than a block (or one longer item).
+
+Defined results: null doc_id (but in drop_contaminated) or item_id, and texts without tokens, match nothing; items of
+fewer than N tokens, be it one, must occur whole; rows that repeat a doc_id or item_id match by themselves; an empty
+benchmark or table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,10 +34,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .common import BROADCAST_BYTES, keyed, private, table, written
 from .tokens import TOKENS_SQL, slices, tokenise
 
-N, MIN_TOKENS = 13, 5
+N = 13
 SHARE, SLOP = 0.8, 6
-#: Benchmark text that is searched at once; a larger benchmark is cut into packs of this size.
-PACK_BYTES = 4 << 20
+#: Benchmark text that is searched at once.
+BLOCK_BYTES = 4 << 20
+#: Places of near candidates that are looked up at once.
+PLACES = 1 << 18
 
 SEGMENT = "docs binary, bounds binary, terms binary, counts binary, positions binary"
 MATCH = "item_id bigint, doc_id bigint, kind string, item_pos int, doc_pos int, n_tokens int"
@@ -122,7 +128,7 @@ class Query:
 def _query(items: list, texts: pa.Array, n: int) -> Query:
     t = tokenise(texts)
     ids = np.array([-1 if x is None else x for x in items], np.int64)
-    ok = (t.counts >= MIN_TOKENS) & np.array([x is not None for x in items], bool)
+    ok = (t.counts > 0) & np.array([x is not None for x in items], bool)
     bounds = np.concatenate([[0], np.cumsum(t.counts[ok])])
     return Query(ids[ok], t.hash[np.repeat(ok, t.counts)], bounds, n)
 
@@ -177,31 +183,45 @@ def _near(s: Segment, q: Query, term: np.ndarray, count: np.ndarray) -> tuple[np
     reach = np.arange(len(key)) + need - 1
     ok = reach < len(key)
     ok[ok] = key[reach[ok]] - key[ok] <= SLOP
-    heads = np.flatnonzero(ok)
-    found = {}
-    for k in heads.tolist():
-        i = int(item[k])
-        d = int(key[k] - (i << 40) - (1 << 32))
-        tokens = np.arange(q.bounds[i], q.bounds[i + 1])
-        for lead in range(d - SLOP, d + 1):
-            if (i, lead) in found:
-                continue
-            where = lead + q.offset[tokens][:, None] + np.arange(SLOP + 1)
-            hit = s.has(np.repeat(term[tokens], SLOP + 1), where.ravel()).reshape(where.shape)
-            docs = s.document(np.clip(where, 0, s.bounds[-1] - 1))
-            best = (0, 0, 0)
-            for doc in np.unique(docs[hit]).tolist():
-                inside = hit & (docs == doc)
-                n = int(inside.any(1).sum())
-                if n > best[0]:
-                    best = (n, doc, int(where[inside].min()))
-            found[i, lead] = best
-    rows = {}
-    for (i, _), (n, doc, start) in found.items():
-        if n >= q.size[i] - missing[i] and (n, -start) > rows.get((i, doc), (0, 0)):
-            rows[i, doc] = (n, -start)
-    out = sorted((i, doc, -start, n) for (i, doc), (n, start) in rows.items())
-    return tuple(np.array(x, np.int64) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 4
+    leads = np.unique((np.unique(key[ok])[:, None] - np.arange(SLOP + 1)).ravel())  # item << 40 | lead, shifted
+    rows = [np.zeros((0, 4), np.int64)]
+    size = q.size[(leads >> 40)] if len(leads) else np.zeros(0, np.int64)
+    ends = np.cumsum(size) * (SLOP + 1)
+    i = 0
+    while i < len(leads):
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + PLACES, "right")))
+        rows.append(_found(s, q, term, leads[i:j]))
+        i = j
+    rows = np.concatenate(rows)
+    rows = rows[rows[:, 3] >= (q.size - missing)[rows[:, 0]]]
+    rows = rows[np.lexsort([rows[:, 2], -rows[:, 3], rows[:, 1], rows[:, 0]])]  # of an item and a document most tokens first, then the first place
+    first = np.ones(len(rows), bool)
+    first[1:] = (rows[1:, 0] != rows[:-1, 0]) | (rows[1:, 1] != rows[:-1, 1])
+    return tuple(rows[first].T)
+
+
+def _found(s: Segment, q: Query, term: np.ndarray, leads: np.ndarray) -> np.ndarray:
+    """(item, document, first position, tokens found) for each lead (item << 40 | diagonal + 2^32) and document."""
+    item = leads >> 40
+    size = q.size[item]
+    ends = np.cumsum(size)
+    of = np.repeat(np.arange(len(leads)), size)
+    token = np.repeat(q.bounds[item] - (ends - size), size) + np.arange(ends[-1])
+    at = ((leads & (1 << 40) - 1) - (1 << 32))[of] + q.offset[token]
+    places = (at[:, None] + np.arange(SLOP + 1)).ravel()
+    hit = np.flatnonzero(s.has(np.repeat(term[token], SLOP + 1), places))
+    where, row = places[hit], hit // (SLOP + 1)
+    doc = s.document(where)
+    order = np.lexsort([where, row, doc, of[row]])  # a lead's hits by document, then token
+    lead, doc, row, where = of[row[order]], doc[order], row[order], where[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (lead[1:] != lead[:-1]) | (doc[1:] != doc[:-1])
+    another = np.ones(len(order), bool)
+    another[1:] = new[1:] | (row[1:] != row[:-1])
+    head = np.flatnonzero(new)
+    if not len(head):
+        return np.zeros((0, 4), np.int64)
+    return np.stack([item[lead[head]], doc[head], np.minimum.reduceat(where, head), np.add.reduceat(another.astype(np.int64), head)], 1)
 
 
 def _search(s: Segment, q: Query) -> pa.RecordBatch:
@@ -235,29 +255,24 @@ def find_matches(index: DataFrame, benchmark: DataFrame, n: int = N) -> DataFram
     """
     items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("bigint").alias("item_id"), "text")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    if size <= PACK_BYTES:
-        got = items.toArrow()
-        query = _query(got.column("item_id").to_pylist(), got.column("text"), n) if got.num_rows else None
-
-        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                for i in range(b.num_rows if query is not None and len(query.items) else 0):
-                    yield _search(_segment({c: b.column(k)[i] for k, c in enumerate(_FIELDS)}), query)
+    blocks = size // BLOCK_BYTES + 1
+    if blocks == 1:
+        return _search_block(index, items.toArrow(), n)
+    part = F.pmod(F.xxhash64(F.lit(6), "item_id", "text"), F.lit(blocks)).alias("block")
+    path = written(items.select(part, "item_id", "text").repartition("block"), "blocks")
+    found = [written(_search_block(index, path.where(F.col("block") == k).select("item_id", "text").toArrow(), n), "found") for k in range(blocks)]
+    return reduce(DataFrame.union, found)
 
-        return index.mapInArrow(search, MATCH)
 
-    # a larger benchmark is neither collected nor broadcast: every segment meets every pack
-    packs = items.groupBy(F.pmod(F.xxhash64("item_id"), F.lit(size // PACK_BYTES + 1)).alias("pack")).agg(F.collect_list(F.struct("item_id", "text")).alias("items"))
+def _search_block(index: DataFrame, items: pa.Table, n: int) -> DataFrame:
+    query = _query(items.column("item_id").to_pylist(), items.column("text"), n) if items.num_rows else None
 
-    def search_packs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(b.num_rows):
-                rows = b.column(5)[i].as_py()
-                q = _query([r["item_id"] for r in rows], pa.array([r["text"] for r in rows], pa.large_string()), n)
-                if len(q.items):
-                    yield _search(_segment({c: b.column(k)[i] for k, c in enumerate(_FIELDS)}), q)
+            for i in range(b.num_rows if query is not None and len(query.items) else 0):
+                yield _search(_segment({c: b.column(k)[i] for k, c in enumerate(_FIELDS)}), query)
 
-    return index.crossJoin(packs.select("items")).mapInArrow(search_packs, MATCH)
+    return index.mapInArrow(search, MATCH)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = N) -> DataFrame:
@@ -279,7 +294,7 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE = f"""
 WITH b AS {TOKENS_SQL.format(id="item_id", text="text", table="benchmark")},
 d AS {TOKENS_SQL.format(id="doc_id", text="text", table="documents")},
-size AS (SELECT id AS item, count(*) AS n FROM b GROUP BY id HAVING count(*) >= {MIN_TOKENS}),
+size AS (SELECT id AS item, count(*) AS n FROM b GROUP BY id),
 m AS (SELECT b.id AS item, d.id AS doc, b.pos AS j, d.pos AS p, d.pos - b.pos AS diag FROM b JOIN d ON b.word = d.word SEMI JOIN size ON b.id = size.item),
 runs AS (SELECT item, doc, diag, min(j) AS j, min(p) AS p, count(*) AS n FROM
   (SELECT *, j - row_number() OVER (PARTITION BY item, doc, diag ORDER BY j) AS run FROM m) AS x GROUP BY item, doc, diag, run),
