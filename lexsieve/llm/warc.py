@@ -4,17 +4,23 @@ Reader: if an archive begins with a skippable frame of magic number 0x184D2A5D i
 plain, is the dictionary; other skippable frames are passed over.  Every further frame is decoded by itself and must
 hold one record: a WARC/1.0 or WARC/1.1 line, header lines, an empty line, Content-Length bytes and two line ends.
 
-A bad record does not end its archive: it is reported with `error` set and reading goes on at the next frame.  If a
-frame itself can't be read its end isn't known, so the rest of the archive is reported as one error.
+A frame's length follows from its block headers, so that each frame is cut out and decoded by itself, and time is in
+proportion to size.  Archives in files that workers can open are read frame by frame, of any size; those of other file
+systems come whole, in one row, through the binaryFile source (2 GB at most).
+
+A bad record does not end its archive: it is reported with `error` set and reading goes on at the next frame.  If block
+headers don't make sense reading goes on at the next frame that begins like a record's; what lies before is one error.
 
 Defined results: null or empty content gives no rows; an archive of only a dictionary gives none; records of any length
-are decoded whole; repeated archives give repeated records; missing headers are null; of a header that occurs twice the
-first counts; other columns are ignored.
+are decoded whole; repeated archives give repeated records; missing headers are null; null html is an empty body and a
+null url a record without target; an empty table gives no archives; of a header that occurs twice the first counts;
+other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 from collections.abc import Iterator
 
@@ -32,43 +38,114 @@ REQUIRED = ("warc-type", "warc-record-id", "warc-date", "content-length")
 ARCHIVE_BYTES, DICTIONARY_BYTES = 8 << 20, 16 << 10
 
 
-def _dictionary(data: memoryview) -> tuple[zstandard.ZstdCompressionDict | None, int]:
+class _Bytes:
+    """Ranges of an archive: of a buffer, or of an open file of which a window is held."""
+
+    WINDOW = 4 << 20
+
+    def __init__(self, source):
+        self.file = source if hasattr(source, "seek") else None
+        if self.file:
+            self.size, self.at, self.held = self.file.seek(0, 2), 0, memoryview(b"")
+        else:
+            self.held = memoryview(source).cast("B")
+            self.size, self.at = len(self.held), 0
+
+    def get(self, start: int, end: int) -> memoryview:
+        """Bytes start .. end, fewer at the archive's end."""
+        end = min(end, self.size)
+        if self.file and not (self.at <= start and end <= self.at + len(self.held)):
+            self.file.seek(start)
+            self.at, self.held = start, memoryview(self.file.read(max(end - start, self.WINDOW)))
+        return self.held[start - self.at : max(end, start) - self.at]
+
+    def number(self, start: int, size: int) -> int:
+        raw = self.get(start, start + size)
+        if len(raw) < size:
+            raise ValueError("cut off")
+        return int.from_bytes(raw, "little")
+
+    def find(self, what: bytes, start: int) -> int:
+        """Where `what` next occurs, the archive's end if nowhere."""
+        while start < self.size:
+            part = bytes(self.get(start, start + self.WINDOW))
+            if (k := part.find(what)) >= 0:
+                return start + k
+            start += max(1, len(part) - len(what) + 1)
+        return self.size
+
+
+def _dictionary(data: _Bytes) -> tuple[zstandard.ZstdCompressionDict | None, int]:
     """(dictionary, offset of what follows)."""
-    if len(data) >= 8 and struct.unpack_from("<I", data)[0] == DICTIONARY_MAGIC:
-        size = struct.unpack_from("<I", data, 4)[0]
-        if 8 + size > len(data):
+    if data.size >= 8 and data.number(0, 4) == DICTIONARY_MAGIC:
+        size = data.number(4, 4)
+        if 8 + size > data.size:
             raise ValueError("the dictionary frame is cut off")
-        raw = bytes(data[8 : 8 + size])
+        raw = bytes(data.get(8, 8 + size))
         if raw[:4] == FRAME_MAGIC:
             raw = zstandard.ZstdDecompressor().decompressobj().decompress(raw)
         return zstandard.ZstdCompressionDict(raw), 8 + size
     return None, 0
 
 
-def _frames(data: memoryview) -> Iterator[tuple[int, int, bytes | None, str | None]]:
-    """(offset, length, content, error) of each frame."""
+def frame_length(data: _Bytes, at: int) -> int:
+    """Bytes of the frame at an offset, from its header and the headers of its blocks (RFC 8878, 3.1.1)."""
+    if data.get(at, at + 4) != FRAME_MAGIC:
+        raise ValueError("no frame")
+    kind = data.number(at + 4, 1)
+    single = kind >> 5 & 1
+    end = at + 5 + (not single) + (0, 1, 2, 4)[kind & 3] + ((single, 2, 4, 8)[kind >> 6])
+    while True:
+        block = data.number(end, 3)
+        if block >> 1 & 3 == 3:
+            raise ValueError("a reserved block type")
+        end += 3 + (1 if block >> 1 & 3 == 1 else block >> 3)
+        if block & 1:
+            break
+    end += 4 * (kind >> 2 & 1)
+    if end > data.size:
+        raise ValueError("cut off")
+    return end - at
+
+
+def _frames(source) -> Iterator[tuple[int, int, bytes | None, str | None]]:
+    """(offset, length, content, error) of each frame of a buffer or open file."""
+    data = _Bytes(source)
     try:
         dictionary, at = _dictionary(data)
     except (ValueError, zstandard.ZstdError) as e:
-        yield 0, len(data), None, f"dictionary: {e}"
+        yield 0, data.size, None, f"dictionary: {e}"
         return
     decoder = zstandard.ZstdDecompressor(dict_data=dictionary) if dictionary else zstandard.ZstdDecompressor()
-    while at < len(data):
-        if len(data) - at >= 8 and struct.unpack_from("<I", data, at)[0] & 0xFFFFFFF0 == 0x184D2A50:
-            at += 8 + struct.unpack_from("<I", data, at + 4)[0]
-            if at > len(data):
+
+    def decoded(start: int, size: int) -> bytes:
+        one = decoder.decompressobj()
+        content = one.decompress(data.get(start, start + size))
+        if not one.eof:
+            raise ValueError("cut off")
+        return content
+
+    while at < data.size:
+        if data.size - at >= 8 and data.number(at, 4) & 0xFFFFFFF0 == 0x184D2A50:
+            at += 8 + data.number(at + 4, 4)
+            if at > data.size:
                 yield at, 0, None, "a skippable frame is cut off"
             continue
-        one = decoder.decompressobj()
         try:
-            content = one.decompress(data[at:])
-        except zstandard.ZstdError as e:
-            yield at, len(data) - at, None, f"frame: {e}"
-            return
-        if not one.eof:
-            yield at, len(data) - at, None, "frame: cut off"
-            return
-        size = len(data) - at - len(one.unused_data)
+            size = frame_length(data, at)
+            content = decoded(at, size)
+        except (ValueError, zstandard.ZstdError) as e:
+            resume = data.find(FRAME_MAGIC, at + 1)
+            while resume < data.size:  # the next frame that holds a record
+                try:
+                    if decoded(resume, frame_length(data, resume)).startswith(b"WARC/"):
+                        break
+                except (ValueError, zstandard.ZstdError):
+                    pass
+                resume = data.find(FRAME_MAGIC, resume + 1)
+            yield at, resume - at, None, f"frame: {e}"
+            at = resume
+            continue
         yield at, size, content, None
         at += size
 
@@ -107,25 +184,39 @@ def parse_record(raw: bytes) -> tuple[dict[str, str], bytes | None, str | None]:
     return headers, content, None
 
 
+_SCHEMA = pa.schema([("path", pa.string()), ("record", pa.int32()), ("offset", pa.int64()), ("length", pa.int64()), *((c, pa.string()) for c in ("type", "record_id", "target_uri", "date")), ("content_length", pa.int64()), ("content", pa.binary()), ("error", pa.string())])
+#: Content of the records that leave a worker at once.
+BATCH_BYTES = 1 << 20
+
+
+def _records(path: str | None, source) -> Iterator[pa.RecordBatch]:
+    rows, size = [], 0
+    for k, (at, length, raw, error) in enumerate(_frames(source)):
+        h, body = {}, None
+        if error is None:
+            h, body, error = parse_record(raw)
+        number = h.get("content-length", "")
+        rows.append((path, k, at, length, h.get("warc-type"), h.get("warc-record-id"), h.get("warc-target-uri"), h.get("warc-date"), int(number) if number.isascii() and number.isdigit() and len(number) < 19 else None, body, error))
+        size += len(body or b"")
+        if size > BATCH_BYTES:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _SCHEMA)], schema=_SCHEMA)
+            rows, size = [], 0
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _SCHEMA)], schema=_SCHEMA)
+
+
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("path", pa.string()), ("record", pa.int32()), ("offset", pa.int64()), ("length", pa.int64()), *((c, pa.string()) for c in ("type", "record_id", "target_uri", "date")), ("content_length", pa.int64()), ("content", pa.binary()), ("error", pa.string())])
     for b in batches:
         for path, content in zip(b.column(0), b.column(1)):
-            if not content.is_valid:
-                continue
-            rows, size = [], 0
-            for k, (at, length, raw, error) in enumerate(_frames(memoryview(content.as_buffer()))):
-                h, body = {}, None
-                if error is None:
-                    h, body, error = parse_record(raw)
-                number = h.get("content-length", "")
-                rows.append((path.as_py(), k, at, length, h.get("warc-type"), h.get("warc-record-id"), h.get("warc-target-uri"), h.get("warc-date"), int(number) if number.isascii() and number.isdigit() and len(number) < 19 else None, body, error))
-                size += len(body or b"")
-                if size > 4 << 20:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
-                    rows, size = [], 0
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+            if content.is_valid:
+                yield from _records(path.as_py(), content.as_buffer())
+
+
+def _open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for path in b.column(0).to_pylist():
+            with open(re.sub("^file:/+", "/", path), "rb") as f:
+                yield from _records(path, f)
 
 
 def read_archives(files: DataFrame) -> DataFrame:
@@ -135,7 +226,9 @@ def read_archives(files: DataFrame) -> DataFrame:
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """The records of the .warc.zst files under a path."""
-    return read_archives(spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").option("recursiveFileLookup", True).load(path))
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").option("recursiveFileLookup", True).load(path)
+    scheme = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getScheme()
+    return files.select("path").mapInArrow(_open, RECORD) if scheme == "file" else read_archives(files)
 
 
 def frame_record(record_id: str, uri: str | None, date: str, content: bytes, kind: str = "resource") -> bytes:
@@ -147,9 +240,9 @@ def frame_record(record_id: str, uri: str | None, date: str, content: bytes, kin
 
 
 def write_archive(records: list[bytes], level: int = 3) -> bytes:
-    """An archive: a dictionary trained on the records (where they suffice), then a frame for each."""
+    """An archive: a dictionary trained on about 200 of the records (where they suffice), then a frame for each."""
     out, dictionary = [], None
-    sample = [r[:8192] for r in records[:: max(1, len(records) // 200)]]
+    sample = records[:: max(1, len(records) // 200)]
     size = min(DICTIONARY_BYTES, sum(map(len, sample)) // 10)
     if size >= 1024 and len(sample) >= 16:
         try:
