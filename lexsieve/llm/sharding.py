@@ -19,10 +19,12 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from .common import private, table, written
+from .common import keyed, private, table, written
 
 ROUNDS, SEED = 6, 20240607
 ROWS_PER_SHARD = 512
+#: Ids that are sorted in one task.
+RANGE_ROWS = 1 << 20
 P, Q = 2147483647, 2147483629  # primes
 
 
@@ -80,28 +82,32 @@ def row_at(shard: int, slot: int, n: int, shards: int, seed: int = SEED) -> int:
 def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     part, at = TaskContext.get().partitionId(), 0
     for b in batches:
-        cols = [b.column(0), pa.array(np.full(b.num_rows, part, np.int32)), pa.array(np.arange(at, at + b.num_rows))]
+        extra = [pa.array(np.full(b.num_rows, part, np.int32)), pa.array(np.arange(at, at + b.num_rows))]
         at += b.num_rows
-        yield pa.RecordBatch.from_arrays(cols, ["doc_id", "part", "at"])
+        yield pa.RecordBatch.from_arrays([*b.columns, *extra], [*b.schema.names, "part", "at"])
 
 
-def number_rows(ids: DataFrame) -> DataFrame:
-    """ids(doc_id) -> (doc_id, row_no): 0 .. N-1 in the order of doc_id, without one partition seeing all rows.
+def number_rows(ids: DataFrame, n: int) -> DataFrame:
+    """ids(doc_id[, others]), n rows -> the same with row_no: 0 .. n-1 in the order of all columns, without one partition seeing all rows.
 
-    Ranges are sorted apart and written once, so that what follows sees one and the same cut into ranges.
+    Ranges of about RANGE_ROWS rows are sorted apart and written once, so that what follows sees one and the same cut into
+    ranges.  Rows alike in all columns may swap numbers, which nobody can tell.
     """
-    spark = ids.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranges = ids.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
-    rows = written(ranges.mapInArrow(_numbered, "doc_id bigint, part int, at bigint"), "ranges")
+    order = [F.col(f"`{c}`").asc_nulls_first() for c in ids.columns]
+    ranges = ids.repartitionByRange(max(1, ceil(n / RANGE_ROWS)), *order).sortWithinPartitions(*order)
+    kinds = ", ".join(f"`{c}` {t}" for c, t in ids.dtypes)
+    rows = written(ranges.mapInArrow(_numbered, f"{kinds}, part int, at bigint"), "ranges")
     before = rows.groupBy("part").count().withColumn("before", F.coalesce(F.sum("count").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     # a row for each range
-    return rows.join(F.broadcast(before.select("part", "before")), "part").select("doc_id", (F.col("before") + F.col("at")).alias("row_no"))
+    return rows.join(F.broadcast(before.select("part", "before")), "part").select(*ids.columns, (F.col("before") + F.col("at")).alias("row_no"))
 
 
 def assign(docs: DataFrame, rows_per_shard: int = ROWS_PER_SHARD, seed: int = SEED) -> DataFrame:
     """docs(doc_id) -> (doc_id, row_no, position, shard, slot), a row for each row."""
-    ids = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"))
+    return _placed(docs.select(F.col("doc_id").cast("bigint").alias("doc_id")), rows_per_shard, seed)
+
+
+def _placed(ids: DataFrame, rows_per_shard: int, seed: int) -> DataFrame:
     n = ids.count()
     shards = max(1, ceil(n / rows_per_shard))
 
@@ -109,16 +115,21 @@ def assign(docs: DataFrame, rows_per_shard: int = ROWS_PER_SHARD, seed: int = SE
     def position(row: pa.Array) -> pa.Array:
         return pa.array(permute(row.to_numpy(), n, seed))
 
-    out = number_rows(ids).select("doc_id", "row_no", position("row_no").alias("position"))
-    return out.select("doc_id", "row_no", "position", F.pmod("position", F.lit(shards)).alias("shard"), F.floor(F.col("position") / shards).cast("bigint").alias("slot"))
+    out = number_rows(ids, n).select(*ids.columns, "row_no", position("row_no").alias("position"))
+    return out.select(*ids.columns, "row_no", "position", F.pmod("position", F.lit(shards)).alias("shard"), F.floor(F.col("position") / shards).cast("bigint").alias("slot"))
 
 
 def write_shards(docs: DataFrame, path: str, rows_per_shard: int = ROWS_PER_SHARD, seed: int = SEED) -> None:
-    """Write `docs` in shuffled order: folders __shard=k, rows by slot.  doc_id must be a key."""
-    p = private(docs)
-    where = assign(docs, rows_per_shard, seed).select(F.col("doc_id").alias(f"{p}id"), F.col("shard").alias("__shard"), F.col("slot").alias(f"{p}slot"))
-    rows = docs.join(where, docs["doc_id"].cast("bigint").eqNullSafe(F.col(f"{p}id")))
-    rows.repartition("__shard").sortWithinPartitions("__shard", f"{p}slot").drop(f"{p}id", f"{p}slot").write.partitionBy("__shard").parquet(path)
+    """Write `docs` in shuffled order: folders __shard=k, rows by slot; every row once, whatever its doc_id.
+
+    Rows that share a doc_id, null included, are told apart by a number of their own and take their places in its order.
+    """
+    p = private(docs, "__shard")
+    rows = keyed(docs, f"{p}key")
+    ids = rows.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(f"{p}key").alias("key"))
+    where = _placed(ids, rows_per_shard, seed).select(F.col("key").alias(f"{p}key"), F.col("shard").alias("__shard"), F.col("slot").alias(f"{p}slot"))
+    rows = rows.join(where, f"{p}key").repartition("__shard").sortWithinPartitions("__shard", f"{p}slot")
+    rows.drop(f"{p}key", f"{p}slot").write.partitionBy("__shard").parquet(path)
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
