@@ -12,7 +12,7 @@ loses nothing.
 
 Defined results: null and empty texts have no match; texts are read whole and every notice in them is reported; a place
 that several templates match is reported for each; repeated rows match by themselves; null doc_id is carried along;
-an empty table gives an empty result; other columns are ignored.
+an empty table, of texts or of templates, gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,29 +24,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import table
+from .license_texts import TEMPLATES
 from .tokens import TOKENS_SQL, U, slices, tokenise
 
 SHARE = 0.8
 
-#: (licence, template text, mandatory key phrases)
-TEMPLATES: list[tuple[str, str, list[str]]] = [
-    ("MIT", "Released under the MIT License", ["released under the mit license"]),
-    ("MIT", "Licensed under the MIT License", ["licensed under the mit license"]),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", ["permission is hereby granted free of charge"]),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0", ["apache license version 2 0"]),
-    ("Apache-2.0", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS", ["unless required by applicable law"]),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3", ["gnu general public license version 3"]),
-    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2", ["gnu general public license version 2"]),
-    ("GPL", "under the terms of the GNU General Public License as published by the Free Software Foundation", ["gnu general public license"]),
-    ("LGPL", "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation", ["gnu lesser general public license"]),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0", ["cc by nc 4 0"]),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0", ["cc by 4 0"]),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0", ["cc by sa 4 0"]),
-    ("CC0-1.0", "dedicated to the public domain under CC0 1.0", ["cc0 1 0"]),
-    ("BSD", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", ["redistribution and use in source and binary forms"]),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", ["mozilla public license v 2 0"]),
-    ("reserved", "All rights reserved", ["all rights reserved"]),
-]
+NOTICE = "doc_id bigint, license string, template int, token_pos int, share double"
+#: Text of a table of templates that is collected at most.
+TEMPLATE_BYTES = 16 << 20
+
+
+def templates_of(rows: DataFrame) -> list[tuple[str, str, list[str]]]:
+    """Templates out of a table (license, text, phrases ARRAY<STRING>), in the order of its rows' values.
+
+    A null name is 'unknown', null phrases are none, rows of null text are left out.  The table is checked to be small.
+    """
+    rows = rows.select("license", "text", "phrases").where("text is not null")
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    if size > TEMPLATE_BYTES:
+        raise ValueError(f"{size} bytes of templates; at most {TEMPLATE_BYTES} are looked for at once")
+    return [(r["license"] or "unknown", r["text"], [p for p in r["phrases"] or [] if p]) for r in rows.orderBy("license", "text").collect()]
 
 
 class Templates:
@@ -103,11 +100,14 @@ def word_frequencies(docs: DataFrame, templates: Templates) -> dict[int, int]:
     return {r["word"]: r["n"] for r in rows.collect()}  # a row for each template word
 
 
-def scan(docs: DataFrame, templates: list[tuple[str, str, list[str]]] = TEMPLATES) -> DataFrame:
+def scan(docs: DataFrame, templates: list[tuple[str, str, list[str]]] | DataFrame = TEMPLATES) -> DataFrame:
     """docs(doc_id, text) -> (doc_id, license, template, token_pos, share): a row for each notice found.
 
     template is its number in `templates`; token_pos the place, in words, at which it begins (negative if cut off).
     """
+    templates = templates_of(templates) if isinstance(templates, DataFrame) else templates
+    if not templates:
+        return docs.sparkSession.createDataFrame([], NOTICE)
     known = Templates(templates)
     word, of, place, need = known.index(word_frequencies(docs, known))
     lowest = np.ceil(SHARE * known.size - 1e-9).astype(np.int64)
@@ -140,7 +140,7 @@ def scan(docs: DataFrame, templates: list[tuple[str, str, list[str]]] = TEMPLATE
                 ids = b.column(0).slice(i, len(texts)).take(pa.array(cols[0], pa.int32()))
                 yield pa.RecordBatch.from_arrays([ids, pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int32()), pa.array(cols[4], pa.float64())], ["doc_id", "license", "template", "token_pos", "share"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(find, "doc_id bigint, license string, template int, token_pos int, share double")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(find, NOTICE)
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
