@@ -1,8 +1,9 @@
 """Near-duplicate documents: SuperMinHash signatures, banding, exact verification, union-find groups.
 
-Two documents are near-duplicates if the Jaccard similarity of their sets of 3-token windows reaches the threshold;
-groups are the connected components.  Banding finds a pair of similarity s with probability 1 - (1 - s^rows)^bands;
-every pair so found is compared on the whole sets, unless others link it already.
+Two documents are near-duplicates if the Jaccard similarity of their sets of 3-token windows (as 48-bit hashes) reaches
+the threshold; groups are the connected components.  Documents of equal sets, by a 128-bit fingerprint, are one class, of
+which the least document is looked up for all.  Banding finds a pair of similarity s with probability
+1 - (1 - s^rows)^bands; every pair so found is compared on the whole sets, unless others link it already.
 
 Defined results: null or token-less texts and null doc_id are in no group; rows that repeat a doc_id are one
 document, near to whatever any of its texts is near to, but are dropped each by its own text; texts of any length
@@ -12,20 +13,22 @@ are read whole; an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .buckets import linked
 from .common import BROADCAST_BYTES, keyed, private, table, written
 from .components import components
 from .tokens import TOKENS_SQL, U, mix, shingles, slices, tokenise
 
 SHINGLE, SLOTS, ROWS, THRESHOLD = 3, 160, 4, 0.5
-#: Rounds in which a bucket's members are compared with its smallest member, and those that match it leave; then all
-#: members of a bucket that these matches don't link are compared pair by pair.
-LEADER_ROUNDS = 3
+#: Windows of the sets that are compared at once.
+PAIR_WINDOWS = 1 << 18
+#: Bytes of a stored window hash, and rows of a slice, which share a 64-bit key with it.
+WIDTH, MOST_ROWS = 6, 1 << 16
 
 
 def superminhash(seeds: np.ndarray, bounds: np.ndarray, m: int = SLOTS) -> np.ndarray:
@@ -64,44 +67,65 @@ def superminhash(seeds: np.ndarray, bounds: np.ndarray, m: int = SLOTS) -> np.nd
     return sig.reshape(nd, m)
 
 
+def _packed(gram: np.ndarray) -> np.ndarray:
+    """Window hashes as WIDTH little-endian bytes each."""
+    return np.ascontiguousarray(gram.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :WIDTH])
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    wide = np.zeros((len(raw) // WIDTH, 8), np.uint8)
+    wide[:, :WIDTH] = np.frombuffer(raw, np.uint8).reshape(-1, WIDTH)
+    return wide.view("<u8").ravel()
+
+
 def signatures(batches: Iterator[pa.RecordBatch], m: int = SLOTS, rows: int = ROWS) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text) -> (doc_id, fp, bands, grams): fingerprint of the set, band keys, the sorted 32-bit set itself."""
+    """(doc_id, text) -> (doc_id, fp, fq, bands, grams): fingerprint of the set, band keys, the sorted set itself."""
     for batch in batches:
-        for i, texts in slices(batch.column(1)):
+        for i, texts in slices(batch.column(1), rows=MOST_ROWS):
             h, bounds = shingles(tokenise(texts), SHINGLE)
             row = np.repeat(np.arange(len(texts), dtype=U), np.diff(bounds))
-            u = np.unique(row << U(32) | h >> U(32))
-            row, gram = (u >> U(32)).astype(np.int64), (u & U(0xFFFFFFFF))
+            u = np.unique(row << U(48) | h >> U(16))
+            row, gram = (u >> U(48)).astype(np.int64), u & U((1 << 48) - 1)
             bounds = np.searchsorted(row, np.arange(len(texts) + 1))
             seeds = mix(gram + U(0x632BE59BD9B4E019))
             sig = superminhash(seeds, bounds, m)
             some = np.diff(bounds) > 0
-            sums = np.concatenate([np.zeros(1, U), np.cumsum(mix(seeds ^ U(0x5851F42D4C957F2D)))])
-            fp = mix(sums[bounds[1:]] - sums[bounds[:-1]] + np.diff(bounds).astype(U))
+            prints = []
+            for salt in (0x5851F42D4C957F2D, 0x14057B7EF767814F):
+                sums = np.concatenate([np.zeros(1, U), np.cumsum(mix(seeds ^ U(salt)))])
+                prints.append(mix(sums[bounds[1:]] - sums[bounds[:-1]] + np.diff(bounds).astype(U)))
             nb = m // rows
             keys = np.zeros((len(texts), nb), U)
             for r in range(rows):
                 keys = mix(keys * U(0x9E3779B97F4A7C15) + sig[:, r : nb * rows : rows] + np.arange(nb, dtype=U))
             keys = np.ascontiguousarray(keys[some]).view(np.int64)
-            gram = gram.astype("<u4")
-            off = pa.py_buffer((bounds * 4).astype(np.int32))
-            blobs = pa.Array.from_buffers(pa.binary(), len(texts), [None, off, pa.py_buffer(gram)]).filter(pa.array(some))
+            off = pa.py_buffer((bounds * WIDTH).astype(np.int32))
+            blobs = pa.Array.from_buffers(pa.binary(), len(texts), [None, off, pa.py_buffer(_packed(gram))]).filter(pa.array(some))
             bands = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, nb, dtype=np.int32)), pa.array(keys.ravel()))
             ids = batch.column(0).slice(i, len(texts)).filter(pa.array(some))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(fp[some].view(np.int64)), bands, blobs], ["doc_id", "fp", "bands", "grams"])
+            yield pa.RecordBatch.from_arrays([ids, *(pa.array(f[some].view(np.int64)) for f in prints), bands, blobs], ["doc_id", "fp", "fq", "bands", "grams"])
 
 
 def _similar(threshold: float):
+    """Pairs with their packed sets -> whether they are near; PAIR_WINDOWS windows at once."""
+
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ok = np.zeros(b.num_rows, bool)
-            for i, (x, y) in enumerate(zip(b.column(2), b.column(3))):
-                p, q = np.frombuffer(x.as_buffer(), "<u4"), np.frombuffer(y.as_buffer(), "<u4")
-                if min(len(p), len(q)) >= threshold * max(len(p), len(q)):
-                    both = np.concatenate([p, q])
-                    both.sort()
-                    n = int((both[1:] == both[:-1]).sum())
-                    ok[i] = n >= threshold * (len(both) - n)
+            n = [np.asarray(pc.binary_length(b.column(k))).astype(np.int64) // WIDTH for k in (2, 3)]
+            ok = np.minimum(*n) >= threshold * np.maximum(*n)  # else too unlike in size
+            look = np.flatnonzero(ok)
+            ends = np.cumsum((n[0] + n[1])[look])
+            i = 0
+            while i < len(look):
+                j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + PAIR_WINDOWS, "right")))
+                j = min(j, i + MOST_ROWS)
+                part = look[i:j]
+                keys = [_unpacked(b"".join(b.column(k).take(pa.array(part)).to_pylist())) | np.repeat(np.arange(len(part), dtype=U), n[k - 2][part]) << U(48) for k in (2, 3)]
+                both = np.sort(np.concatenate(keys))
+                same = (both[1:][both[1:] == both[:-1]] >> U(48)).astype(np.int64)
+                common = np.bincount(same, minlength=len(part))
+                ok[part] = common >= threshold * (n[0][part] + n[1][part] - common)
+                i = j
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ok)], ["a", "b", "ok"])
 
     return check
@@ -121,45 +145,21 @@ def _verified(pairs: DataFrame, sigs: DataFrame, threshold: float) -> DataFrame:
 
 def _linked(rows: DataFrame, threshold: float) -> DataFrame:
     """rows(doc_id BIGINT, text), doc_id unique and not null -> (doc_id, group_id) of groups of two or more."""
-    sigs = written(rows.mapInArrow(signatures, "doc_id bigint, fp bigint, bands array<bigint>, grams binary"), "signatures")
-    # documents of equal sets are one from here on
-    same = written(sigs.select("doc_id", "fp", "bands", F.min("doc_id").over(W.partitionBy("fp")).alias("rep")), "same")
-    bucket = W.partitionBy("key")
-    members = same.where("doc_id = rep").select("doc_id", F.explode("bands").alias("key"))
-    members = members.select("key", "doc_id", F.min("doc_id").over(bucket).alias("lead"), F.count("*").over(bucket).alias("n"))
-    left = written(members.where("n > 1").drop("n"), "buckets")
-    buckets, found, differ = left, [], []
-    for _ in range(LEADER_ROUNDS):
-        pairs = left.where("doc_id <> lead").select(F.col("lead").alias("a"), F.col("doc_id").alias("b")).distinct()
-        checked = _verified(written(pairs, "pairs"), sigs, threshold)
-        found.append(checked.where("ok").select("a", "b"))
-        differ.append(checked.where("not ok").select("a", "b"))
-        rest = left.join(differ[-1].toDF("lead", "doc_id"), ["lead", "doc_id"], "left_semi")
-        rest = rest.select("key", "doc_id", F.min("doc_id").over(bucket).alias("lead"), F.count("*").over(bucket).alias("n"))
-        left = written(rest.where("n > 1").drop("n"), "buckets")
-        if not left.limit(1).count():
-            break
-    roots = written(components(reduce(DataFrame.union, found)), "linked")
-    # whoever matched a lead left its bucket: all members of the whole buckets that aren't linked yet are compared
-    of = buckets.select("key", "doc_id").join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
-    several = of.withColumn("n", F.min("root").over(bucket) < F.max("root").over(bucket)).where("n").drop("n")
-    several = written(several, "unlinked")
-    if several.limit(1).count():
-        pairs = several.toDF("b", "key", "s").join(several.toDF("a", "key", "r"), "key").where("a < b and r <> s").select("a", "b").distinct()
-        pairs = pairs.join(reduce(DataFrame.union, differ), ["a", "b"], "left_anti")
-        more = _verified(written(pairs, "pairs"), sigs, threshold).where("ok").select("a", "b")
-        if more.limit(1).count():
-            roots = components(roots.toDF("a", "b").union(more))
-    all_ids = same.select("doc_id", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
-    all_ids = all_ids.select("doc_id", F.coalesce("root", "rep").alias("group_id"))
-    sized = all_ids.withColumn("n", F.count("*").over(W.partitionBy("group_id"))).where("n > 1")
-    return sized.select("doc_id", "group_id")
+    sigs = written(rows.mapInArrow(signatures, "doc_id bigint, fp bigint, fq bigint, bands array<bigint>, grams binary"), "signatures")
+    # documents of equal sets are one from here on; counts of a class are added up before they are shuffled
+    classes = written(sigs.groupBy("fp", "fq").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "classes")
+    reps = sigs.select("doc_id", "bands").join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    members = reps.select(F.explode("bands").alias("key"), F.col("doc_id").alias("id"), F.lit(True).alias("own"))
+    roots = linked(members, lambda pairs: _verified(pairs, sigs, threshold))
+    of = classes.join(roots.toDF("rep", "root"), "rep", "left").where("n > 1 or root is not null")
+    of = written(of.select("fp", "fq", F.coalesce("root", "rep").alias("group_id")), "groups")
+    return sigs.select("doc_id", "fp", "fq").join(of, ["fp", "fq"]).select("doc_id", "group_id")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """docs(doc_id, text) -> (doc_id, group_id, keep) of all documents in groups of two or more.
+    """docs(doc_id, text) -> (doc_id, group_id, links, keep) of all documents in groups of two or more, a row for each.
 
-    group_id is the group's smallest doc_id, which alone has keep = true.
+    group_id is the group's smallest doc_id, which alone has keep = true; links is the number of other documents in it.
     """
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id is not null")
     rows = keyed(rows, "row")
@@ -168,7 +168,9 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         name = rows.select("row", "doc_id")
         links = got.toDF("row", "root").join(name.withColumnRenamed("doc_id", "a"), "row").join(name.toDF("root", "b"), "root")
         got = components(links.select("a", "b")).toDF("doc_id", "group_id")
-    return got.select("doc_id", "group_id", (F.col("doc_id") == F.col("group_id")).alias("keep"))
+    got = written(got, "grouped")
+    sizes = got.groupBy("group_id").agg((F.count("*") - 1).alias("links"))
+    return got.join(sizes, "group_id").select("doc_id", "group_id", "links", (F.col("doc_id") == F.col("group_id")).alias("keep"))
 
 
 def drop_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -198,5 +200,5 @@ size AS (SELECT id, count(*) AS n FROM s GROUP BY id),
 pairs AS (SELECT x.id AS x, y.id AS y, count(*) AS c FROM s AS x JOIN s AS y ON x.gram = y.gram AND x.id <> y.id GROUP BY x.id, y.id),
 near AS (SELECT x, y FROM pairs JOIN size AS a ON a.id = x JOIN size AS b ON b.id = y WHERE c >= {THRESHOLD} * (a.n + b.n - c)),
 reach AS (SELECT x, y FROM near UNION SELECT r.x, n.y FROM reach AS r JOIN near AS n ON r.y = n.x)
-SELECT x AS doc_id, min(y) AS group_id, x = min(y) AS keep FROM reach GROUP BY x
+SELECT x AS doc_id, min(y) AS group_id, count(*) - 1 AS links, x = min(y) AS keep FROM reach GROUP BY x
 """
