@@ -2,12 +2,12 @@
 
 import itertools
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 
-from lexsieve.llm import decontam, embed, minhash
+from lexsieve.llm import buckets, decontam, embed, minhash
 from lexsieve.llm.components import components
 from lexsieve.llm.tokens import U, mix
 
@@ -100,6 +100,8 @@ def test_near_duplicates(spark, words):
     want = _groups(true)
     assert all(want.get(a) == want.get(b) for a, b in got.items())  # no false member
     assert all(r.keep == (r.doc_id == r.group_id) for r in rows)
+    size = Counter(got.values())
+    assert all(r.links == size[r.group_id] - 1 > 0 for r in rows)
 
 
 def test_hot_bucket(spark, monkeypatch, words):
@@ -114,7 +116,7 @@ def test_hot_bucket(spark, monkeypatch, words):
             text = common + own
             text[40 + c] = word()
             rows.append((g * 3 + c, " ".join(text)))
-    monkeypatch.setattr(minhash, "LEADER_ROUNDS", 1)
+    monkeypatch.setattr(buckets, "LEADER_ROUNDS", 1)
     got = {r.doc_id: r.group_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     assert got == {i: i - i % 3 for i, _ in rows}
 
@@ -166,7 +168,7 @@ def _brute_exact(docs, items, words, n):
         if doc_id is None:
             continue
         for i, t in items.items():
-            if len(t) < decontam.MIN_TOKENS:
+            if not t:
                 continue
             k = min(n, len(t))
             for shift in range(-len(t) + 1, len(d)):
@@ -187,7 +189,7 @@ def _brute_near(docs, items, words):
         d = words(text)
         for i, t in items:
             t = words(t)
-            if doc_id is None or i is None or len(t) < decontam.MIN_TOKENS:
+            if doc_id is None or i is None or not t:
                 continue
             places = defaultdict(list)
             for p, w in enumerate(d):
@@ -219,16 +221,15 @@ def passages():
                 j = rng.randrange(len(t))
                 t[j : j + 1] = rng.choice([[], ["new"], [t[j], "new"]])
         docs.append((k, " ".join([*d[:at], *t, *d[at:]])))
-    return docs, [(i, " ".join(t)) for i, t in items] + [(90, "too short"), (91, None), (None, "a b c d e f")]
+    return docs, [(i, " ".join(t)) for i, t in items] + [(90, "too short"), (91, None), (92, "a"), (93, "b c d"), (94, "!"), (None, "a b c d e f")]
 
 
 def test_decontamination(spark, words, passages, monkeypatch):
     docs, items = passages
-    monkeypatch.setattr("lexsieve.llm.tokens.SLICE_BYTES", 1000)
     d = spark.createDataFrame([*docs, (500, None), (None, docs[0][1]), (501, "")], "doc_id bigint, text string").repartition(3)
     b = spark.createDataFrame(items, "item_id bigint, text string")
-    for pack in (decontam.PACK_BYTES, 300):  # searched at once, and in packs
-        monkeypatch.setattr(decontam, "PACK_BYTES", pack)
+    for size in (decontam.BLOCK_BYTES, 300):  # searched at once, and in blocks
+        monkeypatch.setattr(decontam, "BLOCK_BYTES", size)
         rows = decontam.find_matches(decontam.build_index(d), b).collect()
         exact = {(r.item_id, r.doc_id, r.item_pos, r.doc_pos, r.n_tokens) for r in rows if r.kind == "exact"}
         assert exact == _brute_exact(docs, items, words, decontam.N)
@@ -263,31 +264,52 @@ def test_hadamard():
     assert np.allclose(embed.hadamard(x), x @ h / 4)
 
 
-def test_embeddings(spark):
-    """Recall of at least 0.9 near the threshold, and nothing below it."""
+def _brute_classes(rows, threshold):
+    """vec_id -> (class, links) by all pairs."""
+    m = np.stack([v for _, v in rows])
+    m = m / np.linalg.norm(m, axis=1, keepdims=True)
+    a, b = np.nonzero(m @ m.T >= threshold)
+    ids = [i for i, _ in rows]
+    group = _groups([(ids[x], ids[y]) for x, y in zip(a, b)])
+    size = Counter(group.values())
+    return {i: (g, size[g] - 1) for i, g in group.items()}
+
+
+def _near(rng, v, cosine):
+    z = rng.normal(size=len(v))
+    z -= (z @ v) * v / (v @ v)
+    return cosine * v / np.linalg.norm(v) + np.sqrt(1 - cosine * cosine) * z / np.linalg.norm(z)
+
+
+@pytest.mark.parametrize("dim,n", [(48, 150), (300, 80), (768, 60)])
+def test_embeddings(spark, dim, n):
+    """Recall of at least 0.9 near the threshold, whatever the length, and nothing below it."""
     rng = np.random.default_rng(2)
-    x = rng.normal(size=(150, 48))
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
     rows = []
-    for i, v in enumerate(x):
-        rows.append((3 * i, v))
-        for k, c in enumerate((0.91, 0.97)):
-            z = rng.normal(size=48)
-            z -= (z @ v) * v
-            rows.append((3 * i + 1 + k, c * v + np.sqrt(1 - c * c) * z / np.linalg.norm(z)))
+    for i in range(n):
+        v = rng.normal(size=dim)
+        rows += [(2 * i, v), (2 * i + 1, _near(rng, v, 0.905))]
     df = spark.createDataFrame([(i, v.tolist()) for i, v in rows], "vec_id bigint, embedding array<float>")
-    got = {(r.id_a, r.id_b): r.cosine for r in embed.near_pairs(df).collect()}
-    m = np.stack([v for _, v in rows])
-    s = m @ m.T
-    want = {(a, b) for a in range(len(m)) for b in range(a + 1, len(m)) if s[a, b] >= embed.THRESHOLD}
-    assert set(got) <= {(a, b) for a in range(len(m)) for b in range(a + 1, len(m)) if s[a, b] >= embed.THRESHOLD - 1e-6}
-    assert len(want & set(got)) >= 0.9 * len(want) > 100
-    assert all(abs(c - s[k]) < 1e-5 for k, c in got.items())
+    got = {r.vec_id: (r.class_id, r.links) for r in embed.near_groups(df).collect()}
+    want = _brute_classes(rows, embed.THRESHOLD)
+    assert set(got) == set(want) and sum(w == (2 * (i // 2), 1) for i, w in want.items()) == 2 * n
+    assert all(g in (want[i], (i, 0)) for i, g in got.items())
+    assert sum(got[2 * i + 1] == (2 * i, 1) for i in range(n)) >= 0.9 * n
+
+
+def test_embeddings_hot(spark):
+    """One vector a thousand times, and a hundred vectors near it, are one class with a row each."""
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=32)
+    rows = [(i, v) for i in range(1000)] + [(1000 + i, _near(rng, v, 0.97)) for i in range(100)] + [(2000 + i, rng.normal(size=32)) for i in range(50)]
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in rows], "vec_id bigint, embedding array<double>").repartition(5)
+    got = {r.vec_id: (r.class_id, r.links) for r in embed.near_groups(df).collect()}
+    assert got == _brute_classes(rows, embed.THRESHOLD) and got[1050] == (0, 1099)
 
 
 def test_embeddings_awkward(spark):
     nan = float("nan")
     rows = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (2, [2.0, 0.0]), (3, None), (None, [1.0, 0.0]), (4, [0.0, 0.0]), (5, [nan, 1.0]), (6, [None, 1.0]), (7, [1.0, 0.0, 0.0]), (8, []), (9, [3.0])]
-    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").selectExpr("*", "1 as keys", "'u' as unit", "2 as id_a")
-    assert [(r.id_a, r.id_b, r.cosine) for r in embed.near_pairs(df).collect()] == [(1, 2, 1.0)]
-    assert embed.near_pairs(df.where("false")).count() == 0
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").selectExpr("*", "1 as keys", "'u' as unit", "2 as class_id")
+    assert sorted((r.vec_id, r.class_id, r.links) for r in embed.near_groups(df).collect()) == [(1, 1, 1), (2, 1, 1), (7, 7, 0), (9, 9, 0)]
+    assert embed.near_groups(df.where("false")).count() == 0

@@ -2,6 +2,7 @@
 
 import base64
 import struct
+import time
 
 import numpy as np
 import pytest
@@ -40,10 +41,22 @@ def test_assignment(spark, awkward, nothing, tmp_path):
         ids = [r.doc_id for r in spark.read.parquet(str(tmp_path / f"out/__shard={k}")).collect()]
         assert ids == sorted((i for i, (s, _) in where.items() if s == k), key=lambda i: where[i][1])
     odd = sharding.assign(awkward).collect()
-    assert sorted(r.row_no for r in odd) == list(range(awkward.count())) and [r.row_no for r in odd if r.doc_id is None].sort() == [0, 1].sort()
+    assert sorted(r.row_no for r in odd) == list(range(awkward.count())) and sorted(r.row_no for r in odd if r.doc_id is None) == [0, 1]
     assert sharding.assign(nothing).count() == 0
 
 
+def test_write_shards_repeats(spark, awkward, nothing, tmp_path, monkeypatch):
+    """Every row is written once, though ids are null or repeated; several ranges number rows without gaps."""
+    monkeypatch.setattr(sharding, "RANGE_ROWS", 4)
+    assert sorted(r.row_no for r in sharding.assign(awkward).collect()) == list(range(awkward.count()))
+    sharding.write_shards(awkward, str(tmp_path / "out"), 3)
+    got = spark.read.parquet(str(tmp_path / "out"))
+    shape = lambda df: sorted(map(str, df.select(*awkward.columns).collect()))
+    assert shape(got) == shape(awkward)
+    assert sorted(r["count"] for r in got.groupBy("__shard").count().collect()) == [2, 2, 3, 3, 3]
+    sharding.write_shards(nothing, str(tmp_path / "none"))
+
+
 def _read(spark, *archives):
     df = spark.createDataFrame([(f"a{i}", bytearray(a) if a is not None else None) for i, a in enumerate(archives)], "path string, content binary")
     return sorted((r.asDict() for r in warc.read_archives(df).collect()), key=lambda r: (r["path"], r["record"]))
@@ -89,6 +102,50 @@ def test_warc_faults(spark):
     assert by["a6"][0] is None and by["a6"][1].startswith("frame") and "dictionary" in by["a8"][0]
 
 
+def test_warc_damage(spark):
+    """Sound records after a damaged frame are read; the damage is one error, whether or not its end is known."""
+    records = [warc.frame_record(f"<urn:{i}>", "u", "2024-01-01T00:00:00Z", b"body %d " % i * 300) for i in range(5)]
+    frames = [zstandard.ZstdCompressor(write_checksum=True).compress(r) for r in records]
+    bad = bytearray(frames[1])
+    bad[-1] ^= 255  # the checksum
+    rows = _read(spark, frames[0] + bytes(bad) + frames[2], frames[0] + frames[1][: len(frames[1]) // 2] + frames[2] + frames[3], frames[0] + b"rubbish" + frames[4])
+    by = {}
+    for r in rows:
+        by.setdefault(r["path"], []).append((r["record_id"], r["error"] is None))
+    assert by["a0"] == [("<urn:0>", True), (None, False), ("<urn:2>", True)]
+    assert by["a1"][0] == ("<urn:0>", True) and by["a1"][1] == (None, False) and by["a1"][-1] == ("<urn:3>", True)
+    assert by["a2"] == [("<urn:0>", True), (None, False), ("<urn:4>", True)]
+
+
+def test_warc_size(spark, tmp_path):
+    """Time in proportion to size; a long record; a file is read by windows."""
+    body = np.random.default_rng(0).bytes(20_000)
+    archive = lambda n: warc.write_archive([warc.frame_record(f"<urn:{i}>", None, "2024-01-01T00:00:00Z", body) for i in range(n)])
+    small, large = archive(400), archive(3200)
+
+    def timed(data):
+        began = time.monotonic()
+        assert all(e is None for *_, e in warc._frames(data))
+        return time.monotonic() - began
+
+    timed(small)
+    assert timed(large) < 3 * 8 * timed(small) + 0.5
+    long = warc.frame_record("<urn:long>", None, "2024-01-01T00:00:00Z", body * 1500)
+    (tmp_path / "big #1.warc.zst").write_bytes(large + zstandard.ZstdCompressor().compress(long))
+    got = warc.read_warc(spark, str(tmp_path)).selectExpr("count(*) n", "max(octet_length(content)) m", "count(error) e").first()
+    assert tuple(got) == (3201, 30_000_000, 0)
+
+
+def test_warc_awkward(spark):
+    """Null html, url and id, repeated rows, a long page, columns of clashing names, an empty table."""
+    rows = [(1, "u", "<p>", "a"), (1, "u", "<p>", "b"), (2, None, None, None), (None, "v", "", "c"), (3, "w", "x" * 5_000_000, "d")]
+    pages = spark.createDataFrame([(a, b, c, d, d) for a, b, c, d in rows], "page_id bigint, url string, html string, content string, path string")
+    got = warc.read_archives(warc.pages_to_archives(pages.repartition(2)))
+    assert {(r.record_id, r.target_uri, len(r.content)) for r in got.collect()} == {("<urn:page:1>", "u", 3), ("<urn:page:2>", None, 0), ("<urn:page:None>", "v", 0), ("<urn:page:3>", "w", 5_000_000)}
+    assert got.where("error is null").count() == 5
+    assert warc.read_archives(warc.pages_to_archives(pages.where("false"))).count() == 0
+
+
 @pytest.fixture(scope="module")
 def tiktoken_encoding():
     import tiktoken
