@@ -12,10 +12,11 @@ import sys
 from pyspark.sql import SparkSession
 
 from . import api
+from .operators import index as I
 from .operators import render
 from .operators import search as S
-from .plans.spec import PatternError, SearchSpec, patterns_from_file
-from .sources import corpus
+from .plans.spec import PatternError, SearchSpec, parse_filesize, patterns_from_file
+from .sources import corpus, filters
 
 
 def parser() -> argparse.ArgumentParser:
@@ -25,6 +26,7 @@ def parser() -> argparse.ArgumentParser:
     i.add_argument("path", nargs="?", default=".")
     i.add_argument("--force", action="store_true")
     i.add_argument("--max-filesize", default="50M")
+    i.add_argument("-j", "--threads", type=int)
     for name in ("status", "clear"):
         sub.add_parser(name).add_argument("path", nargs="?", default=".")
     sub.add_parser("type-list")
@@ -64,13 +66,30 @@ def spec_of(a: argparse.Namespace) -> SearchSpec:
     )
 
 
+def warnings(spark: SparkSession, root: str, index: str | None) -> list[str]:
+    """What is to be said of the index before a search."""
+    if index is None:
+        return []
+    try:
+        known = I.facts(spark, index)["corpus_version"]
+    except I.NoIndex:
+        return ["no index, all files are searched"]
+    return ["the index is of another commit; changed files are searched, run index to bring it up to date"] if I.is_stale(known, api.git_head(root)) else []
+
+
 def search(spark: SparkSession, a: argparse.Namespace, out) -> int:
     """The first mode that is asked for, in this order: files, counts, quiet, paths with, paths without, JSON, lines."""
     spec = spec_of(a)
-    docs = corpus.file_tree(spark, a.path, text_mode=a.text, hidden=a.hidden, follow=a.follow, ignore=not a.no_ignore, vcs_ignore=not a.no_ignore_vcs)
+    options = {"hidden": a.hidden, "follow": a.follow, "ignore": not a.no_ignore, "vcs_ignore": not a.no_ignore_vcs}
     everything = a.files or a.count or a.count_matches or a.files_without_match or a.passthru
     index = None if everything or a.no_index or a.text else api.index_dir_for(spark, a.path)
-    docs = api._scope(docs, spec, index, False)
+    if not a.no_messages and not a.files:
+        for message in [*warnings(spark, a.path, index), *corpus.skipped(a.path, corpus.walk(a.path, **options))]:
+            print(f"lexsieve: {message}", file=sys.stderr)
+    if a.files:
+        docs = filters.documents(corpus.listing(spark, a.path, **options), spec, size="size")
+    else:
+        docs = api.tree(spark, a.path, spec, index, a.text, **options)
     color = a.color in ("always", "ansi") or (a.color == "auto" and out.isatty())
     layout = render.Layout(filename=not a.no_filename, line_number=(a.line_number or a.pretty or a.vimgrep or out.isatty()) and not a.no_line_number, column=a.column, byte_offset=a.byte_offset, heading=(a.heading or a.pretty) and not a.no_heading, color=color or a.pretty, null=a.null, separator=a.context_separator, vimgrep=a.vimgrep)
     some = False
@@ -108,7 +127,9 @@ def search(spark: SparkSession, a: argparse.Namespace, out) -> int:
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None, out=None) -> int:
     a, out = parser().parse_args(argv), out or sys.stdout
-    spark = spark or SparkSession.builder.appName("lexsieve").getOrCreate()
+    if spark is None:
+        builder = SparkSession.builder.appName("lexsieve")
+        spark = (builder.master(f"local[{a.threads}]") if getattr(a, "threads", None) else builder).getOrCreate()
     try:
         if a.command == "search":
             return search(spark, a, out)
@@ -116,14 +137,15 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, out=N
             for r in api.type_list(spark).collect():
                 out.write(f"{r['name']}: {r['globs']}\n")
         elif a.command == "index":
-            facts = api.build_index(corpus.file_tree(spark, a.path), api.index_dir_for(spark, a.path), a.force, api.git_head(a.path))
-            out.write(json.dumps(facts) + "\n")
+            most = parse_filesize(a.max_filesize) or corpus.INDEX_BYTES
+            facts = api.build_index(corpus.file_tree(spark, a.path, max_bytes=most), api.index_dir_for(spark, a.path), a.force, api.git_head(a.path), most, store=False)
+            out.write(json.dumps({k: v for k, v in facts.items() if k != "segments"}) + "\n")
         elif a.command == "status":
             out.write(json.dumps(api.index_status(spark, api.index_dir_for(spark, a.path)).first().asDict()) + "\n")
         elif a.command == "clear":
             return 0 if api.clear_index(spark, api.index_dir_for(spark, a.path)) else 1
         return 0
-    except (PatternError, ValueError, OSError) as e:
+    except (PatternError, ValueError, OSError, I.Locked) as e:
         print(f"lexsieve: {e}", file=sys.stderr)
         return 2
 

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .operators import index as I
 from .operators import search as S
 from .plans.spec import SearchSpec
+from .sources import corpus as C
 from .sources import filters
 from .storage import work_dir
 
@@ -45,8 +46,8 @@ def git_head(root: str) -> str | None:
         return None
 
 
-def build_index(corpus: DataFrame, path: str, force: bool = False, corpus_version: str | None = None) -> dict:
-    return I.build(corpus, path, force, corpus_version=corpus_version)
+def build_index(corpus: DataFrame, path: str, force: bool = False, corpus_version: str | None = None, max_bytes: int = C.INDEX_BYTES, store: bool = True) -> dict:
+    return I.build(corpus, path, force, max_bytes, corpus_version, store)
 
 
 def ensure_index(corpus: DataFrame, path: str, corpus_version: str | None = None) -> dict:
@@ -61,9 +62,19 @@ def ensure_index(corpus: DataFrame, path: str, corpus_version: str | None = None
 
 
 def _scope(corpus: DataFrame, spec: SearchSpec, index: str | None, current: bool) -> DataFrame:
-    if "path" in corpus.columns:
-        corpus = filters.documents(corpus, spec, size="size" if "size" in corpus.columns else None)
-    return I.candidates(corpus, index, spec, current) if index else corpus
+    docs = I.candidates(corpus, index, spec, current) if index else corpus  # of the whole corpus, as `current` means it
+    return filters.documents(docs, spec, size="size" if "size" in docs.columns else None) if "path" in docs.columns else docs
+
+
+def tree(spark: SparkSession, root: str, spec: SearchSpec, index: str | None = None, text_mode: bool = False, **options) -> DataFrame:
+    """The documents of a file tree that may match; files are filtered by path and ruled out by the index before any is read.
+
+    The listing is on the driver, as the walk gives it; options as of sources.corpus.file_tree.
+    """
+    files = filters.documents(C.listing(spark, root, **options), spec, size="size")
+    if index:
+        files = I.candidates(files, index, spec)
+    return C.file_tree(spark, root, text_mode, only=[r[0] for r in files.select("path").toLocalIterator()], **options)
 
 
 def search(corpus: DataFrame, spec: SearchSpec, index: str | None = None, mode: str = "lines", current: bool = False) -> DataFrame:
@@ -83,15 +94,22 @@ def search(corpus: DataFrame, spec: SearchSpec, index: str | None = None, mode:
 
 
 def search_records(corpus: DataFrame, pattern: str, index: str | None = None, max_results: int = RECORDS, context_lines: int = 0, **options) -> tuple[DataFrame, DataFrame]:
-    """(matches with context, one row of statistics)."""
+    """(matches with context, one row of statistics).
+
+    With a limit the search runs here, at most max_results matches come to the driver, and elapsed_ms is its time; without
+    one the matches stay a plan, which runs when it is used, and elapsed_ms is that of the statistics.
+    """
     began = time.monotonic()
     spec = SearchSpec(pattern, max_results=max_results, context=context_lines, **options)
     scope = _scope(corpus, spec, None, False)
     docs = I.candidates(scope, index, spec) if index else scope
     found = S.context_records(docs, spec)
-    numbers = [F.lit(corpus.count()).cast("bigint").alias("total_files"), F.lit(docs.count()).cast("bigint").alias("candidates")]
-    stats = S.stats(docs, spec).select(*numbers, "files_searched", F.col("lines_matched").alias("matches_found"), F.lit(round((time.monotonic() - began) * 1000, 3)).alias("elapsed_ms"))
-    return found, stats
+    if max_results:
+        found = corpus.sparkSession.createDataFrame(found.collect(), found.schema)
+    total = corpus.select(F.count("*").alias("total_files"))
+    stats = S.stats(docs, spec).crossJoin(docs.select(F.count("*").alias("candidates"))).crossJoin(total).first()  # a row each
+    row = (stats["total_files"], stats["candidates"], stats["files_searched"], stats["lines_matched"], round((time.monotonic() - began) * 1000, 3))
+    return found, corpus.sparkSession.createDataFrame([row], "total_files bigint, candidates bigint, files_searched bigint, matches_found bigint, elapsed_ms double")
 
 
 def search_response(corpus: DataFrame, pattern: str, index: str | None = None, **options) -> str:

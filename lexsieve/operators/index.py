@@ -1,8 +1,18 @@
-"""The n-gram index: build, refresh, status, and pruned search.
+"""The n-gram index: build, append, refresh, compact, status, and pruned search.
 
-An index is a folder of versions, `v-...`, each with Parquet tables postings(ngram, block, doc_ids), sorted by ngram, and
-files(doc_id, path, mtime_secs, content_hash); the file CURRENT names the version in force and its facts, and is put in
-place by one rename, so that a reader sees the old version or the new one and a failed build changes nothing.
+An index is a folder of segments, `s-...`, each with Parquet tables
+
+    postings(ngram, block, doc_ids)   inverted lists of runs of documents, sorted by ngram
+    files(doc_id, path, mtime_secs, content_hash)
+    texts(doc_id, path, ..., text)    the documents themselves, sorted by doc_id in small row groups (unless store=False)
+    gone-.../(doc_id)                 documents of the segment that a later refresh replaced or removed
+
+and the file CURRENT, which names the segments in force, with the n-gram range of each posting file and the n-grams that
+very many documents have, so that a search reads only the files it needs and sees without a job when it is no use.
+
+CURRENT is put in place by one atomic rename: a reader sees the old state or the new one, and a failed build changes
+nothing.  What a state no longer names is deleted only when it is older than KEEP_SECONDS, so that running readers end in
+peace.  Writers take the file LOCK; one that finds it held fails, unless the holder is older than LOCK_SECONDS.
 """
 
 from __future__ import annotations
@@ -10,12 +20,14 @@ from __future__ import annotations
 import json
 import time
 import uuid
+from contextlib import contextmanager
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import ArrayType, LongType
+from pyspark.sql.types import ArrayType, LongType, StructType
 
 from ..functions.grams import posting_blocks
 from ..plans import gram_query
@@ -24,22 +36,41 @@ from ..sources.corpus import INDEX_BYTES
 from ..storage import Folder
 from . import search as S
 
-FORMAT = 1
-CURRENT = "CURRENT.json"
+FORMAT = 2
+CURRENT, LOCK = "CURRENT.json", "LOCK"
+KEEP_SECONDS, LOCK_SECONDS = 3600, 6 * 3600
 #: Corpora up to this size are spread over all cores before n-grams are extracted.
 SPREAD_BYTES = 1 << 30
+#: More segments than this are merged by the next refresh or append.
+MOST_SEGMENTS = 8
+#: N-grams in at least this share of a segment's documents are named in CURRENT; a document has so many n-grams at most.
+COMMON_SHARE = 0.1
+#: A pattern that more than this share of the documents may match is searched without the index.
+WEAK_SHARE = 0.5
+#: Up to so many candidates are looked up by their ids in the stored texts; more are joined.
+LISTED = 2000
+STORED = ("doc_id", "path", "size", "mtime", "atime", "created", "text")
+#: Small row groups and pages of stored texts: a few ids reach few of them.
+TEXT_LAYOUT = {"parquet.block.size": 4 << 20, "parquet.page.row.count.limit": 16, "parquet.page.size.row.check.min": 8}
 
 
 class NoIndex(LookupError):
     """There is no index there, or one of another format."""
 
 
+class Locked(RuntimeError):
+    """Another writer is at work on the index."""
+
+
 def _prepared(corpus: DataFrame, max_bytes: int) -> DataFrame:
     """(doc_id, path, mtime_secs, content) of the documents that are indexed: with text, not binary, not too large."""
     path = F.col("path") if "path" in corpus.columns else F.col("doc_id").cast("string")
     mtime = F.col("mtime").cast("bigint") if "mtime" in corpus.columns else F.lit(0).cast("bigint")
-    rows = corpus.where(F.col("text").isNotNull() & (F.octet_length("text") <= max_bytes) & ~F.contains("text", F.lit("\0")))
-    return rows.select("doc_id", path.alias("path"), mtime.alias("mtime_secs"), F.col("text").cast("binary").alias("content"))
+    return _indexable(corpus, max_bytes).select("doc_id", path.alias("path"), mtime.alias("mtime_secs"), F.col("text").cast("binary").alias("content"))
+
+
+def _indexable(corpus: DataFrame, max_bytes: int) -> DataFrame:
+    return corpus.where(F.col("text").isNotNull() & (F.octet_length("text") <= max_bytes) & ~F.contains("text", F.lit("\0")))
 
 
 def _spread(corpus: DataFrame) -> DataFrame:
@@ -67,32 +98,79 @@ def _files(corpus: DataFrame, max_bytes: int) -> DataFrame:
     return _prepared(corpus, max_bytes).select("doc_id", "path", "mtime_secs", F.xxhash64("content").alias("content_hash"))
 
 
-def _write(spark: SparkSession, folder: Folder, postings: DataFrame, files: DataFrame, corpus_version: str | None) -> dict:
-    version = f"v-{uuid.uuid4().hex}"
-    at = f"{folder.path}/{version}"
+@contextmanager
+def _writing(folder: Folder):
+    """Hold the lock of an index."""
+    held = folder.age(LOCK)
+    if held is not None and held > LOCK_SECONDS:
+        folder.delete(LOCK)
+    if not folder.create(LOCK):
+        raise Locked(f"{folder.path} is being written; delete {LOCK} if that isn't so")
+    try:
+        yield
+    finally:
+        folder.delete(LOCK)
+
+
+def _write_segment(spark: SparkSession, folder: Folder, postings: DataFrame, files: DataFrame, texts: DataFrame | None, name: str | None = None) -> dict:
+    """Write a segment; its entry for CURRENT."""
+    name = name or f"s-{uuid.uuid4().hex}"
+    at = f"{folder.path}/{name}"
+    # written as it comes first, since to cut it into ranges it is read twice
+    postings.write.mode("overwrite").parquet(f"{at}/unsorted")
     # sorted by n-gram: a lookup reads the row groups whose range holds it
-    postings.repartitionByRange("ngram").sortWithinPartitions("ngram").write.parquet(f"{at}/postings")
-    files.write.parquet(f"{at}/files")
+    spark.read.schema(postings.schema).parquet(f"{at}/unsorted").repartitionByRange("ngram").sortWithinPartitions("ngram").write.mode("overwrite").parquet(f"{at}/postings")
+    folder.delete(f"{name}/unsorted")
+    files.write.mode("overwrite").parquet(f"{at}/files")
+    if texts is not None:
+        texts.repartitionByRange("doc_id").sortWithinPartitions("doc_id").write.mode("overwrite").options(**TEXT_LAYOUT).parquet(f"{at}/texts")
     n_files = spark.read.parquet(f"{at}/files").count()
-    n_grams = spark.read.parquet(f"{at}/postings").select(F.count_distinct("ngram")).first()[0]
-    facts = {"format": FORMAT, "version": version, "num_files": n_files, "num_ngrams": n_grams, "corpus_version": corpus_version, "timestamp": int(time.time())}
-    folder.publish(CURRENT, json.dumps(facts))
+    stored = spark.read.parquet(f"{at}/postings")
+    grams = stored.groupBy(F.col("_metadata.file_name").alias("file"), "ngram").agg(F.sum(F.size("doc_ids")).alias("n"))
+    ranges = grams.groupBy("file").agg(F.hex(F.min("ngram")).alias("low"), F.hex(F.max("ngram")).alias("high"), F.count("*").alias("ngrams"), F.sum("n").alias("postings")).collect()  # a row for each file
+    common = grams.where(F.col("n") >= COMMON_SHARE * n_files).select(F.hex("ngram").alias("g"), (F.col("n") / n_files).alias("share")).collect() if n_files else []
+    return {
+        "name": name, "num_files": n_files, "num_ngrams": sum(r["ngrams"] for r in ranges), "num_postings": sum(r["postings"] for r in ranges), "files": sorted([r["low"], r["high"], r["file"]] for r in ranges),
+        "common": {r["g"]: round(r["share"], 4) for r in common}, "id": stored.schema["doc_ids"].dataType.elementType.simpleString(), "texts": spark.read.parquet(f"{at}/texts").schema.json() if texts is not None else None, "gone": [],
+    }
+
+
+def _texts_of(corpus: DataFrame, max_bytes: int, store: bool) -> DataFrame | None:
+    return _indexable(corpus, max_bytes).select(*[c for c in STORED if c in corpus.columns]) if store else None
+
+
+def _publish(spark: SparkSession, folder: Folder, segments: list[dict], corpus_version: str | None) -> dict:
+    """Put a state in force, and delete what no state has named for a while."""
+    n = sum(s["num_files"] - s.get("num_gone", 0) for s in segments)
+    now = {"format": FORMAT, "version": uuid.uuid4().hex, "num_files": n, "num_ngrams": _num_ngrams(segments), "corpus_version": corpus_version, "timestamp": int(time.time()), "segments": segments}
+    folder.publish(CURRENT, json.dumps(now))
+    named = {s["name"] for s in segments}
     for name in folder.names():
-        if name.startswith("v-") and name != version:
+        if name.startswith("s-") and name not in named and (folder.age(name) or 0) > KEEP_SECONDS:
             folder.delete(name)
-    return facts
+    return now
+
+
+def _num_ngrams(segments: list[dict]) -> int | None:
+    """Distinct n-grams, if that is known without a scan: of one segment as it was written."""
+    return segments[0]["num_ngrams"] if len(segments) == 1 and not segments[0]["gone"] else None
+
 
+def build(corpus: DataFrame, path: str, force: bool = False, max_bytes: int = INDEX_BYTES, corpus_version: str | None = None, store: bool = True) -> dict:
+    """Build the index, or refresh it if there is one and `force` isn't set; returns its facts.
 
-def build(corpus: DataFrame, path: str, force: bool = False, max_bytes: int = INDEX_BYTES, corpus_version: str | None = None) -> dict:
-    """Build the index, or refresh it if there is one and `force` isn't set; returns its facts."""
+    store: whether to keep the texts too, sorted by doc_id, so that a pruned search reads candidates alone.
+    """
     spark = corpus.sparkSession
     folder = Folder(spark, path)
     if not force and exists(spark, path):
         try:
-            return refresh(corpus, path, max_bytes, corpus_version)
+            return refresh(corpus, path, max_bytes, corpus_version, store)
         except NoIndex:
             pass
-    return _write(spark, folder, extract_blocks(corpus, max_bytes), _files(corpus, max_bytes), corpus_version)
+    with _writing(folder):
+        segment = _write_segment(spark, folder, extract_blocks(corpus, max_bytes), _files(corpus, max_bytes), _texts_of(corpus, max_bytes, store))
+        return _publish(spark, folder, [segment], corpus_version)
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -103,7 +181,7 @@ def facts(spark: SparkSession, path: str) -> dict:
     folder = Folder(spark, path)
     try:
         out = json.loads(folder.read(CURRENT))
-        ok = out["format"] == FORMAT and folder.exists(f"{out['version']}/postings/_SUCCESS") and folder.exists(f"{out['version']}/files/_SUCCESS")
+        ok = out["format"] == FORMAT and all(folder.exists(f"{s['name']}/{t}/_SUCCESS") for s in out["segments"] for t in ("postings", "files"))
     except Exception as e:  # unreadable in any way
         raise NoIndex(f"no readable index in {path}") from e
     if not ok:
@@ -111,18 +189,54 @@ def facts(spark: SparkSession, path: str) -> dict:
     return out
 
 
+def _live(spark: SparkSession, path: str, segment: dict, rows: DataFrame) -> DataFrame:
+    """Rows with a doc_id without those of documents that are gone from the segment."""
+    for name in segment["gone"]:
+        rows = rows.join(spark.read.parquet(f"{path}/{segment['name']}/{name}"), "doc_id", "left_anti")
+    return rows
+
+
+def _blocks(spark: SparkSession, path: str, segment: dict, ngrams: list[bytes] | None = None) -> DataFrame:
+    """(ngram, block, doc_ids) of a segment as stored; of some n-grams alone, out of the files whose range holds them."""
+    at = f"{path}/{segment['name']}/postings"
+    reader = spark.read.schema(f"ngram binary, block bigint, doc_ids array<{segment['id']}>")
+    if ngrams is None:
+        return reader.parquet(at)
+    wanted = [g.hex().upper() for g in ngrams]
+    files = [f"{at}/{name}" for low, high, name in segment["files"] if any(low <= g <= high for g in wanted)]
+    rows = reader.parquet(*files) if files else spark.createDataFrame([], reader.parquet(at).schema)
+    return rows.where(F.col("ngram").isin([F.lit(g) for g in ngrams]))
+
+
+def _posting_table(spark: SparkSession, path: str, segments: list[dict]) -> DataFrame:
+    def of(s: dict) -> DataFrame:
+        rows = _blocks(spark, path, s)
+        if s["gone"]:
+            rows = _live(spark, path, s, rows.select("ngram", "block", F.explode("doc_ids").alias("doc_id")))
+            rows = rows.groupBy("ngram", "block").agg(F.collect_list("doc_id").alias("doc_ids"))  # as long as a block has documents
+        return rows
+
+    return reduce(DataFrame.unionByName, map(of, segments))
+
+
 def posting_table(spark: SparkSession, path: str) -> DataFrame:
-    """(ngram, block, doc_ids) as stored."""
-    return spark.read.parquet(f"{path.rstrip('/')}/{facts(spark, path)['version']}/postings")
+    """(ngram, block, doc_ids) of the documents in force."""
+    return _posting_table(spark, path.rstrip("/"), facts(spark, path)["segments"])
 
 
 def postings(spark: SparkSession, path: str) -> DataFrame:
     """(ngram, doc_id); a filter on ngram reaches the sorted files."""
-    return _long(posting_table(spark, path))
+    path = path.rstrip("/")
+    return reduce(DataFrame.unionByName, [_live(spark, path, s, _long(_blocks(spark, path, s))) for s in facts(spark, path)["segments"]])
 
 
 def files(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(f"{path.rstrip('/')}/{facts(spark, path)['version']}/files")
+    path = path.rstrip("/")
+    return _files_of(spark, path, facts(spark, path)["segments"])
+
+
+def _files_of(spark: SparkSession, path: str, segments: list[dict]) -> DataFrame:
+    return reduce(DataFrame.unionByName, [_live(spark, path, s, spark.read.parquet(f"{path}/{s['name']}/files")) for s in segments])
 
 
 def changes(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -133,27 +247,79 @@ def changes(old: DataFrame, new: DataFrame) -> DataFrame:
     return a.join(b, "path", "full_outer").select("path", status.alias("status"))
 
 
-def refresh(corpus: DataFrame, path: str, max_bytes: int = INDEX_BYTES, corpus_version: str | None = None) -> dict:
-    """Bring the index up to date: n-grams are extracted from new and modified documents only.
+def refresh(corpus: DataFrame, path: str, max_bytes: int = INDEX_BYTES, corpus_version: str | None = None, store: bool = True) -> dict:
+    """Bring the index up to date: new and modified documents become a segment, replaced and removed ones are marked gone.
 
-    If nothing changed only the corpus version is brought up to date.
+    The postings of unchanged documents aren't touched, until there are more than MOST_SEGMENTS segments.  If nothing
+    changed only the corpus version is brought up to date.
+    """
+    spark = corpus.sparkSession
+    folder, path = Folder(spark, path), path.rstrip("/")
+    with _writing(folder):
+        before = facts(spark, path)
+        new = _prepared(corpus, max_bytes).select("doc_id", "path", "mtime_secs")
+        old = _files_of(spark, path, before["segments"])
+        found = {r["status"]: r["n"] for r in changes(old, new).groupBy("status").agg(F.count("*").alias("n")).collect()}
+        if set(found) <= {"unchanged"}:
+            now = {**before, "corpus_version": corpus_version}
+            folder.publish(CURRENT, json.dumps(now))
+            return now
+        key = F.col("path" if "path" in corpus.columns else "doc_id").cast("string")
+        # a document is unchanged if path, mtime and id are
+        same = old.join(new, ["doc_id", "path", "mtime_secs"], "left_semi").select(F.col("path").alias("__path"))
+        fresh = corpus.join(same, key == F.col("__path"), "left_anti")
+        segments = [_without(spark, path, s, new) for s in before["segments"]]
+        segment = _write_segment(spark, folder, extract_blocks(fresh, max_bytes), _files(fresh, max_bytes), _texts_of(fresh, max_bytes, store))
+        return _publish(spark, folder, _merged(spark, folder, [*segments, segment]), corpus_version)
+
+
+def _without(spark: SparkSession, path: str, segment: dict, new: DataFrame) -> dict:
+    """The segment's entry, with the documents that `new` (doc_id, path, mtime_secs) doesn't hold as they were marked gone."""
+    was = _files_of(spark, path, [segment])
+    gone = f"gone-{uuid.uuid4().hex}"
+    was.join(new, ["doc_id", "path", "mtime_secs"], "left_anti").select("doc_id").write.parquet(f"{path}/{segment['name']}/{gone}")
+    n = spark.read.parquet(f"{path}/{segment['name']}/{gone}").count()
+    if not n:
+        Folder(spark, path).delete(f"{segment['name']}/{gone}")
+    return {**segment, "gone": [*segment["gone"], gone], "num_gone": segment.get("num_gone", 0) + n} if n else segment
+
+
+def _merged(spark: SparkSession, folder: Folder, segments: list[dict]) -> list[dict]:
+    """The segments; merged to one if they are many or most of their documents are gone.  Empty ones are left out."""
+    live = [s for s in segments if s["num_files"] > s.get("num_gone", 0)] or segments[-1:]
+    if len(live) <= MOST_SEGMENTS and 2 * sum(s.get("num_gone", 0) for s in live) <= sum(s["num_files"] for s in live):
+        return live
+    texts = None
+    if len({s["texts"] for s in live}) == 1 and live[0]["texts"]:
+        texts = reduce(DataFrame.unionByName, [_live(spark, folder.path, s, spark.read.parquet(f"{folder.path}/{s['name']}/texts")) for s in live])
+    return [_write_segment(spark, folder, _posting_table(spark, folder.path, live), _files_of(spark, folder.path, live), texts)]
+
+
+def append(corpus: DataFrame, path: str, max_bytes: int = INDEX_BYTES, batch: str | None = None, store: bool = True) -> dict:
+    """Add documents as a segment; those of them whose doc_id is indexed replace it.
+
+    batch: a name for them; what is appended under the name of a batch that is there changes nothing.
     """
     spark = corpus.sparkSession
-    folder, before = Folder(spark, path), facts(spark, path)
-    old, new = files(spark, path), _prepared(corpus, max_bytes).select("doc_id", "path", "mtime_secs")
-    found = {r["status"]: r["n"] for r in changes(old, new).groupBy("status").agg(F.count("*").alias("n")).collect()}
-    if set(found) <= {"unchanged"}:
-        now = {**before, "corpus_version": corpus_version}
-        folder.publish(CURRENT, json.dumps(now))
-        return now
-    # a document is unchanged if path, mtime and id are
-    same = old.join(new, ["doc_id", "path", "mtime_secs"], "left_semi").select("doc_id")
-    key = "path" if "path" in corpus.columns else "doc_id"
-    fresh = corpus.join(old.join(same, "doc_id", "left_semi").select("path").withColumnRenamed("path", "__path"), F.col(key).cast("string") == F.col("__path"), "left_anti")
-    kept = posting_table(spark, path).select("ngram", "block", F.explode("doc_ids").alias("doc_id")).join(same, "doc_id", "left_semi")
-    kept = kept.groupBy("ngram", "block").agg(F.collect_list("doc_id").alias("doc_ids"))  # as long as a block has documents
-    all_files = old.join(same, "doc_id", "left_semi").unionByName(_files(fresh, max_bytes))
-    return _write(spark, folder, kept.unionByName(extract_blocks(fresh, max_bytes)), all_files, corpus_version)
+    folder, path = Folder(spark, path), path.rstrip("/")
+    with _writing(folder):
+        try:
+            before = facts(spark, path)
+        except NoIndex:
+            before = {"segments": [], "corpus_version": None, "batches": []}
+        if batch is not None and any(batch in s.get("batches", []) for s in before["segments"]):
+            return before
+        segment = _write_segment(spark, folder, extract_blocks(corpus, max_bytes), _files(corpus, max_bytes), _texts_of(corpus, max_bytes, store))
+        ids = spark.read.parquet(f"{path}/{segment['name']}/files").select("doc_id")
+        others = []
+        for s in before["segments"]:
+            kept = _files_of(spark, path, [s]).join(ids, "doc_id", "left_anti").select("doc_id", "path", "mtime_secs")
+            others.append(_without(spark, path, s, kept))
+        merged = _merged(spark, folder, [*others, segment])
+        names = [b for s in before["segments"] for b in s.get("batches", [])] + ([batch] if batch is not None else [])
+        merged[-1] = {**merged[-1], "batches": names}
+        merged[:-1] = [{**s, "batches": []} for s in merged[:-1]]
+        return _publish(spark, folder, merged, before["corpus_version"])
 
 
 def is_stale(indexed: str | None, current: str | None) -> bool:
@@ -168,8 +334,10 @@ def status(spark: SparkSession, path: str) -> DataFrame:
         f = facts(spark, path)
     except NoIndex:
         return spark.createDataFrame([(False, *[None] * 7)], kinds)
-    n = posting_table(spark, path).agg(F.coalesce(F.sum(F.size("doc_ids")), F.lit(0)).cast("bigint")).first()[0]
-    return spark.createDataFrame([(True, f["format"], f["num_files"], f["num_ngrams"], n, f["corpus_version"], f["timestamp"], Folder(spark, path).size())], kinds)
+    ngrams, n = f["num_ngrams"], f["segments"][0]["num_postings"]
+    if ngrams is None:
+        ngrams, n = posting_table(spark, path).agg(F.count_distinct("ngram"), F.coalesce(F.sum(F.size("doc_ids")), F.lit(0)).cast("bigint")).first()
+    return spark.createDataFrame([(True, f["format"], f["num_files"], ngrams, n, f["corpus_version"], f["timestamp"], Folder(spark, path).size())], kinds)
 
 
 def clear(spark: SparkSession, path: str) -> bool:
@@ -220,21 +388,45 @@ def delta_decoded(lists: DataFrame) -> DataFrame:
     return lists.select("ngram", _running(F.col("first").cast("bigint"), "gaps").alias("doc_ids"))
 
 
+def _share(condition: object, common: dict[str, float]) -> float:
+    """Upper estimate of the share of a segment's documents that meet the condition."""
+    if isinstance(condition, gram_query.Term):
+        return min((common.get(g.hex().upper(), COMMON_SHARE) for g in gram_query.covering(condition.literal)), default=1.0)
+    parts = [_share(p, common) for p in condition.parts]
+    return min(parts) if isinstance(condition, gram_query.Both) else min(1.0, sum(parts))
+
+
+def matching(spark: SparkSession, path: str, condition: object, state: dict | None = None) -> DataFrame:
+    """(doc_id) of the documents in force that meet the condition on n-grams."""
+    path = path.rstrip("/")
+    state = state or facts(spark, path)
+    wanted = gram_query.wanted(condition)
+    return reduce(DataFrame.union, [_live(spark, path, s, gram_query.candidates_of_blocks(_blocks(spark, path, s, wanted), condition)) for s in state["segments"]])
+
+
 def candidates(corpus: DataFrame, path: str, spec: SearchSpec, current: bool = False) -> DataFrame:
     """The documents of `corpus` that may match.
 
-    Documents that the index doesn't hold, or holds in another version, always may; `current` asserts there are none.
-    Without a condition or without a readable index all may.
+    Documents that the index doesn't hold, or holds in another version, always may; `current` asserts there are none, and
+    that `corpus` is the whole of what was indexed: then, if texts are stored, few candidates are read from there by their
+    ids, which skips the other row groups.  Without a condition or a readable index, or if most documents may match, all do.
     """
     spark, condition = corpus.sparkSession, spec.pruning()
     try:
-        known = postings(spark, path) if condition is not None else None
+        state = facts(spark, path) if condition is not None else None
     except NoIndex:
-        known = None
-    if known is None:
+        state = None
+    if state is None:
+        return corpus
+    total = sum(s["num_files"] for s in state["segments"])
+    if sum(s["num_files"] * _share(condition, s["common"]) for s in state["segments"]) > WEAK_SHARE * total:
         return corpus
-    found = gram_query.candidates(known, condition)
+    found = matching(spark, path, condition, state)
     if current:
+        if all(s["texts"] for s in state["segments"]) and all(c in STORED for c in corpus.columns):
+            ids = [r[0] for r in found.limit(LISTED + 1).collect()]
+            if len(ids) <= LISTED:
+                return _stored(spark, path.rstrip("/"), state, ids, corpus.columns)
         return corpus.join(found, "doc_id", "left_semi")
     ruled_out = files(spark, path).join(found, "doc_id", "left_anti").select("doc_id", "mtime_secs")
     if "mtime" in corpus.columns:
@@ -243,10 +435,20 @@ def candidates(corpus: DataFrame, path: str, spec: SearchSpec, current: bool = F
     return corpus.join(ruled_out.select("doc_id"), "doc_id", "left_anti")
 
 
+def _stored(spark: SparkSession, path: str, state: dict, ids: list, columns: list[str]) -> DataFrame:
+    """The stored documents of these ids; the ids reach the row groups of the sorted files."""
+    spark.conf.set("spark.sql.parquet.pushdown.inFilterThreshold", max(LISTED, int(spark.conf.get("spark.sql.parquet.pushdown.inFilterThreshold"))))
+    rows = []
+    for s in state["segments"]:
+        texts = spark.read.schema(StructType.fromJson(json.loads(s["texts"]))).parquet(f"{path}/{s['name']}/texts").select(*columns)
+        rows.append(_live(spark, path, s, texts.where(F.col("doc_id").isin(ids) if ids else F.lit(False))))
+    return reduce(DataFrame.unionByName, rows)
+
+
 def query_strength(spark: SparkSession, path: str, spec: SearchSpec) -> DataFrame:
     """One row: strength, candidates, total."""
     total, condition = files(spark, path).count(), spec.pruning()
-    n = gram_query.candidates(postings(spark, path), condition).count() if condition is not None else total
+    n = matching(spark, path, condition).count() if condition is not None else total
     return spark.createDataFrame([(gram_query.strength(n, total, condition is not None), n, total)], "strength string, candidates bigint, total bigint")
 
 

@@ -122,6 +122,33 @@ def candidates(postings: DataFrame, c: object) -> DataFrame:
     return sets.where(test(c)).select("doc_id")
 
 
+def wanted(c: object) -> list[bytes]:
+    """The n-grams whose lists the condition needs."""
+    return sorted({g for t in terms(c) for g in covering(t)})
+
+
+def candidates_of_blocks(blocks: DataFrame, c: object) -> DataFrame:
+    """blocks(ngram, block, doc_ids) of the wanted n-grams -> doc_id of the documents that meet the condition, each once.
+
+    Lists are intersected and united block by block, so that what is shuffled is a row for each n-gram and block.
+    """
+    kind = blocks.schema["doc_ids"].dataType.simpleString()
+    lists = blocks.groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("ngram", "doc_ids"))).alias("m"))
+    none = F.array().cast(kind)
+
+    def documents(c: object):
+        if isinstance(c, Term):
+            parts = [F.coalesce(F.try_element_at(F.col("m"), F.lit(g)), none) for g in covering(c.literal)]
+        else:
+            parts = [documents(p) for p in c.parts]
+        out = parts[0]
+        for p in parts[1:]:
+            out = F.array_union(out, p) if isinstance(c, Either) else F.array_intersect(out, p)
+        return out
+
+    return lists.select(F.explode(documents(c)).alias("doc_id"))
+
+
 def candidates_in_cases(postings: DataFrame, literal: str) -> DataFrame:
     """doc_id of documents that may hold the literal as it is, in lower case or in upper case.
 

@@ -5,9 +5,10 @@ Queries are (spark, sf_dir) -> DataFrame over whole tables; limits stand only wh
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from .functions import text as T
 from .functions.grams import byte_classes, fnv1a
@@ -148,9 +149,30 @@ query("max_count", f"WITH {L}, r AS (SELECT *, row_number() OVER (PARTITION BY d
 query("max_results", f"WITH {L} SELECT doc_id, line_no, {_rtrim('line')} AS line FROM l WHERE contains(line, 'tion') ORDER BY doc_id, line_no LIMIT 25")(_docs(S.match_lines, SearchSpec("tion", max_results=25)))
 
 
-query("sort_path", "SELECT page_id AS doc_id, regexp_replace(url, '^[a-z]+://', '') AS path FROM pages WHERE contains(html, 'idiot')")(
-    lambda spark, d: S.ordered(S.files_with(C.pages(spark, d), SearchSpec("idiot")), SearchSpec("idiot", sort="path", sort_reverse=True))
-)
+def _placed(rows: DataFrame, *columns: str) -> DataFrame:
+    """Rows with the place at which they come, of an ordered result: written once, then counted by partition."""
+    spark, path = rows.sparkSession, f"{work_dir(rows.sparkSession)}/placed-{uuid.uuid4().hex}"
+    m = F.monotonically_increasing_id()
+    rows.select(*columns, F.shiftright(m, 33).alias("part"), m.bitwiseAND(F.lit((1 << 33) - 1)).alias("at")).write.parquet(path)
+    got = spark.read.parquet(path)
+    counts = got.groupBy("part").count().withColumn("before", F.coalesce(F.sum("count").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    # a row for each partition
+    return got.join(F.broadcast(counts.select("part", "before")), "part").select((F.col("before") + F.col("at") + 1).cast("int").alias("place"), *columns)
+
+
+# sorting a whole result is the feature; the place at which each row comes is shown
+@query("sort_path", "SELECT row_number() OVER (ORDER BY string_split(path, '/') DESC, doc_id)::INT AS place, doc_id, path FROM (SELECT page_id AS doc_id, regexp_replace(url, '^[a-z]+://', '') AS path FROM pages WHERE contains(html, '<h1>')) AS p")
+def sort_path(spark: SparkSession, d: str) -> DataFrame:
+    spec = SearchSpec("<h1>", fixed_strings=True, sort="path", sort_reverse=True)
+    return _placed(S.ordered(S.files_with(C.pages(spark, d), spec), spec), "doc_id", "path")
+
+
+@query("sort_modified", f"WITH {L} SELECT row_number() OVER (ORDER BY doc_id % 7, doc_id, line_no)::INT AS place, doc_id, line_no FROM l WHERE contains(line, 'MIT')")
+def sort_modified(spark: SparkSession, d: str) -> DataFrame:
+    spec = SearchSpec("MIT", sort="modified")
+    docs = C.documents(spark, d).withColumn("mtime", F.col("doc_id") % 7)
+    return _placed(S.ordered(S.match_lines(docs, spec), spec), "doc_id", "line_no")
+
 
 # document filters, over page URLs as paths
 
@@ -164,7 +186,7 @@ def _paths(name: str, where: str, **options) -> None:
 
 
 _paths("glob_filter", "regexp_matches(path, '^[^/]*\\.example\\.com/en(/.*)?$') AND NOT regexp_matches(path, '^(.*/)?[^/]*5(/.*)?$')", globs=("*.example.com/en", "!*5"))
-_paths("depth_filter", "len(string_split(path, '/')) <= 2", max_depth=2)
+_paths("depth_filter", "len(string_split(path, '/')) <= 3", max_depth=3)
 _paths("prefix_filter", "starts_with(path, 'm.ththth.example.net/') OR path = 'm.ththth.example.net'", prefix="m.ththth.example.net")
 query("size_filter", f"SELECT doc_id, path FROM ({_PAGES} WHERE strlen(html) <= 2048) AS p")(lambda spark, d: filters.documents(C.pages(spark, d), SearchSpec("x", max_filesize="2K"), size="size").select("doc_id", "path"))
 _HID = "SELECT doc_id, (CASE WHEN doc_id % 3 = 0 THEN '.cache/' WHEN doc_id % 3 = 1 THEN 'src/' ELSE 'src/.git/' END) || source || (CASE WHEN doc_id % 2 = 0 THEN '.rs' ELSE '.py' END) AS path FROM documents"
@@ -198,6 +220,8 @@ query("search_benchmark", "WITH " + _PL.format(key="item_id", text="text", table
 # the index
 
 _indexes: dict[tuple[str, str], str] = {}
+#: Documents of tables are indexed whatever their size.
+EVERY_SIZE = 1 << 31
 
 
 def index_of(spark: SparkSession, d: str) -> str:
@@ -205,7 +229,7 @@ def index_of(spark: SparkSession, d: str) -> str:
     key = (spark.sparkContext.applicationId, d)
     if key not in _indexes:
         path = f"{work_dir(spark)}/index-{spark.sparkContext.applicationId}-{len(_indexes)}"
-        I.build(C.documents(spark, d), path, force=True)
+        I.build(C.documents(spark, d), path, force=True, max_bytes=EVERY_SIZE)
         _indexes[key] = path
     return _indexes[key]
 
@@ -247,9 +271,9 @@ def gram_df(spark: SparkSession, d: str) -> DataFrame:
     return I.posting_table(spark, index_of(spark, d)).groupBy(F.hex("ngram").alias("ngram")).agg(F.sum(F.size("doc_ids")).alias("docs"))
 
 
-@query("index_status", "SELECT TRUE AS exists, 1 AS format, count(*)::BIGINT AS num_files FROM documents")
+@query("index_status", f"WITH {_grams_sql()} SELECT TRUE AS exists, 2 AS format, (SELECT count(*) FROM documents)::BIGINT AS num_files, count(DISTINCT ngram)::BIGINT AS num_ngrams, count(*)::BIGINT AS num_postings, NULL::VARCHAR AS corpus_version, TRUE AS built, TRUE AS on_disk FROM g")
 def index_status(spark: SparkSession, d: str) -> DataFrame:
-    return I.status(spark, index_of(spark, d)).select("exists", "format", "num_files")
+    return I.status(spark, index_of(spark, d)).select("exists", "format", "num_files", "num_ngrams", "num_postings", "corpus_version", (F.col("built_at") > 0).alias("built"), (F.col("disk_bytes") > 0).alias("on_disk"))
 
 
 @query(
@@ -287,18 +311,41 @@ _pruned("pruned_icase", SearchSpec("MIT LICENSE", ignore_case=True), "regexp_mat
 _pruned("pruned_fixed", SearchSpec("2.0.", fixed_strings=True), "contains(line, '2.0.')")
 
 
-@query("candidates_literal", "SELECT doc_id FROM documents WHERE contains(text, 'Lic') AND contains(text, 'ice') AND contains(text, 'cen') AND contains(text, 'ens') AND contains(text, 'nse') AND contains(text, 'MIT') AND contains(text, 'IT ') AND contains(text, 'T L') AND contains(text, ' Li')")
+def _all(*grams: str) -> str:
+    return "(" + " AND ".join(f"contains(text, '{g}')" for g in grams) + ")"
+
+
+#: Covering n-grams, worked out by hand from the pair weights.
+_LICENSE_GRAMS = ("icen", " Li", "Lic", "ens", "nse")
+
+
+@query("candidates_literal", f"SELECT doc_id FROM documents WHERE {_all('IT Li', 'icen', 'Lic', 'MIT', 'ens', 'nse')}")
 def candidates_literal(spark: SparkSession, d: str) -> DataFrame:
-    """Documents that hold all trigrams of a literal: relational division of the postings."""
-    grams = [b"MIT License"[i : i + 3] for i in range(9)]
-    hit = I.postings(spark, index_of(spark, d)).where(F.col("ngram").isin([F.lit(g) for g in grams]))
-    return hit.groupBy("doc_id").agg(F.count_distinct("ngram").alias("n")).where(F.col("n") == len(set(grams))).select("doc_id")
+    """Documents that hold all covering n-grams of a literal."""
+    return I.matching(spark, index_of(spark, d), SearchSpec("MIT License").pruning())
+
+
+#: Pattern -> what a document needs in SQL; None if any may match.
+_STRENGTH = {
+    "license": _all("icen", "ens", "lic", "nse"),
+    "that|the": f"({_all('hat', 'tha')} OR {_all('the')})",
+    "[a-z]+": None,
+    "no such literal": _all("uch li", "liter", "no su", "era", "ral", "suc"),
+    "Apache License": _all("Apache L", *_LICENSE_GRAMS),
+    "(MIT|Public) License": f"({_all('MIT')} OR {_all('ubli', 'Pub', 'lic')}) AND {_all(*_LICENSE_GRAMS)}",
+}
+
+
+def _strength_sql(pattern: str, need: str | None) -> str:
+    n = f"count(*) FILTER (WHERE {need})" if need else "count(*)"
+    strength = f"CASE WHEN {n} = 0 OR 2 * {n} > count(*) THEN 'weak' ELSE 'strong' END" if need else "'useless'"
+    return f"SELECT '{pattern}' AS pattern, {strength} AS strength, ({n})::BIGINT AS candidates, count(*)::BIGINT AS total FROM documents"
 
 
-@query("query_strength")
+@query("query_strength", " UNION ALL ".join(_strength_sql(p, need) for p, need in _STRENGTH.items()))
 def query_strength(spark: SparkSession, d: str) -> DataFrame:
     out = None
-    for p in ("license", "that|the", "[a-z]+", "no such literal"):
+    for p in _STRENGTH:
         row = I.query_strength(spark, index_of(spark, d), SearchSpec(p)).select(F.lit(p).alias("pattern"), "*")
         out = row if out is None else out.union(row)
     return out

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import configparser
 import os
 import re
+from collections.abc import Iterable
+from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -75,6 +78,25 @@ class _Rules:
         return out
 
 
+def global_rules() -> list[str]:
+    """Lines of the user's own ignore file: core.excludesFile of the git configuration, else git/ignore in the configuration folder."""
+    home, place = os.path.expanduser("~"), os.environ.get("XDG_CONFIG_HOME") or os.path.expanduser("~/.config")
+    at = os.path.join(place, "git/ignore")
+    for name in (os.path.join(place, "git/config"), os.path.join(home, ".gitconfig")):
+        config = configparser.ConfigParser(strict=False, interpolation=None, allow_no_value=True, delimiters=("=",))
+        try:
+            with open(name, encoding="utf-8", errors="replace") as f:
+                config.read_string("\n".join(line.strip() for line in f))
+            at = os.path.expanduser(config.get("core", "excludesfile", fallback=at).strip('"'))
+        except (OSError, configparser.Error):
+            pass
+    try:
+        with open(at, encoding="utf-8", errors="replace") as f:
+            return f.readlines()
+    except OSError:
+        return []
+
+
 def walk(root: str, hidden: bool = False, follow: bool = False, ignore: bool = True, vcs_ignore: bool = True, max_depth: int | None = None) -> list[tuple[str, int, float, float, float]]:
     """(relative path, size, mtime, atime, ctime) of the files below root, by path; unreadable entries are passed over."""
     found = []
@@ -91,9 +113,11 @@ def walk(root: str, hidden: bool = False, follow: bool = False, ignore: bool = T
             except OSError:
                 pass
         if ignore and vcs_ignore and not folder:
+            if lines := global_rules():
+                own.insert(0, _Rules("", lines))
             try:
                 with open(os.path.join(root, ".git/info/exclude"), encoding="utf-8", errors="replace") as f:
-                    own.insert(0, _Rules("", f.readlines()))
+                    own.insert(bool(lines), _Rules("", f.readlines()))
             except OSError:
                 pass
         try:
@@ -122,6 +146,34 @@ def walk(root: str, hidden: bool = False, follow: bool = False, ignore: bool = T
     return found
 
 
+def path_id(path: str) -> int:
+    """doc_id of a path, the same from listing to listing."""
+    return fnv1a_64(path.encode(errors="surrogateescape")) >> 1
+
+
+_LISTING = "doc_id bigint, path string, size bigint, mtime timestamp, atime timestamp, created timestamp"
+
+
+def _at(seconds: float) -> datetime:
+    return datetime.fromtimestamp(seconds, timezone.utc)
+
+
+def listing(spark: SparkSession, root: str, **options) -> DataFrame:
+    """(doc_id, path, size, mtime, atime, created) of the files of a folder; no file is read."""
+    return spark.createDataFrame([(path_id(p), p, size, *map(_at, times)) for p, size, *times in walk(root, **options)], _LISTING)
+
+
+def skipped(root: str, files: list[tuple], most: int = SEARCH_BYTES) -> list[str]:
+    """A message for each file of a walk that won't be read."""
+    out = []
+    for path, size, *_ in files:
+        if size > most:
+            out.append(f"{path}: {size} bytes, more than {most}, not searched")
+        elif not os.access(os.path.join(root, path), os.R_OK):
+            out.append(f"{path}: can't be read")
+    return out
+
+
 class _Files(InputPartition):
     def __init__(self, files: list):
         self.files = files
@@ -130,7 +182,8 @@ class _Files(InputPartition):
 class _TreeReader(DataSourceReader):
     PART_BYTES = 64 << 20
 
-    def __init__(self, options: dict):
+    def __init__(self, options: dict, only: frozenset[str] | None):
+        self.only = only
         flag = lambda name, default: str(options.get(name, default)).lower() == "true"
         self.root = options["path"]
         self.options = {"hidden": flag("hidden", False), "follow": flag("follow", False), "ignore": flag("ignore", True), "vcs_ignore": flag("vcs_ignore", True)}
@@ -141,9 +194,9 @@ class _TreeReader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         parts, files, size = [], [], 0
         for f in walk(self.root, **self.options):
-            if f[1] > self.most:
+            if f[1] > self.most or self.only is not None and f[0] not in self.only:
                 continue
-            files.append((fnv1a_64(f[0].encode()) >> 1, *f))
+            files.append((path_id(f[0]), *f))
             size += f[1]
             if size >= self.PART_BYTES:
                 parts.append(_Files(files))
@@ -151,13 +204,10 @@ class _TreeReader(DataSourceReader):
         return [*parts, _Files(files)]
 
     def read(self, partition: InputPartition):
-        from datetime import datetime, timezone
-
-        at = lambda t: datetime.fromtimestamp(t, timezone.utc)
         for n, path, size, mtime, atime, ctime in partition.files:
             try:
                 with open(os.path.join(self.root, path), "rb") as f:
-                    yield n, path, f.read(), size, at(mtime), at(atime), at(ctime)
+                    yield n, path, f.read(), size, _at(mtime), _at(atime), _at(ctime)
             except OSError:
                 continue  # gone or unreadable
 
@@ -165,6 +215,8 @@ class _TreeReader(DataSourceReader):
 class FileTree(DataSource):
     """Files below a folder that driver and executors share, with ignore-file, hidden-file, link, depth and size rules."""
 
+    only: frozenset[str] | None = None
+
     @classmethod
     def name(cls) -> str:
         return "filetree"
@@ -173,15 +225,15 @@ class FileTree(DataSource):
         return "doc_id bigint, path string, content binary, size bigint, mtime timestamp, atime timestamp, created timestamp"
 
     def reader(self, schema) -> DataSourceReader:
-        return _TreeReader(self.options)
+        return _TreeReader(self.options, self.only)
 
 
-def file_tree(spark: SparkSession, root: str, text_mode: bool = False, **options) -> DataFrame:
+def file_tree(spark: SparkSession, root: str, text_mode: bool = False, only: Iterable[str] | None = None, **options) -> DataFrame:
     """A corpus (doc_id, path, text, size, mtime, atime, created) of a folder; binary files only with text_mode.
 
-    doc_id is a hash of the path, which stays the same from listing to listing.
+    doc_id is a hash of the path, which stays the same from listing to listing.  only: read no other paths.
     """
-    spark.dataSource.register(FileTree)
+    spark.dataSource.register(FileTree if only is None else type("SomeFiles", (FileTree,), {"only": frozenset(only)}))
     files = spark.read.format("filetree").options(path=root, **{k: str(v) for k, v in options.items()}).load()
     if not text_mode:
         files = files.where(~is_binary(F.col("content")))

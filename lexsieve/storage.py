@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import time
+import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
@@ -22,7 +25,7 @@ class Folder:
     """A folder on the file system of its path."""
 
     def __init__(self, spark: SparkSession, path: str):
-        self.jvm = spark.sparkContext._jvm
+        self.spark, self.jvm = spark, spark.sparkContext._jvm
         self.conf = spark.sparkContext._jsc.hadoopConfiguration()
         self.path = path.rstrip("/")
         self.fs = self._path("").getFileSystem(self.conf)
@@ -49,16 +52,32 @@ class Folder:
         finally:
             stream.close()
 
+    def age(self, name: str = "") -> float | None:
+        """Seconds since a file or folder was changed; None if there is none."""
+        try:
+            return max(0.0, time.time() - self.fs.getFileStatus(self._path(name)).getModificationTime() / 1000)
+        except Py4JJavaError:
+            return None
+
+    def create(self, name: str, text: str = "") -> bool:
+        """Create a file, unless it is there; whether it was created."""
+        try:
+            stream = self.fs.create(self._path(name), False)
+        except Py4JJavaError:
+            return False
+        stream.write(bytearray(text.encode()))
+        stream.close()
+        return True
+
     def publish(self, name: str, text: str) -> None:
-        """Write a file under another name, then put it in place by one rename."""
-        new = self._path(f".{name}.new")
+        """Write a file under another name, then put it in place by one rename that overwrites."""
+        new = self._path(f".{name}.{uuid.uuid4().hex}")
         stream = self.fs.create(new, True)
         try:
             stream.write(bytearray(text.encode()))
         finally:
             stream.close()
-        at = self._path(name)
-        if not self.fs.rename(new, at):
-            self.fs.delete(at, False)
-            if not self.fs.rename(new, at):
-                raise OSError(f"can't put {name} in place")
+        rename = self.jvm.org.apache.hadoop.fs.Options.Rename
+        how = self.spark.sparkContext._gateway.new_array(rename, 1)
+        how[0] = rename.OVERWRITE
+        self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.fs.getUri(), self.conf).rename(self.fs.makeQualified(new), self.fs.makeQualified(self._path(name)), how)

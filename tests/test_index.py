@@ -70,6 +70,12 @@ FIVE = [
 ]
 
 
+@pytest.fixture(autouse=True)
+def never_weak(monkeypatch):
+    """In tiny corpora every n-gram is in a large share of the documents."""
+    monkeypatch.setattr(I, "WEAK_SHARE", 1.0)
+
+
 @pytest.fixture(scope="module")
 def five(spark, tmp_path_factory):
     rows = [(i + 1, p, t) for i, (p, t) in enumerate(FIVE)]
@@ -144,7 +150,7 @@ def test_changes_and_refresh(spark, tmp_path):
     rows = lambda p: sorted((bytes(r.ngram), r.doc_id) for r in I.postings(spark, p).collect())
     assert rows(path) == rows(whole)
     third = I.build(new, path, corpus_version="v3")
-    assert third["version"] == second["version"] and I.facts(spark, path)["corpus_version"] == "v3"
+    assert third["version"] == second["version"] and third["segments"] == second["segments"] and I.facts(spark, path)["corpus_version"] == "v3"
     assert [I.is_stale(*p) for p in (("a", "a"), ("a", "b"), (None, "b"), ("a", None), (None, None))] == [False, True, True, False, False]
 
 
@@ -156,7 +162,7 @@ def test_status_faults_and_clear(spark, tmp_path):
     s = I.status(spark, str(path)).first()
     assert s.exists and s.num_files == 1 and s.num_postings >= s.num_ngrams > 0 and s.disk_bytes > 0
     good = (path / "CURRENT.json").read_text()
-    for bad in ("garbage", json.dumps({**json.loads(good), "format": 99}), json.dumps({**json.loads(good), "version": "v-gone"})):
+    for bad in ("garbage", json.dumps({**json.loads(good), "format": 99}), json.dumps({**json.loads(good), "segments": [{**json.loads(good)["segments"][0], "name": "s-gone"}]})):
         (path / ".CURRENT.json.crc").unlink(missing_ok=True)
         (path / "CURRENT.json").write_text(bad)
         with pytest.raises(I.NoIndex):
@@ -166,6 +172,96 @@ def test_status_faults_and_clear(spark, tmp_path):
     assert api.clear_index(spark, str(path)) and not I.exists(spark, str(path))
 
 
+def test_segments(spark, tmp_path, monkeypatch):
+    """A refresh adds a segment and leaves the others' files as they are; many segments are merged; all agree with a rebuild."""
+    path, rows = str(tmp_path / "i"), {i: (i, f"p{i}", f"text number {i} shared words", 0) for i in range(40)}
+    I.build(_docs(spark, list(rows.values())), path)
+    first = sorted((tmp_path / "i").glob("s-*/postings/*"))
+    for step in range(1, 4):
+        rows.pop(step)
+        rows[20 + step] = (20 + step, f"p{20 + step}", f"changed in step {step} shared words", step)
+        rows[100 + step] = (100 + step, f"new{step}", f"fresh in step {step}", 0)
+        now = _docs(spark, list(rows.values()))
+        state = I.refresh(now, path)
+        assert len(state["segments"]) == step + 1 and all(p.exists() for p in first) and state["num_files"] == 40
+        for pattern in ("changed in step", "fresh in step 2", "number 21", "shared words", "number 3"):
+            spec = SearchSpec(pattern)
+            want = sorted(tuple(r) for r in S.match_lines(now, spec).collect())
+            assert sorted(tuple(r) for r in I.search_lines(now, path, spec, current=True).collect()) == want == sorted(tuple(r) for r in I.search_lines(now, path, spec).collect())
+    monkeypatch.setattr(I, "MOST_SEGMENTS", 2)
+    rows.pop(0)
+    now = _docs(spark, list(rows.values()))
+    assert len(I.refresh(now, path)["segments"]) == 1
+    I.build(now, str(tmp_path / "w"))
+    long = lambda p: sorted((bytes(r.ngram), r.doc_id) for r in I.postings(spark, p).collect())
+    assert long(path) == long(str(tmp_path / "w"))
+    one = lambda p: I.status(spark, p).select("num_files", "num_ngrams", "num_postings").first()
+    assert one(path) == one(str(tmp_path / "w"))
+
+
+def test_append(spark, tmp_path):
+    """Batches replace documents of the same id; a batch under a known name changes nothing."""
+    path = str(tmp_path / "i")
+    docs = lambda *rows: spark.createDataFrame(rows, "doc_id bigint, text string")
+    I.append(docs((1, "alpha one"), (2, "alpha two")), path, batch="a")
+    I.append(docs((2, "beta two"), (3, "beta three")), path, batch="b")
+    again = I.append(docs((9, "lost")), path, batch="a")
+    assert again["num_files"] == 3 and _ids(I.files(spark, path)) == [1, 2, 3]
+    now = docs((1, "alpha one"), (2, "beta two"), (3, "beta three"))
+    for pattern, want in (("alpha", [1]), ("beta", [2, 3]), ("two", [2]), ("lost", [])):
+        assert _ids(I.candidates(now, path, SearchSpec(pattern), current=True)) == want
+
+
+def test_readers_and_writers(spark, tmp_path, monkeypatch):
+    """A reader that planned on an old state ends well; a second writer is refused; an abandoned lock is taken over."""
+    path = str(tmp_path / "i")
+    old, new = _docs(spark, [(1, "a", "alpha one", 1)]), _docs(spark, [(1, "a", "beta one", 2)])
+    I.build(old, path)
+    planned = I.matching(spark, path, SearchSpec("alpha").pruning())
+    I.build(new, path, force=True)
+    assert _ids(planned) == [1] and _ids(I.matching(spark, path, SearchSpec("alpha").pruning())) == []
+    (tmp_path / "i/LOCK").write_text("")
+    for write in (lambda: I.build(old, path, force=True), lambda: I.refresh(old, path), lambda: I.append(old, path)):
+        with pytest.raises(I.Locked):
+            write()
+    monkeypatch.setattr(I, "LOCK_SECONDS", -1)
+    monkeypatch.setattr(I, "KEEP_SECONDS", -1)
+    assert I.build(old, path, force=True)["num_files"] == 1 and not (tmp_path / "i/LOCK").exists()
+    assert len(list((tmp_path / "i").glob("s-*"))) == 1  # what no state names is gone
+
+
+def test_pruned_read(spark, tmp_path, monkeypatch):
+    """A pruned search reads few rows; a pattern that most documents may match doesn't look at the index."""
+    rng = np.random.default_rng(1)
+    rows = [(i, f"document {i} " + ("needle " if i == 777 else "") + "filler words " + rng.bytes(9000).hex()) for i in range(1000)]
+    docs, path = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3), str(tmp_path / "i")
+    I.build(docs, path)
+    found = I.candidates(docs, path, SearchSpec("needle"), current=True)
+    assert "PushedFilters: [EqualTo(doc_id,777)" in found._jdf.queryExecution().toString() or "PushedFilters: [IsNotNull(doc_id), EqualTo(doc_id,777)" in found._jdf.queryExecution().toString()
+    assert _ids(found) == [777]
+    read = _rows_read(found)
+    assert 0 < read <= 300
+    monkeypatch.setattr(I, "WEAK_SHARE", 0.5)
+    monkeypatch.setattr(I, "matching", None)
+    assert I.candidates(docs, path, SearchSpec("filler words")) is docs
+
+
+def _rows_read(df):
+    """Rows that the scans of a DataFrame give."""
+    df.collect()
+    plan, n, todo = df._jdf.queryExecution().executedPlan(), 0, []
+    todo.append(plan)
+    while todo:
+        p = todo.pop()
+        if p.nodeName().startswith("Scan parquet"):
+            n += p.metrics().apply("numOutputRows").value()
+        if p.nodeName() == "AdaptiveSparkPlan":
+            todo.append(p.executedPlan())
+        children = p.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    return n
+
+
 def test_duplicate_content(spark, tmp_path):
     df = _docs(spark, [(1, "a", "same text", 1), (2, "b", "same text", 1)])
     I.build(df, str(tmp_path / "i"))
@@ -201,3 +297,10 @@ def test_intersection_and_cases(spark, five):
     assert I.documents_with_all(spark, path, [b"MAX", b"no!"]).first().doc_ids == []
     found = gram_query.candidates_in_cases(I.postings(spark, path), "max_file_size")
     assert _ids(found) == [1, 2, 3]
+
+
+def test_filters_with_stored_texts(spark, five):
+    """Path filters hold for candidates that come out of the index."""
+    df, path = five
+    rows = api.search(df, SearchSpec("MAX_FILE_SIZE", globs="u*.rs"), path, "files_with", current=True)
+    assert _ids(rows) == [3]

@@ -166,7 +166,8 @@ def test_highlight_leaves_text(spark):
 
 
 def test_stream(spark, tmp_path):
-    from lexsieve.streaming.search import append_postings, match_stream
+    from lexsieve.operators import index as I
+    from lexsieve.streaming.search import append_index, match_stream
 
     spark.createDataFrame([(1, "foo\nbar"), (2, "bar")], "doc_id bigint, text string").write.parquet(str(tmp_path / "in"))
     stream = lambda: spark.readStream.schema("doc_id bigint, text string").parquet(str(tmp_path / "in"))
@@ -174,10 +175,16 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [tuple(r) for r in spark.table("found").collect()] == [(1, 1, "foo")]
-    q = append_postings(stream(), str(tmp_path / "out"), str(tmp_path / "ck"))
+    for _ in range(2):  # a restarted query goes on from its checkpoint
+        q = append_index(stream(), str(tmp_path / "out"), str(tmp_path / "ck"))
+        q.processAllAvailable()
+        q.stop()
+        spark.createDataFrame([(2, "bar again"), (3, "bar")], "doc_id bigint, text string").write.mode("append").parquet(str(tmp_path / "in"))
+    q = append_index(stream(), str(tmp_path / "out"), str(tmp_path / "ck"))
     q.processAllAvailable()
     q.stop()
-    assert {r.doc_id for r in spark.read.parquet(str(tmp_path / "out")).where("ngram = X'626172'").collect()} == {1, 2}
+    assert {r.doc_ids[0] for r in I.lookup(spark, str(tmp_path / "out"), [b"ain"]).collect()} == {2}
+    assert sorted(I.lookup(spark, str(tmp_path / "out"), [b"bar"]).first().doc_ids) == [1, 2, 3]
     with pytest.raises(ValueError):
         match_stream(stream(), SearchSpec("foo", max_results=1))
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lexsieve import api
 from lexsieve.__main__ import main
+from lexsieve.operators import index as I
 from lexsieve.operators import search as S
 from lexsieve.plans.spec import SearchSpec
 from lexsieve.sources import corpus as C
@@ -150,3 +151,53 @@ def test_command_line(spark, tree, tmp_path, monkeypatch):
     got = json.loads(api.search_response(C.file_tree(spark, tree), "import", context_lines=1))
     assert got["matches"] == [{"file": "pkg/__init__.py", "line": 1, "text": "import x"}] and got["stats"]["matches_found"] == 1
     assert "error" in json.loads(api.search_response(C.file_tree(spark, tree), "("))
+
+
+def test_tree_reads_candidates_alone(spark, tmp_path, monkeypatch, capsys):
+    """What the index rules out isn't opened; changed files are; warnings are given unless --no-messages."""
+    root = tmp_path / "tree"
+    (root / ".git").mkdir(parents=True)
+    (root / ".git/HEAD").write_text("aaa\n")
+    for i in range(30):
+        (root / f"f{i}.txt").write_text(f"file number {i} of many\n" + ("needle here\n" if i == 7 else ""))
+    monkeypatch.setenv("LEXSIEVE_INDEX_DIR", str(tmp_path / "index"))
+
+    def run(*args):
+        out = io.StringIO()
+        return main([*args], spark, out), out.getvalue(), capsys.readouterr().err
+
+    code, text, said = run("search", "needle", "--path", str(root))
+    assert (code, text) == (0, "f7.txt:needle here\n") and "no index" in said
+    assert run("index", str(root), "--max-filesize", "30", "-j", "2")[0] == 0
+    index = api.index_dir_for(spark, str(root))
+    assert I.facts(spark, index)["num_files"] == 29  # f7.txt is over the limit
+    assert run("index", str(root), "--force")[0] == 0 and I.facts(spark, index)["num_files"] == 30
+    assert run("search", "needle", "--path", str(root)) == (0, "f7.txt:needle here\n", "")
+    spec = SearchSpec("needle")
+    assert [r.path for r in api.tree(spark, str(root), spec, index).collect()] == ["f7.txt"]
+    (root / "f9.txt").write_text("another needle")
+    os.utime(root / "f9.txt", (1, 1))
+    (root / ".git/HEAD").write_text("bbb\n")
+    assert sorted(r.path for r in api.tree(spark, str(root), spec, index).collect()) == ["f7.txt", "f9.txt"]
+    code, text, said = run("search", "needle", "--path", str(root), "--sort", "path")
+    assert text == "f7.txt:needle here\nf9.txt:another needle\n" and "another commit" in said
+    assert run("search", "needle", "--path", str(root), "--sort", "path", "--no-messages")[2] == ""
+    assert C.skipped(str(root), C.walk(str(root)), 40) == []
+    assert [m.split(":")[0] for m in C.skipped(str(root), C.walk(str(root)), 30)] == ["f7.txt"]
+    assert [r.path for r in api.tree(spark, str(root), SearchSpec("number", globs="f1*.txt"), index).where("path < 'f11'").collect()] == ["f1.txt", "f10.txt"]
+
+
+def test_global_ignore(tmp_path, monkeypatch):
+    monkeypatch.setenv("HOME", str(tmp_path / "home"))
+    monkeypatch.delenv("XDG_CONFIG_HOME", raising=False)
+    (tmp_path / "home/.config/git").mkdir(parents=True)
+    (tmp_path / "t").mkdir()
+    for name in ("a.txt", "b.tmp", "c.bak"):
+        (tmp_path / "t" / name).write_text("x")
+    names = lambda **k: [f[0] for f in C.walk(str(tmp_path / "t"), **k)]
+    assert names() == ["a.txt", "b.tmp", "c.bak"]
+    (tmp_path / "home/.config/git/ignore").write_text("*.tmp\n")
+    assert names() == ["a.txt", "c.bak"]
+    (tmp_path / "home/.gitconfig").write_text("[user]\n\tname = x\n[core]\n\texcludesFile = ~/mine\n")
+    (tmp_path / "home/mine").write_text("*.bak\n")
+    assert names() == ["a.txt", "b.tmp"] and names(vcs_ignore=False) == ["a.txt", "b.tmp", "c.bak"]
