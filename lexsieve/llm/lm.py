@@ -9,8 +9,10 @@ HELD_OUT by hash of doc_id); all lower orders follow from them.  The estimate is
 with a set of weights for each bucket b of the frequency of the longest context, floor(log2(1 + c(h_4))).  The weights
 come from expectation-maximisation on the held-out counts, run as grouped sums over the table of held-out five-grams.
 
-Scoring looks every five-gram of every text up in the table of log-probabilities; that table goes to the executors if it
-is small (its size is checked), else the texts' five-grams are joined with it.
+Scoring looks every five-gram of every text up in the table of log-probabilities.  A table of up to BROADCAST_BYTES goes to
+the executors.  A larger one stays where it is: texts are cut into runs of PART_BYTES, each run asks for its distinct
+five-grams once, these are joined with the table, and runs and answers are brought together; what is shuffled is the
+texts and, for each run, its distinct five-grams, however often they occur.
 
 Defined results: null and empty texts have n_bytes 0, log_prob 0 and bits_per_byte null; texts are read whole; repeated
 rows get a row each (and count each); a null doc_id is a training document; an empty table gives an empty result;
@@ -32,6 +34,8 @@ from .tokens import buffer, slices, strings
 
 ORDER, HELD_OUT, EM_STEPS, EM_CHANGE = 5, 10, 30, 1e-4
 TERMS = ORDER + 1
+#: Text that looks its five-grams up together.
+PART_BYTES = 8 << 20
 
 
 def grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -169,30 +173,70 @@ def _looked_up(model):
         keys, logs = model.value
         for batch in batches:
             for i, texts in slices(batch.column(1)):
-                key, bounds = grams(texts)
-                order = np.argsort(key)
-                score = np.empty(len(key))
-                score[order] = logs[np.searchsorted(keys, key[order])]
-                sums = np.concatenate([[0.0], np.cumsum(score)])
-                n = np.diff(bounds)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, len(texts)), pa.array(n), pa.array(sums[bounds[1:]] - sums[bounds[:-1]])], ["doc_id", "n_bytes", "log_prob"])
+                n, total = _summed(keys, logs, texts)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, len(texts)), pa.array(n), pa.array(total)], ["doc_id", "n_bytes", "log_prob"])
 
     return run
 
 
-def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(row, doc_id, key, n) of each distinct five-gram of each row; a row without any has key -1 and n 0."""
-    row = TaskContext.get().partitionId() << 40
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text) -> (part, doc_id, text): runs of rows of about PART_BYTES of text get a number."""
+    part, size = TaskContext.get().partitionId() << 32, 0
     for batch in batches:
         for i, texts in slices(batch.column(1)):
-            key, bounds = grams(texts)
-            for d in range(len(texts)):
-                k = np.sort(key[bounds[d] : bounds[d + 1]])
-                head, n = _runs(k)
-                k, n = (k[head], n) if len(head) else (np.array([-1]), np.array([0]))
-                doc = batch.column(0).slice(i + d, 1).take(pa.array(np.zeros(len(k), np.int32)))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), row)), doc, pa.array(k), pa.array(n)], ["row", "doc_id", "key", "n"])
-                row += 1
+            rows = batch.slice(i, len(texts))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(texts), part)), rows.column(0), rows.column(1)], ["part", "doc_id", "text"])
+            size += texts.nbytes
+            if size >= PART_BYTES:
+                part, size = part + 1, 0
+
+
+def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(part, text) -> (part, key): the distinct five-grams of each part that follow one another."""
+    now, counter = None, _Counter()
+
+    def out() -> pa.RecordBatch:
+        counter.merge()
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(counter.keys), now, np.int64)), pa.array(counter.keys)], ["part", "key"])
+
+    for batch in batches:
+        part = np.asarray(batch.column(0))
+        cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(part)]
+        for a, b in zip(cuts, cuts[1:]):
+            if a == b:
+                continue
+            if now is not None and now != part[a]:
+                yield out()
+                counter = _Counter()
+            now = int(part[a])
+            for _, texts in slices(batch.column(1).slice(a, b - a)):
+                counter.add(grams(texts)[0])
+    if now is not None:
+        yield out()
+
+
+def _summed(keys: np.ndarray, logs: np.ndarray, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, log-probability) of the rows, by sorted keys."""
+    key, bounds = grams(texts)
+    order = np.argsort(key)
+    at = np.searchsorted(keys, key[order])
+    if len(key) and (at.max() >= len(keys) or (keys[at] != key[order]).any()):
+        raise AssertionError("a five-gram that wasn't counted")
+    score = np.empty(len(key))
+    score[order] = logs[at]
+    sums = np.concatenate([[0.0], np.cumsum(score)])
+    return np.diff(bounds), sums[bounds[1:]] - sums[bounds[:-1]]
+
+
+def _answered(rows: pa.Table, answers: pa.Table) -> pa.Table:
+    key, log = answers.column("key").to_numpy(), answers.column("log").to_numpy()
+    order = np.argsort(key)
+    key, log, out = key[order], log[order], []
+    ids = rows.column("doc_id").combine_chunks()
+    for i, texts in slices(rows.column("text")):
+        n, total = _summed(key, log, texts)
+        out.append(pa.table([ids.slice(i, len(texts)), pa.array(n), pa.array(total)], ["doc_id", "n_bytes", "log_prob"]))
+    return pa.concat_tables(out)
 
 
 def score(docs: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
@@ -207,8 +251,9 @@ def score(docs: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
         order = np.argsort(key)
         out = rows.mapInArrow(_looked_up(docs.sparkSession.sparkContext.broadcast((key[order], log[order]))), "doc_id bigint, n_bytes bigint, log_prob double")
     else:
-        parts = rows.mapInArrow(_exploded, "row bigint, doc_id bigint, key bigint, n bigint")
-        out = parts.join(logs, "key", "left").groupBy("row", "doc_id").agg(F.sum("n").alias("n_bytes"), F.sum(F.col("n") * F.coalesce("log", F.lit(0.0))).alias("log_prob")).drop("row")
+        parts = written(rows.mapInArrow(_parts, "part bigint, doc_id bigint, text string"), "parts")
+        answers = parts.select("part", "text").mapInArrow(_asked, "part bigint, key bigint").join(logs, "key").select("part", "key", "log")
+        out = parts.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(_answered, "doc_id bigint, n_bytes bigint, log_prob double")
     return out.select("doc_id", "n_bytes", F.round("log_prob", 4).alias("log_prob"), F.when(F.col("n_bytes") > 0, F.round(-F.col("log_prob") / F.col("n_bytes") / F.ln(F.lit(2.0)), 6)).alias("bits_per_byte"))
 
 
