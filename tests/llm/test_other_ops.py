@@ -214,10 +214,25 @@ def test_pipeline(spark, words):
 
 
 def test_pipeline_awkward(spark, awkward, nothing):
-    for docs in (awkward, nothing):
-        for _, stage in corpus_pipeline.STAGES:
-            out = stage(spark, docs, SF)
-            assert out.count() <= docs.count()
+    """What each stage keeps of nulls, empty, blank and very long texts, and repeats."""
+    shape = lambda rows: sorted(((r.doc_id is None, r.doc_id or 0, len(r.text or "")) for r in rows))
+    every = awkward.collect()
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, awkward, SF)
+        if name == "BPE encoding":
+            texts = {r.doc_id: r.text for r in every if r.doc_id is not None}
+            rows = out.collect()
+            assert len(rows) == len(every) and all(r.round_trip and (r.ids is None) == (texts[r.doc_id] is None) for r in rows if r.doc_id is not None)
+        else:
+            assert out.columns == awkward.columns
+            kept[name] = out.select("doc_id", "text").collect()
+        none = stage(spark, nothing, SF)
+        assert none.count() == 0
+    lettered = [r for r in every if any(c.isalpha() for c in r.text or "")]
+    assert {r[:2] for r in shape(kept["language ID"])} <= {r[:2] for r in shape(lettered)}
+    assert sorted(r.doc_id for r in kept["MinHash near-dedup"] if r.doc_id is not None) == [1, 4, 5, 6, 7, 8, 9, 10]
+    assert shape(kept["benchmark decontamination"]) == shape(every)  # none holds a passage
 
 
 def test_registered():

@@ -191,6 +191,101 @@ def test_posteriors(spark):
     assert got["h9/p0"].good_site > p(-9.0) + 0.01
 
 
+def test_quality_brute_force(spark, words):
+    """The whole operator, word by word: classifier, site means, combination and decision."""
+    rng = np.random.default_rng(9)
+    good, bad, plain = (["%s%d" % (c, i) for i in range(30)] for c in ("fine", "awful", "usual"))
+    rows, labels = [], []
+    for i in range(400):
+        q, t = int(rng.random() < 0.6), int(rng.random() < 0.2)
+        own = list(rng.choice(plain, 25)) + list(rng.choice(good if q else bad, 6)) + (["venom"] * 2 if t else [])
+        rng.shuffle(own)
+        rows.append((i, " ".join(own).capitalize() + ".", "en", f"h{i % 4}/p{i % 3}" if i % 5 else None, None))
+        if i % 2:
+            labels.append((i, q, t))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, good string")
+    known = spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+    by_id = {r[0]: r for r in rows}
+    bits = quality.WORD_BITS
+
+    def hashed(text):
+        """Features of a text, from the tokens one at a time."""
+        out = set()
+        for w in words(text):
+            t = tokens.tokenise(pa.array([w]))
+            out.add(int(t.hash[0]) >> (64 - bits))
+            for k in quality.PREFIXES:
+                if len(w.encode()) > k:
+                    out.add(int(t.prefixes(k)[0][0]) >> (64 - bits))
+        return out
+
+    def shape(text):
+        raw, w = text.encode(), words(text)
+        n = max(len(w), 1)
+        up, low = sum(65 <= b < 91 for b in raw), sum(97 <= b < 123 for b in raw)
+        count = lambda chars: sum(chr(b) in chars for b in raw if b < 128)
+        quiet = ".,;:'\"-?"
+        signs = sum(33 <= b < 127 and not chr(b).isalnum() and chr(b) not in quiet for b in raw)
+        return [1, up / max(up + low, 1), count("0123456789") / max(len(raw), 1), min(signs / n, 2), min(count(quiet) / n, 2), len(set(w)) / n, sum(a == b for a, b in zip(w, w[1:])) / n, math.log1p(len(w)) / 10, count(" \t\r\n") / max(len(raw), 1)]
+
+    feature = {r[0]: hashed(r[1]) for r in rows}
+    shapes = {r[0]: np.array(shape(r[1])) for r in rows}
+
+    def fit(y):
+        ids = sorted(y)
+        total, of_class = Counter(), Counter()
+        for i in ids:
+            total.update(feature[i])
+            if y[i]:
+                of_class.update(feature[i])
+        q = np.mean([y[i] for i in ids])
+        used = []
+        for f, n in total.items():
+            a = of_class[f]
+            g2 = 2 * sum(k * math.log(max(k / n / p, 1e-9)) for k, p in ((a, q), (n - a, 1 - q)))
+            if g2 >= quality.MIN_G2:
+                used.append(f)
+        used.sort()
+        x = np.array([[f in feature[i] for f in used] for i in ids], float)
+        z = np.stack([shapes[i] for i in ids])
+        both, target = np.hstack([x, z]), np.array([y[i] for i in ids], float)
+        theta, m, v = np.zeros(both.shape[1]), 0.0, 0.0
+        theta[len(used)] = math.log(q / (1 - q))
+        ridge = np.array([2e-4] * len(used) + [1e-5] * quality.SHAPE)
+        for k in range(1, 251):
+            e = (1 / (1 + np.exp(-np.clip(both @ theta, -30, 30))) - target) / len(ids)
+            g = both.T @ e + ridge * theta
+            m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+            theta = theta - 0.15 * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-8)
+        return {i: float(np.clip(sum(t for f, t in zip(used, theta) if f in feature[i]) + shapes[i] @ theta[len(used) :], -12, 12)) for i in by_id}
+
+    p = lambda z: 1 / (1 + math.exp(-z))
+    logit = lambda x: math.log(x / (1 - x))
+    where = lambda r: ("\0", "\0/en") if r[3] is None else (r[3].split("/")[0], r[3])
+    want = defaultdict(dict)
+    for name, column in (("good", 1), ("toxic", 2)):
+        z = fit({r[0]: r[column] for r in labels})
+        host, path = defaultdict(list), defaultdict(list)
+        for i, r in by_id.items():
+            host[where(r)[0]].append(p(z[i]))
+            path[where(r)].append(p(z[i]))
+        base = np.mean([p(x) for x in z.values()])
+        strength = lambda m, v: min(max(m * (1 - m) / max(v, 1e-9) - 1, 1), 1e6)
+        k = strength(base, sum(len(x) * (np.mean(x) - base) ** 2 for x in host.values()) / len(z))
+        hm = {h: (sum(x) + k * base) / (len(x) + k) for h, x in host.items()}
+        spread = sum(len(x) * (np.mean(x) - hm[h]) ** 2 for (h, _), x in path.items()) / len(z)
+        site = {s: (sum(x) + strength(hm[s[0]], spread) * hm[s[0]]) / (len(x) + strength(hm[s[0]], spread)) for s, x in path.items()}
+        for i, r in by_id.items():
+            want[i][name] = p(z[i] + quality.SITE_WEIGHT * (logit(site[where(r)]) - logit(base)))
+    got = {r.doc_id: r for r in quality.assess(docs, known).collect()}
+    assert set(got) == set(by_id)
+    for i, r in got.items():
+        assert (r.good, r.toxic) == pytest.approx((want[i]["good"], want[i]["toxic"]), abs=2e-3)
+        if min(abs(want[i]["good"] - quality.MIN_GOOD), abs(want[i]["toxic"] - quality.MAX_TOXIC)) > 5e-3:
+            assert r.keep == (want[i]["good"] >= quality.MIN_GOOD and want[i]["toxic"] < quality.MAX_TOXIC)
+    assert {r.doc_id for r in quality.keep_good(docs, known).collect()} == {i for i, r in got.items() if r.keep}
+
+
 def test_quality_awkward(spark, awkward, nothing):
     labels = spark.createDataFrame([(1, 1, 0), (1, 0, 0), (9, 1, 1), (77, 1, 0), (None, 1, 0), (8, None, None)], "doc_id bigint, quality int, toxic int")
     none = labels.where("false")
