@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..storage import work_dir
+from ..storage import Folder, work_dir
 
 #: A side of a join (or a model shipped with a Python function) up to this size may be broadcast.
 BROADCAST_BYTES = 64 << 20
@@ -37,10 +39,28 @@ def written(df: DataFrame, label: str) -> DataFrame:
     This cuts the lineage: what follows survives the loss of executors without computing `df` again.
     """
     path = f"{work_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    for tables in _watched:
+        tables.append(path)
     df.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_watched: list[list[str]] = []
+
+
+@contextmanager
+def passing(spark: SparkSession, *done: str) -> Iterator[list[str]]:
+    """Gives the list of the tables that are written meanwhile; at the end all but the last one, and `done`, are deleted."""
+    tables: list[str] = []
+    _watched.append(tables)
+    try:
+        yield tables
+    finally:
+        _watched.remove(tables)
+    for path in [*tables[:-1], *done]:
+        Folder(spark, path).delete()
+
+
 def private(df: DataFrame, *wanted: str) -> str:
     """A prefix with which no column of `df` begins, for helper columns that can't clash."""
     prefix = "__x"
