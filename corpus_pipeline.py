@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lexsieve.llm.bpe import encode
-from lexsieve.llm.common import small_batches, table, written
+from lexsieve.llm.common import passing, small_batches, table, written
 from lexsieve.llm.decontam import drop_contaminated
 from lexsieve.llm.langid import keep_identified
 from lexsieve.llm.minhash import drop_near_duplicates
@@ -53,14 +53,16 @@ STAGES = [
     ("BPE encoding", tokens),
 ]
 
-#: Hashed vectors, fitted classifiers and signatures are beyond SQL; tests/llm/test_pipeline.py checks the stages by brute force.
+#: Hashed vectors, fitted classifiers and signatures are beyond SQL; tests/llm/test_other_ops.py holds the stages against
+#: brute force (language ID and quality: test_text_ops.py).
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = written(docs, f"stage{i}")
-    return docs
+    """All stages, one after the other; a stage's own tables, and its input, are deleted when its result is written."""
+    docs, before = table(spark, sf_dir, "documents"), []
+    for i, (_, stage) in enumerate(STAGES[:-1]):
+        with passing(spark, *before) as tables:
+            docs = written(stage(spark, docs, sf_dir), f"stage{i}")
+        before = tables[-1:]
+    return STAGES[-1][1](spark, docs, sf_dir)
