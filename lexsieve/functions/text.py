@@ -43,7 +43,12 @@ def matches(line: Column, spec: SearchSpec) -> Column:
     """Whether the line has a match, before inversion; a plain string needs no regular expression."""
     if spec.literal is not None:
         return line == spec.literal if spec.line else F.contains(line, F.lit(spec.literal))
-    return line.rlike(spec.compiled.java)
+    return _having(line, spec, line.rlike(spec.compiled.java), F.lit(False))
+
+
+def _having(line: Column, spec: SearchSpec, value: Column, other: Column) -> Column:
+    """value for lines that hold a literal which every match needs, other for the rest: a plain test saves the regular expression."""
+    return F.when(F.contains(line, F.lit(spec.needed[0])), value).otherwise(other) if spec.needed else value
 
 
 def hit(line: Column, spec: SearchSpec) -> Column:
@@ -140,7 +145,7 @@ def match_count(line: Column, spec: SearchSpec) -> Column:
     """Matches in the line that don't overlap."""
     if spec.compiled.may_be_empty:
         return F.size(spans(line, spec))
-    return F.regexp_count(line, F.lit(spec.compiled.java))
+    return _having(line, spec, F.regexp_count(line, F.lit(spec.compiled.java)), F.lit(0))
 
 
 def first_column(line: Column, spec: SearchSpec) -> Column:

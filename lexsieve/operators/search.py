@@ -41,7 +41,7 @@ def _may_match(text: Column, condition: object | None) -> Column | None:
 def promising(docs: DataFrame, spec: SearchSpec) -> DataFrame:
     """Searched documents without those in which no line can match."""
     out = searched(docs, spec)
-    test = _may_match(F.col("text"), spec.pruning())
+    test = _may_match(F.col("text"), spec.pruning(1))
     return out if test is None else out.where(test)
 
 

@@ -39,12 +39,12 @@ def either(parts: list) -> object | None:
     return None if not parts or any(p is None for p in parts) else parts[0] if len(parts) == 1 else Either(tuple(parts))
 
 
-def condition(node: Node) -> object | None:
-    """The literals that every match of `node` needs."""
+def condition(node: Node, least: int = 3) -> object | None:
+    """The literals, of at least so many bytes, that every match of `node` needs."""
     if node.kind == "lit":
-        return None if node.fold or len(node.text.encode()) < 3 else Term(node.text)
+        return None if node.fold or len(node.text.encode()) < least else Term(node.text)
     if node.kind == "group":
-        return condition(node.kids[0])
+        return condition(node.kids[0], least)
     if node.kind == "cat":
         parts, run = [], ""
         for kid in node.kids:
@@ -57,15 +57,15 @@ def condition(node: Node) -> object | None:
             if exact.kind == "look" and not exact.text.startswith("(?"):
                 continue  # an assertion takes no characters
             if run:
-                parts.append(condition(Node("lit", run)))
+                parts.append(condition(Node("lit", run), least))
             run = ""
-            parts.append(condition(kid))
-        parts.append(condition(Node("lit", run)) if run else None)
+            parts.append(condition(kid, least))
+        parts.append(condition(Node("lit", run), least) if run else None)
         return both(parts)
     if node.kind == "alt":
-        return either([condition(k) for k in node.kids])
+        return either([condition(k, least) for k in node.kids])
     if node.kind == "rep" and node.low > 0:
-        return condition(node.kids[0])
+        return condition(node.kids[0], least)
     return None
 
 

@@ -97,11 +97,18 @@ class SearchSpec:
     def lines_after(self) -> int:
         return max(self.after, self.context)
 
-    def pruning(self) -> object | None:
-        """Condition on a document to hold a match; None if nothing can be said or lines without a match are wanted too."""
+    def pruning(self, least: int = 3) -> object | None:
+        """Condition on a document to hold a match, of literals of at least so many bytes; None if nothing can be said or lines without a match are wanted too."""
         if self.invert or self.passthru or self.folds:
             return None
-        return gram_query.condition(self.compiled.node)
+        return gram_query.condition(self.compiled.node, least)
+
+    @cached_property
+    def needed(self) -> tuple[str, ...]:
+        """Literals that every match holds, the longest first."""
+        found = None if self.folds else gram_query.condition(self.compiled.node, 1)
+        parts = found.parts if isinstance(found, gram_query.Both) else (found,)
+        return tuple(sorted({p.literal for p in parts if isinstance(p, gram_query.Term)}, key=lambda x: (-len(x), x)))
 
 
 def patterns_from_file(path: str) -> list[str]:
