@@ -178,6 +178,7 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def facts(spark: SparkSession, path: str) -> dict:
+    """What CURRENT says."""
     folder = Folder(spark, path)
     try:
         out = json.loads(folder.read(CURRENT))

@@ -1,4 +1,4 @@
-"""File types by name: a compact table, `name extensions / exact names`.  A star stands for any ending."""
+"""File types by name, as public line-search tools list them: a compact table, `name extensions / exact names`.  A star stands for any ending."""
 
 from __future__ import annotations
 
