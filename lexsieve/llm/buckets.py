@@ -1,9 +1,9 @@
-"""Groups of alike items out of hash buckets, without all pairs of a bucket.
+"""Groups of alike items out of hash buckets, without all pairs of a large bucket.
 
 Items of a bucket are compared with the bucket's leader, its smallest item; those that are near it are linked with it and
 leave, and the others get a leader of their own, for some rounds.  Then what the links so far leave apart in the whole
-buckets is compared pair by pair.  So a bucket of very many copies costs one comparison an item, and two items that share
-a bucket end in one group if they are near.
+buckets is compared: pair by pair in buckets of up to PAIRWISE such items, and in larger ones by an exact search that the
+caller gives, which doesn't form all pairs.  So two items that share a bucket end in one group if they are near.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ from .common import written
 from .components import components
 
 LEADER_ROUNDS = 3
+#: Buckets of up to so many unlinked items are compared pair by pair, so that work is in proportion to items.
+PAIRWISE = 64
 
 
 def _led(members: DataFrame) -> DataFrame:
@@ -29,10 +31,11 @@ def _led(members: DataFrame) -> DataFrame:
     return written(members.join(by_key, "key"), "buckets")
 
 
-def linked(members: DataFrame, verified: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def linked(members: DataFrame, verified: Callable[[DataFrame], DataFrame], search: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """members(key, id, own) -> (node, root) of the items in groups of two or more; root is the group's smallest item.
 
     A pair is looked at if it shares a key that is `own` to one of the two.  verified: pairs(a, b) -> (a, b, ok).
+    search: (key, id, root) of large buckets -> pairs(a, b), at least all near ones of unlike root in a bucket.
     """
     left = _led(members)
     buckets, found, differ = left, [], []
@@ -47,12 +50,19 @@ def linked(members: DataFrame, verified: Callable[[DataFrame], DataFrame]) -> Da
             break
     roots = written(components(reduce(DataFrame.union, found)), "linked")
     # whoever was near a leader left its bucket: all members of the whole buckets that aren't linked yet are compared
-    of = buckets.select("key", "id", "own").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    split = of.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("key")
+    of = buckets.select("key", "id", "own").join(roots.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "own", F.coalesce("root", "id").alias("root"))
+    split = of.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("n")).where("x < y").select("key", (F.col("n") > PAIRWISE).alias("large"))
     several = written(of.join(split, "key"), "unlinked")
-    if several.limit(1).count():
-        pairs = several.where("own").toDF("key", "i", "oi", "r").join(several.toDF("key", "j", "oj", "s"), "key").where("r <> s")
-        pairs = pairs.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).distinct().join(reduce(DataFrame.union, differ), ["a", "b"], "left_anti")
+    sizes = {r["large"] for r in several.select("large").distinct().collect()}
+    pairs = []
+    if False in sizes:
+        few = several.where("not large").drop("large")
+        found_here = few.where("own").toDF("key", "i", "oi", "r").join(few.toDF("key", "j", "oj", "s"), "key").where("r <> s")
+        pairs.append(found_here.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")))
+    if True in sizes:
+        pairs.append(search(several.where("large").select("key", "id", "root")))
+    if pairs:
+        pairs = reduce(DataFrame.union, pairs).distinct().join(reduce(DataFrame.union, differ), ["a", "b"], "left_anti")
         more = verified(written(pairs, "pairs")).where("ok").select("a", "b")
         if more.limit(1).count():
             roots = components(roots.toDF("a", "b").union(more))

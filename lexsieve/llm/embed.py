@@ -7,7 +7,8 @@ next: those with one hash's nearest axis replaced by a later one, in the order o
 for longer vectors, whose hashes are finer, so that recall at the threshold stays above 0.9.
 
 Equal vectors are one class, of which the least vec_id is looked up for all.  Candidates of a bucket are compared with
-its leaders (buckets.py), each pair by its cosine, and what is near is grouped: a result row for each vector, not for
+its leaders (buckets.py), each pair by its cosine, what these leave apart in large buckets by products of blocks, and what is
+near is grouped: a result row for each vector, not for
 each of the pairs of a group.
 
 Defined results: null vectors, null vec_id, vectors with null or non-finite parts and zero vectors have no row; vectors
@@ -31,6 +32,8 @@ from .tokens import U, mix
 
 THRESHOLD = 0.9
 HASHES, PROBES, SEED = 3, 4, 10
+#: Vectors of a block of a large bucket.
+BLOCK = 2048
 
 
 def tables_for(dim: int) -> int:
@@ -136,6 +139,41 @@ def _checked(threshold: float):
     return run
 
 
+def _block_pairs(threshold: float):
+    """Vectors of a cell -> their near pairs of unlike root."""
+
+    def run(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+        one, other = key[1].as_py(), key[2].as_py()
+        ids, roots, block = (t.column(c).to_numpy() for c in ("id", "root", "block"))
+        size = np.asarray(pc.binary_length(t.column("unit").combine_chunks()))
+        found = [np.zeros((0, 2), np.int64)]
+        for n in np.unique(size):
+            at = np.flatnonzero(size == n)
+            x = np.frombuffer(b"".join(t.column("unit").take(pa.array(at)).to_pylist()), "<f4").reshape(len(at), -1).astype(float)
+            left, right = np.flatnonzero(block[at] == one), np.flatnonzero(block[at] == other)
+            a, b = np.nonzero(x[left] @ x[right].T >= threshold)
+            i, j = at[left[a]], at[right[b]]
+            apart = roots[i] != roots[j]
+            found.append(np.stack([np.minimum(ids[i], ids[j])[apart], np.maximum(ids[i], ids[j])[apart]], 1))
+        pairs = np.unique(np.concatenate(found), axis=0)
+        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+    return run
+
+
+def block_pairs(items: DataFrame, units: DataFrame, threshold: float) -> DataFrame:
+    """items(key, id, root), units(vec_id, unit) -> (a, b): all near pairs of unlike root within a key.
+
+    A large bucket is cut into blocks of about BLOCK vectors; each two blocks are multiplied in a task of their own, and
+    near pairs alone leave it.
+    """
+    sizes = items.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    rows = items.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    rows = rows.join(units.withColumnRenamed("vec_id", "id"), "id").select("key", "id", "root", "block", "unit", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
+    cells = rows.select("key", F.least("block", "with").alias("one"), F.greatest("block", "with").alias("other"), "id", "root", "block", "unit")
+    return cells.groupBy("key", "one", "other").applyInArrow(_block_pairs(threshold), "a bigint, b bigint")
+
+
 def near_groups(embeddings: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """embeddings(vec_id, embedding) -> (vec_id, class_id, links), a row for each vector.
 
@@ -159,7 +197,8 @@ def near_groups(embeddings: DataFrame, threshold: float = THRESHOLD) -> DataFram
         b = hashed.select(F.col("vec_id").alias("b"), F.col("unit").alias("v"))
         return written(pairs.join(a, "a").join(b, "b").select("a", "b", "u", "v").mapInArrow(_checked(threshold), "a bigint, b bigint, ok boolean"), "verified")
 
-    roots = linked(members, verified)
+    units = hashed.select("vec_id", "unit")
+    roots = linked(members, verified, lambda items: block_pairs(items, units, threshold))
     of = classes.join(roots.toDF("rep", "root"), "rep", "left").select("print", F.coalesce("root", "rep").alias("class_id"))
     found = hashed.select("vec_id", print_of).join(of, "print").select("vec_id", "class_id")
     found = written(found, "classed")

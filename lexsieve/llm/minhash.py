@@ -3,9 +3,10 @@
 Two documents are near-duplicates if the Jaccard similarity of their sets of 3-token windows (as 48-bit hashes) reaches
 the threshold; groups are the connected components.  Documents of equal sets, by a 128-bit fingerprint, are one class, of
 which the least document is looked up for all.  Banding finds a pair of similarity s with probability
-1 - (1 - s^rows)^bands; every pair so found is compared on the whole sets, unless others link it already.
+1 - (1 - s^rows)^bands; every pair so found is compared on the whole sets, unless others link it already; in large buckets of documents that
+the leaders don't link, pairs without a rare window in common are left out, which can't be near (prefix_pairs).
 
-Defined results: null or token-less texts and null doc_id are in no group; rows that repeat a doc_id are one
+Defined results: null or token-less texts are in no group, nor is a null doc_id in near_duplicates, which gives ids; rows that repeat a doc_id are one
 document, near to whatever any of its texts is near to, but are dropped each by its own text; texts of any length
 are read whole; an empty table gives an empty result; other columns are ignored.
 """
@@ -17,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from .buckets import linked
 from .common import BROADCAST_BYTES, keyed, private, table, written
@@ -143,6 +144,40 @@ def _verified(pairs: DataFrame, sigs: DataFrame, threshold: float) -> DataFrame:
     return written(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_similar(threshold), "a bigint, b bigint, ok boolean"), "verified")
 
 
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, root, grams) -> (id, root, n, gram) of each window hash; n is the set's size."""
+    for b in batches:
+        n = np.asarray(pc.binary_length(b.column(2))).astype(np.int64) // WIDTH
+        ends, i = np.cumsum(n), 0
+        while i < b.num_rows:
+            j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + PAIR_WINDOWS, "right")))
+            at = pa.array(np.repeat(np.arange(i, j), n[i:j]))
+            gram = _unpacked(b"".join(b.column(2).slice(i, j - i).to_pylist()))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(np.repeat(n[i:j], n[i:j])), pa.array(gram.view(np.int64))], ["id", "root", "n", "gram"])
+            i = j
+
+
+def prefix_pairs(items: DataFrame, sigs: DataFrame, threshold: float) -> DataFrame:
+    """items(id, root), by sets -> (a, b): at least all pairs of unlike root whose Jaccard similarity reaches the threshold.
+
+    Each set's windows are put in the order of their frequency among the items, rarest first.  Of two near sets the
+    smaller has one of its first n - ceil(2 t / (1 + t) n) + 1 windows among the first n - ceil(t n) + 1 of the other, so
+    only sets that share such a rare window are paired; what very many items share comes last in each.
+    """
+    grams = sigs.select(F.col("doc_id").alias("id"), "grams").join(items.select("id", "root").distinct(), "id").select("id", "root", "grams")
+    windows = written(grams.mapInArrow(_windows, "id bigint, root bigint, n bigint, gram bigint"), "windows")
+    often = windows.groupBy("gram").agg(F.count("*").alias("df")).where("df > 1")
+    # windows of one item alone come first and pair nothing
+    shared = windows.join(often, "gram")
+    own = windows.groupBy("id").agg(F.count("*").alias("every")).join(shared.groupBy("id").agg(F.count("*").alias("shared")), "id").select("id", (F.col("every") - F.col("shared")).alias("alone"))
+    ranked = shared.withColumn("rank", F.row_number().over(W.partitionBy("id").orderBy("df", "gram"))).join(own, "id").withColumn("rank", F.col("rank") + F.col("alone"))
+    first = lambda share: F.col("n") - F.ceil(F.col("n") * share - 1e-9) + 1
+    prefix = written(ranked.where(F.col("rank") <= first(threshold)).select("gram", "id", "root", "n", (F.col("rank") <= first(2 * threshold / (1 + threshold))).alias("inner")), "prefixes")
+    x, y = prefix.where("inner").toDF("gram", "i", "r", "m", "f"), prefix.toDF("gram", "j", "s", "n", "g")
+    near = x.join(y, "gram").where((F.col("r") != F.col("s")) & ((F.col("m") < F.col("n")) | ((F.col("m") == F.col("n")) & (F.col("i") != F.col("j")))) & (F.col("m") >= threshold * F.col("n") - 1e-9))
+    return near.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).distinct()
+
+
 def _linked(rows: DataFrame, threshold: float) -> DataFrame:
     """rows(doc_id BIGINT, text), doc_id unique and not null -> (doc_id, group_id) of groups of two or more."""
     sigs = written(rows.mapInArrow(signatures, "doc_id bigint, fp bigint, fq bigint, bands array<bigint>, grams binary"), "signatures")
@@ -150,7 +185,7 @@ def _linked(rows: DataFrame, threshold: float) -> DataFrame:
     classes = written(sigs.groupBy("fp", "fq").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "classes")
     reps = sigs.select("doc_id", "bands").join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
     members = reps.select(F.explode("bands").alias("key"), F.col("doc_id").alias("id"), F.lit(True).alias("own"))
-    roots = linked(members, lambda pairs: _verified(pairs, sigs, threshold))
+    roots = linked(members, lambda pairs: _verified(pairs, sigs, threshold), lambda items: prefix_pairs(items, sigs, threshold))
     of = classes.join(roots.toDF("rep", "root"), "rep", "left").where("n > 1 or root is not null")
     of = written(of.select("fp", "fq", F.coalesce("root", "rep").alias("group_id")), "groups")
     return sigs.select("doc_id", "fp", "fq").join(of, ["fp", "fq"]).select("doc_id", "group_id")
@@ -176,11 +211,11 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of `docs` but those whose text is near to that of their group's kept row; all columns stay.
 
-    Kept is the row of the smallest doc_id, then text.  Rows without tokens and rows of null doc_id all stay.
+    Kept is the row of the smallest doc_id, nulls last, then text.  Rows without tokens all stay.
     """
     p = private(docs)
     docs = keyed(docs, p)
-    linked = _linked(docs.where("doc_id is not null").select(F.col(p).alias("doc_id"), "text"), threshold)
+    linked = _linked(docs.select(F.col(p).alias("doc_id"), "text"), threshold)
     gone = written(linked.where("doc_id <> group_id").select(F.col("doc_id").alias(p)), "dropped")
     if gone.count() * 16 <= BROADCAST_BYTES:
         gone = F.broadcast(gone)
