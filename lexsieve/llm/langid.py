@@ -9,31 +9,38 @@ It is accepted if that cosine is at least what texts of its length should have,
 least cosine of a length (by the power of two of its number of trigrams) is LENIENCE times the QUANTILE quantile of the
 training documents of that length; lengths that training lacks take the one of the next shorter length, else MIN_COSINE.
 
+Every row with a text and a declared language trains, and every declared language has a prototype.  The bundles are sums of
+whole numbers and the quantiles are taken from counts of all training cosines, so that neither depends on how the rows
+lie in partitions.  Prototypes of more than BROADCAST_BYTES are asked block by block.
+
 Text is lower-cased, a run of non-letters is one space, and trigrams do not cross documents.
 
 Defined results: null, empty and letterless texts have no trigram, hence lang null, cosine 0 and accepted false; very
-long texts are read whole; null declared languages, and those beyond the TRAIN_LANGS most frequent, train nothing;
-without any labelled row nothing is accepted; with one language alone the margin is the cosine; repeated rows are judged
-alike; other columns are ignored.
+long texts are read whole; rows of null declared language train nothing; without any labelled row nothing is accepted;
+with one language alone the margin is the cosine; repeated rows are judged alike; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from .common import private, table
+from .common import BROADCAST_BYTES, passing, private, table, written
 from .tokens import U, buffer, give_back, mix, slices, strings
 
 DIM = 1024
-#: Prototypes are fitted on about TRAIN_PER_LANG labelled documents, chosen by hash of doc_id, of each of the TRAIN_LANGS
-#: most frequent declared languages.
-TRAIN_PER_LANG, TRAIN_LANGS = 400, 256
+#: Labelled documents of a language that train: all.
+TRAIN_PER_LANG = math.inf
+#: Parts of unit vectors are summed as whole multiples of 1 / FINE.
+FINE = 1 << 30
+#: Rows of vectors, cosines, and languages' sums that a worker holds at once.
+ROWS, COSINES, SUMS = 2048, 1 << 20, 1024
 MIN_COSINE, MIN_MARGIN = 0.05, 0.01
 #: Least cosine of a length, and how many training documents of that length it takes to know it.
 QUANTILE, LENIENCE, KNOWN = 0.01, 0.5, 20
@@ -148,96 +155,170 @@ def _unit(v: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Model:
-    """Languages, their unit prototypes, and the least cosine for texts of 2^k trigrams, k from 0."""
+    """Blocks (languages, their unit prototypes) in order of name, and the least cosine for texts of 2^k trigrams, k from 0."""
 
-    names: list[str]
-    prototypes: np.ndarray
+    blocks: list[tuple[list[str], np.ndarray]]
     least: np.ndarray
 
-    def judge(self, vectors: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(number of the best language, its cosine, its margin, accepted) of document vectors with n trigrams."""
-        known = (n > 0) & bool(self.names)
-        cos = np.round((_unit(vectors) @ self.prototypes.T).astype(float), 6) if self.names else np.zeros((len(n), 1))
-        best = cos.argmax(1)
-        top = np.where(known, cos[np.arange(len(cos)), best], 0.0)
-        second = np.sort(cos, 1)[:, -2] if cos.shape[1] > 1 else np.zeros(len(cos))
-        margin = np.where(known, top - second, 0.0)
-        return best, top, margin, known & (top >= self.least[_length(n)]) & (margin >= MIN_MARGIN)
-
 
 def _length(n: np.ndarray) -> np.ndarray:
     return np.minimum(np.log2(np.maximum(n, 1)).astype(int), 62)
 
 
-def _least_cosines(n: np.ndarray, cosine: np.ndarray) -> np.ndarray:
-    out, last, of = np.full(63, MIN_COSINE), MIN_COSINE, _length(n)
-    for k in range(63):
-        here = cosine[of == k]
-        if len(here) >= KNOWN:
-            last = max(MIN_COSINE, LENIENCE * float(np.quantile(here, QUANTILE)))
-        out[k] = last
-    return out
+def _bundles(dim: int):
+    """mapInArrow function (lang, text) -> (lang, v), the summed vectors of some of a language's rows."""
+
+    def result(total: dict[str, np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"lang": pa.array(total, pa.string()), "v": pa.array([v.tobytes() for v in total.values()], pa.binary())})
+
+    def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        space, total = Space(dim), {}
+        for batch in batches:
+            for i, texts in slices(batch.column("text"), rows=ROWS):
+                v, _ = space.documents(texts)
+                parts = np.rint(_unit(v.astype(float)) * FINE).astype(np.int64)
+                codes = batch.column("lang").slice(i, len(texts)).dictionary_encode()
+                of = codes.indices.to_numpy()
+                order = np.argsort(of, kind="stable")
+                starts = np.flatnonzero(np.diff(of[order], prepend=-1))
+                for k, x in zip(of[order][starts].tolist(), np.add.reduceat(parts[order], starts)):
+                    name = codes.dictionary[k].as_py()
+                    total[name] = total.get(name, 0) + x
+                if len(total) > SUMS:
+                    yield result(total)
+                    total = {}
+        if total:
+            yield result(total)
+        space = None
+        give_back()
+
+    return bundle
+
+
+def _prototype(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+    total = sum(np.frombuffer(v.as_buffer(), np.int64) for v in t.column("v"))
+    return pa.table({"lang": pa.array([key[0].as_py()], pa.string()), "v": [_unit(total.astype(float)).astype(np.float32).tobytes()]})
+
+
+def prototypes(docs: DataFrame, dim: int = DIM) -> list[tuple[list[str], np.ndarray]]:
+    """The blocks of the model, fitted on all labelled rows."""
+    rows = docs.select("lang", "text").where("lang is not null and text is not null")
+    kind = "lang string, v binary"
+    every = written(rows.mapInArrow(_bundles(dim), kind).groupBy("lang").applyInArrow(_prototype, kind), "profiles")
+    names = sorted(r["lang"] for r in every.select("lang").collect())
+    most, blocks = max(1, BROADCAST_BYTES // (4 * dim)), []
+    for i in range(0, len(names), most):
+        part = names[i : i + most]
+        vectors = {r["lang"]: np.frombuffer(r["v"], np.float32) for r in every.where(F.col("lang").between(part[0], part[-1])).collect()}
+        blocks.append((part, np.stack([vectors[k] for k in part])))
+    return blocks
 
 
-def profiles(docs: DataFrame, per_lang: int = TRAIN_PER_LANG, dim: int = DIM) -> Model:
-    """The model, fitted on about `per_lang` documents of each of the most frequent declared languages."""
-    rows = docs.select("doc_id", "text", "lang").where("lang is not null and text is not null")
-    many = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(TRAIN_LANGS)
-    many = {r["lang"]: r["n"] for r in many.collect()}
-    if not many:
-        return Model([], np.zeros((0, dim), np.float32), np.full(63, MIN_COSINE))
-    share = F.create_map(*[F.lit(x) for k, n in many.items() for x in (k, min(1.0, per_lang / n))])
-    rows = rows.where(F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(1 << 30)) < F.try_element_at(share, "lang") * (1 << 30))
-
-    def bundle(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-        total, space, n, own = np.zeros(dim), Space(dim), [], []
-        for _, texts in slices(t.column("text")):
-            v, size = space.documents(texts)
-            own.append(_unit(v).astype(np.float32))
-            n.append(size)
-            total += own[-1].sum(0)
-        total = _unit(total)
-        n = np.concatenate([np.zeros(0, np.int64), *n])
-        cosines = np.concatenate([np.zeros(0), *(v @ total for v in own)])
-        return pa.table({"lang": [key[0].as_py()], "v": [total.tolist()], "n": [n[n > 0].tolist()], "cosines": [cosines[n > 0].tolist()]})
-
-    got = rows.groupBy("lang").applyInArrow(bundle, "lang string, v array<double>, n array<bigint>, cosines array<double>").collect()
-    got = sorted(got, key=lambda r: r["lang"])
-    n, cosines = (np.concatenate([np.array(r[c], float) for r in got]) for c in ("n", "cosines"))
-    return Model([r["lang"] for r in got], np.array([r["v"] for r in got], np.float32), _least_cosines(n, cosines))
-
-
-def judge(model: Model):
-    """Arrow function text -> struct(detected, cosine, margin, accepted)."""
-    kind = pa.struct([("detected", pa.string()), ("cosine", pa.float64()), ("margin", pa.float64()), ("accepted", pa.bool_())])
-
-    @F.arrow_udf("detected string, cosine double, margin double, accepted boolean")
-    def identify(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        space = Space(model.prototypes.shape[1])
-        for text in batches:
+#: Scores of a row: its length, the cosine with its declared language, the best language and cosine, the second cosine.
+SCORES = "k int, own double, detected string, cosine double, second double"
+
+
+def _score(names: list[str], vectors: np.ndarray):
+    """Arrow function (text, lang[, scores by the blocks before]) -> scores."""
+    kind = pa.struct([("k", pa.int32()), ("own", pa.float64()), ("detected", pa.string()), ("cosine", pa.float64()), ("second", pa.float64())])
+    rows = max(1, min(ROWS, COSINES // len(names)))
+
+    @F.arrow_udf(SCORES)
+    def score(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        space, known = Space(vectors.shape[1]), pa.array(names, pa.string())
+        for text, lang, *before in batches:
             parts = []
-            for _, texts in slices(text):
-                vectors, n = space.documents(texts)
-                best, top, margin, ok = model.judge(vectors, n)
-                lang = pa.array([model.names[b] if k and model.names else None for b, k in zip(best, n > 0)], pa.string())
-                parts.append(pa.StructArray.from_arrays([lang, pa.array(top), pa.array(margin), pa.array(ok)], ["detected", "cosine", "margin", "accepted"]))
+            for i, texts in slices(text, rows=rows):
+                v, n = space.documents(texts)
+                at = np.arange(len(n))
+                cos = np.round((_unit(v) @ vectors.T).astype(float), 6)
+                of = pc.fill_null(pc.index_in(lang.slice(i, len(n)), value_set=known), -1).to_numpy()
+                own = np.where(of < 0, np.nan, cos[at, of])
+                best = cos.argmax(1)
+                top = cos[at, best]
+                cos[at, best] = -np.inf
+                second, detected = cos.max(1), known.take(pa.array(best))
+                if before:
+                    was = {f: pc.struct_field(before[0].slice(i, len(n)), f) for f in ("own", "detected", "cosine", "second")}
+                    a, b = (pc.fill_null(was[f], -np.inf).to_numpy() for f in ("cosine", "second"))
+                    own = np.where(of < 0, pc.fill_null(was["own"], np.nan).to_numpy(), own)
+                    detected = pc.if_else(pa.array(top > a), detected, was["detected"])
+                    top, second = np.maximum(top, a), np.maximum(np.minimum(top, a), np.maximum(second, b))
+                columns = [pa.array(_length(n).astype(np.int32), mask=n == 0), pa.array(own, mask=np.isnan(own)), detected, pa.array(top), pa.array(second, mask=np.isinf(second))]
+                parts.append(pa.StructArray.from_arrays(columns, fields=list(kind)))
             yield pa.chunked_array(parts, kind).combine_chunks()
         space = None
         give_back()
 
-    return identify
+    return score
+
+
+def _scored(docs: DataFrame, blocks: list[tuple[list[str], np.ndarray]], p: str) -> DataFrame:
+    """`docs` with their scores as column p; beyond one block the table is written between them."""
+    if not blocks:
+        return docs.withColumn(p, F.lit(None).cast("struct<" + SCORES.replace(" ", ":").replace(",:", ",") + ">"))
+    lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
+    with passing(docs.sparkSession):
+        for i, block in enumerate(blocks):
+            docs = (written(docs, "languages") if i else docs).withColumn(p, _score(*block)("text", lang, *[p][:i]))
+    return docs
+
+
+def _least_cosines(scored: DataFrame, p: str) -> np.ndarray:
+    """The least cosine by length, from the scores of all labelled rows."""
+    counts = scored.where(f"{p}.k is not null and {p}.own is not null").groupBy(F.col(f"{p}.k"), F.round(F.col(f"{p}.own") * 1e6).cast("bigint").alias("c")).agg(F.count("*").alias("n"))
+    one = Window.partitionBy("k")
+    ranked = counts.withColumns({"upto": F.sum("n").over(one.orderBy("c")), "total": F.sum("n").over(one)})
+    low = F.floor((F.col("total") - 1) * QUANTILE)
+    near: dict[int, list] = {}
+    for r in ranked.where((F.col("upto") > low) & (F.col("upto") - F.col("n") <= low + 1)).collect():
+        near.setdefault(r["k"], []).append(r)
+    out, last = np.full(63, MIN_COSINE), MIN_COSINE
+    for k in range(63):
+        here = sorted(near.get(k, []), key=lambda r: r["c"])
+        if here and here[0]["total"] >= KNOWN:
+            at = (here[0]["total"] - 1) * QUANTILE
+            a, b = (next(r["c"] for r in here if i < r["upto"]) / 1e6 for i in (int(at), min(int(at) + 1, here[0]["total"] - 1)))
+            last = max(MIN_COSINE, LENIENCE * (a + (b - a) * (at - int(at))))
+        out[k] = last
+    return out
+
+
+def _fit(docs: DataFrame, p: str, dim: int, *drop: str) -> tuple[Model, DataFrame]:
+    """The model of all labelled rows of `docs`, and `docs` without the columns `drop` with scores as column p, written."""
+    blocks = prototypes(docs, dim)
+    scored = written(_scored(docs, blocks, p).drop(*drop), "languages")
+    return Model(blocks, _least_cosines(scored, p)), scored
+
+
+def profiles(docs: DataFrame, dim: int = DIM) -> Model:
+    """The model, fitted on all labelled rows."""
+    return _fit(docs.select("text", "lang"), "scores", dim, "text", "lang")[0]
+
+
+def _judged(model: Model, p: str) -> dict[str, Column]:
+    """detected, cosine, margin and accepted of rows with scores as column p."""
+    s = {f: F.col(f"{p}.{f}") for f in ("k", "detected", "cosine", "second")}
+    known = s["k"].isNotNull() & s["detected"].isNotNull()
+    of = lambda c: F.when(known, c)
+    margin = s["cosine"] - F.coalesce(s["second"], F.lit(0.0))
+    least = F.element_at(F.array(*map(F.lit, model.least.tolist())), s["k"] + 1)
+    accepted = of((s["cosine"] >= least) & (margin >= MIN_MARGIN))
+    return {"detected": of(s["detected"]), "cosine": F.coalesce(of(s["cosine"]), F.lit(0.0)), "margin": F.coalesce(of(margin), F.lit(0.0)), "accepted": F.coalesce(accepted, F.lit(False))}
 
 
 def identify_languages(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """docs(doc_id, text, lang) -> (doc_id, lang, detected, cosine, margin, accepted), a row for each row."""
-    identify = judge(profiles(docs) if model is None else model)
-    return docs.select("doc_id", "lang", identify("text").alias("r")).select("doc_id", "lang", "r.*")
+    docs, p = docs.select("doc_id", "text", "lang"), "scores"
+    model, scored = _fit(docs, p, DIM, "text") if model is None else (model, _scored(docs, model.blocks, p))
+    return scored.select("doc_id", "lang", *(c.alias(k) for k, c in _judged(model, p).items()))
 
 
 def keep_identified(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """The accepted rows of `docs`, with all its columns."""
-    identify, p = judge(profiles(docs) if model is None else model), private(docs)
-    return docs.withColumn(p, identify("text")).where(f"{p}.accepted").drop(p)
+    p = private(docs)
+    model, scored = _fit(docs, p, DIM) if model is None else (model, _scored(docs, model.blocks, p))
+    return scored.where(_judged(model, p)["accepted"]).drop(p)
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

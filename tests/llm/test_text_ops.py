@@ -146,6 +146,54 @@ def test_language_gibberish(spark):
     assert np.mean([r.accepted for r in langid.identify_languages(docs, model).collect()]) > 0.98
 
 
+def test_language_trains_on_all(spark):
+    """More documents of a language than round 1's sample had: prototypes and thresholds are those of every one of them."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = docs.collect()
+    assert max(Counter(r.lang for r in rows).values()) > 400
+    vectors, n = langid.Space().documents(tokens.strings(pa.array([r.text for r in rows])))
+    vectors = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-30).astype(float)
+    names = sorted({r.lang for r in rows})
+    of = np.array([names.index(r.lang) for r in rows])
+    prototypes = np.stack([vectors[of == i].sum(0) for i in range(len(names))])
+    cos = vectors @ (prototypes / np.linalg.norm(prototypes, axis=1, keepdims=True)).T
+    length, own, top = np.log2(np.maximum(n, 1)).astype(int), cos[np.arange(len(rows)), of], np.sort(cos, 1)
+    least, last = [], langid.MIN_COSINE
+    for k in range(63):
+        here = own[(length == k) & (n > 0)]
+        if len(here) >= langid.KNOWN:
+            last = max(langid.MIN_COSINE, langid.LENIENCE * np.quantile(here, langid.QUANTILE))
+        least.append(last)
+    got = {r.doc_id: r for r in langid.identify_languages(docs).collect()}
+    for r, k, c, m in zip(rows, n, top[:, -1], top[:, -1] - top[:, -2]):
+        assert (got[r.doc_id].cosine, got[r.doc_id].margin) == pytest.approx((c, m) if k else (0, 0), abs=3e-6)
+    sure = [(got[r.doc_id].accepted, k > 0 and min(slack) > 0) for r, k, *slack in zip(rows, n, top[:, -1] - np.array(least)[length], top[:, -1] - top[:, -2] - langid.MIN_MARGIN) if min(map(abs, slack)) > 1e-5]
+    assert len(sure) > 0.95 * len(rows) and all(a == b for a, b in sure)
+    model, again = langid.profiles(docs), langid.profiles(docs.repartition(5))
+    assert model.least == pytest.approx(least, abs=2e-6) and (again.least == model.least).all()
+    assert (again.blocks[0][1] == model.blocks[0][1]).all() and again.blocks[0][0] == names
+
+
+def test_many_languages(spark, monkeypatch):
+    """Hundreds of declared languages all get a prototype, also in blocks and in parts of the sums."""
+    rng = np.random.default_rng(8)
+    words = [["".join(map(chr, rng.integers(97, 123, 5))) for _ in range(12)] for _ in range(300)]
+    rows = [(3 * i + j, " ".join(rng.permutation(words[i])), f"l{i}") for i in range(300) for j in range(3)] + [(900, None, "l0"), (901, "", "none"), (902, words[0][0], None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    whole = sorted(langid.identify_languages(docs).collect(), key=lambda r: r.doc_id)
+    assert len(whole) == len(rows) and all(r.detected == r.lang and r.accepted for r in whole[:900])
+    assert [(r.detected, r.cosine, r.accepted) for r in whole[900:902]] == [(None, 0, False)] * 2 and whole[902].detected == "l0"
+    monkeypatch.setattr(langid, "BROADCAST_BYTES", 4 * langid.DIM * 70)
+    monkeypatch.setattr(langid, "SUMS", 2)
+    for df in (langid.identify_languages(docs), langid.identify_languages(docs, model := langid.profiles(docs))):
+        for a, b in zip(whole, sorted(df.collect(), key=lambda r: r.doc_id), strict=True):
+            assert (a.doc_id, a.lang, a.detected, a.accepted) == (b.doc_id, b.lang, b.detected, b.accepted)
+            assert (a.cosine, a.margin) == pytest.approx((b.cosine, b.margin), abs=3e-6)
+    assert len(model.blocks) == 5 and [k for names, _ in model.blocks for k in names] == sorted({r[2] for r in rows if r[2]})
+    kept = langid.keep_identified(docs.drop("lang"), model)
+    assert kept.columns == ["doc_id", "text"] and {r.doc_id for r in kept.collect()} == {r.doc_id for r in whole if r.accepted}
+
+
 def test_long_tokens():
     """Tokens and texts longer than what is hashed or worked on at once; the hash of a token doesn't depend on its place."""
     long = "ab" * tokens.HASH_BYTES
