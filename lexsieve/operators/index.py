@@ -2,7 +2,9 @@
 
 An index is a folder of segments, `s-...`, each with Parquet tables
 
-    postings(ngram, block, doc_ids)   inverted lists of runs of documents, sorted by ngram
+    postings(ngram, block, n, docs, doc_ids)   inverted lists of blocks (runs of documents), in ranges of ngram and sorted:
+                                      a row for each n-gram and block, with the places of the n documents, packed to about
+                                      a byte each; and a row without ngram for each block, with the doc_ids at the places
     files(doc_id, path, mtime_secs, content_hash)
     texts(doc_id, path, ..., text)    the documents themselves, sorted by doc_id in small row groups (unless store=False)
     gone-.../(doc_id)                 documents of the segment that a later refresh replaced or removed
@@ -29,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import ArrayType, LongType, StructType
 
-from ..functions.grams import posting_blocks
+from ..functions.grams import bitmap, block_lists, places, posting_blocks, sparse_grams, without
 from ..plans import gram_query
 from ..plans.spec import SearchSpec
 from ..sources.corpus import INDEX_BYTES
@@ -37,10 +39,20 @@ from ..storage import Folder
 from . import search as S
 
 FORMAT = 2
+#: How segments keep their postings; those of another layout aren't read.
+LAYOUT = "packed"
 CURRENT, LOCK = "CURRENT.json", "LOCK"
 KEEP_SECONDS, LOCK_SECONDS = 3600, 6 * 3600
-#: Corpora up to this size are spread over all cores before n-grams are extracted.
+#: Corpora up to this size are spread over all cores before n-grams are extracted, unless their stored texts are read.
 SPREAD_BYTES = 1 << 30
+#: Text whose postings, or which itself, are sorted by one task: there are as many tasks as the texts need, so that none spills.
+PART_BYTES, LEAST_PART_BYTES = 32 << 20, 2 << 20
+#: Rows, and bytes of each, that show where to cut the postings into ranges.
+CUT_ROWS, CUT_BYTES = 2000, 2048
+#: What a row of postings takes besides its list, in bytes.
+ROW_WEIGHT = 60
+#: Up to so many ids are sent to all tasks; of more, both sides of a join are shuffled.
+BROADCAST_ROWS = 1 << 20
 #: More segments than this are merged by the next refresh or append.
 MOST_SEGMENTS = 8
 #: N-grams in at least this share of a segment's documents are named in CURRENT; a document has so many n-grams at most.
@@ -79,19 +91,48 @@ def _spread(corpus: DataFrame) -> DataFrame:
     return corpus.repartition(corpus.sparkSession.sparkContext.defaultParallelism * 2) if size <= SPREAD_BYTES else corpus
 
 
-def extract_blocks(corpus: DataFrame, max_bytes: int = INDEX_BYTES) -> DataFrame:
-    """(ngram, block, doc_ids) of all distinct sparse n-grams of each document, inverted for runs of documents."""
-    rows = _prepared(_spread(corpus), max_bytes).select("doc_id", "content")
-    return rows.mapInArrow(posting_blocks, f"ngram binary, block bigint, doc_ids array<{rows.schema['doc_id'].dataType.simpleString()}>")
+def _volume(corpus: DataFrame, max_bytes: int) -> tuple[int, int]:
+    """Number and bytes of the documents that are indexed."""
+    return tuple(_prepared(corpus, max_bytes).agg(F.count("*"), F.coalesce(F.sum(F.octet_length("content").cast("bigint")), F.lit(0))).first())
 
 
-def _long(blocks: DataFrame) -> DataFrame:
-    return blocks.select("ngram", F.explode("doc_ids").alias("doc_id"))
+def _parts(spark: SparkSession, n_bytes: int) -> int:
+    return max(1, -(-n_bytes // PART_BYTES), min(spark.sparkContext.defaultParallelism, n_bytes // LEAST_PART_BYTES))
+
+
+def _cuts(contents: DataFrame, n: int, parts: int) -> np.ndarray:
+    """Keys of n-grams that cut the postings of `contents` (content), of n rows, into ranges of about the same size."""
+    if parts == 1:
+        return np.zeros(0, np.uint64)
+    head = F.substring("content", 1, CUT_BYTES).alias("content")
+    some = contents.where(F.rand(1) < 1.2 * CUT_ROWS / max(n, 1)).select(head).limit(2 * CUT_ROWS).collect()
+    keys, weights = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    if some:
+        for key, count, _ in block_lists(pa.array([bytes(r[0]) for r in some], pa.binary())):
+            keys.append(key)
+            weights.append(count + ROW_WEIGHT)
+    key, weight = np.concatenate(keys), np.concatenate(weights)
+    order = np.argsort(key)
+    ends = np.cumsum(weight[order])
+    at = np.searchsorted(ends, (np.arange(1, parts) * ends[-1]) // parts) if len(ends) else []
+    return np.unique(key[order][at])
+
+
+def extract_blocks(corpus: DataFrame, max_bytes: int = INDEX_BYTES, cuts: np.ndarray | None = None) -> DataFrame:
+    """(part, ngram, block, n, docs, doc_ids): blocks of documents and the lists of their n-grams; see posting_blocks."""
+    rows = _prepared(corpus, max_bytes).select("doc_id", "content")
+    cuts = np.zeros(0, np.uint64) if cuts is None else cuts
+    return rows.mapInArrow(posting_blocks(cuts, uuid.uuid4().hex), f"part int, ngram binary, block bigint, n int, docs binary, doc_ids array<{rows.schema['doc_id'].dataType.simpleString()}>")
 
 
 def extract(corpus: DataFrame, max_bytes: int = INDEX_BYTES) -> DataFrame:
     """(ngram, doc_id) of all distinct sparse n-grams of each document."""
-    return _long(extract_blocks(corpus, max_bytes))
+    return _prepared(_spread(corpus), max_bytes).select(F.explode(sparse_grams("content")).alias("ngram"), "doc_id")
+
+
+def extracted_counts(corpus: DataFrame, max_bytes: int = INDEX_BYTES) -> DataFrame:
+    """(ngram, n): numbers of documents that hold an n-gram, a row for each n-gram and run of documents."""
+    return extract_blocks(_spread(corpus), max_bytes).where(F.col("ngram").isNotNull()).select("ngram", "n")
 
 
 def _files(corpus: DataFrame, max_bytes: int) -> DataFrame:
@@ -112,31 +153,48 @@ def _writing(folder: Folder):
         folder.delete(LOCK)
 
 
-def _write_segment(spark: SparkSession, folder: Folder, postings: DataFrame, files: DataFrame, texts: DataFrame | None, name: str | None = None) -> dict:
-    """Write a segment; its entry for CURRENT."""
-    name = name or f"s-{uuid.uuid4().hex}"
+def _new_segment(corpus: DataFrame, folder: Folder, max_bytes: int, store: bool) -> dict:
+    """Write a segment of the documents of a corpus; its entry for CURRENT."""
+    spark, name = corpus.sparkSession, f"s-{uuid.uuid4().hex}"
+    at = f"{folder.path}/{name}"
+    n, size = _volume(corpus, max_bytes)
+    parts = _parts(spark, size)
+    if store:
+        _write_texts(_texts_of(corpus, max_bytes), at, parts)
+        corpus = spark.read.parquet(f"{at}/texts")  # read again and again instead of the corpus; evenly cut and in order
+    else:
+        corpus = _spread(corpus)
+    cuts = _cuts(_prepared(corpus, max_bytes).select("content"), n, parts)
+    _files(corpus, max_bytes).write.mode("overwrite").parquet(f"{at}/files")
+    blocks = extract_blocks(corpus, max_bytes, cuts)
+    # n-grams are taken once, and their lists shuffled once, to the range that the task has found for each
+    return _write_segment(spark, folder, blocks.repartitionById(len(cuts) + 1, "part").drop("part"), name)
+
+
+def _write_texts(texts: DataFrame, at: str, parts: int) -> None:
+    texts.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id").write.mode("overwrite").options(**TEXT_LAYOUT).parquet(f"{at}/texts")
+
+
+def _write_segment(spark: SparkSession, folder: Folder, rows: DataFrame, name: str) -> dict:
+    """Write the postings, in partitions that are ranges of n-grams, of a segment that has its files; its entry for CURRENT."""
     at = f"{folder.path}/{name}"
-    # written as it comes first, since to cut it into ranges it is read twice
-    postings.write.mode("overwrite").parquet(f"{at}/unsorted")
     # sorted by n-gram: a lookup reads the row groups whose range holds it
-    spark.read.schema(postings.schema).parquet(f"{at}/unsorted").repartitionByRange("ngram").sortWithinPartitions("ngram").write.mode("overwrite").parquet(f"{at}/postings")
-    folder.delete(f"{name}/unsorted")
-    files.write.mode("overwrite").parquet(f"{at}/files")
-    if texts is not None:
-        texts.repartitionByRange("doc_id").sortWithinPartitions("doc_id").write.mode("overwrite").options(**TEXT_LAYOUT).parquet(f"{at}/texts")
+    rows.sortWithinPartitions("ngram").write.mode("overwrite").option("parquet.enable.dictionary#docs", "false").parquet(f"{at}/postings")
     n_files = spark.read.parquet(f"{at}/files").count()
     stored = spark.read.parquet(f"{at}/postings")
-    grams = stored.groupBy(F.col("_metadata.file_name").alias("file"), "ngram").agg(F.sum(F.size("doc_ids")).alias("n"))
-    ranges = grams.groupBy("file").agg(F.hex(F.min("ngram")).alias("low"), F.hex(F.max("ngram")).alias("high"), F.count("*").alias("ngrams"), F.sum("n").alias("postings")).collect()  # a row for each file
-    common = grams.where(F.col("n") >= COMMON_SHARE * n_files).select(F.hex("ngram").alias("g"), (F.col("n") / n_files).alias("share")).collect() if n_files else []
+    lists = stored.where(F.col("ngram").isNotNull())
+    grams = lists.groupBy(F.col("_metadata.file_name").alias("file"), "ngram").agg(F.sum("n").alias("n"))
+    # the common ones are few, since a document has so many n-grams at most
+    common = F.collect_list(F.when(F.col("n") >= COMMON_SHARE * n_files, F.struct(F.hex("ngram").alias("g"), (F.col("n") / n_files).alias("share"))))
+    ranges = grams.groupBy("file").agg(F.hex(F.min("ngram")).alias("low"), F.hex(F.max("ngram")).alias("high"), F.count("*").alias("ngrams"), F.sum("n").alias("postings"), common.alias("common")).collect()  # a row for each file
     return {
-        "name": name, "num_files": n_files, "num_ngrams": sum(r["ngrams"] for r in ranges), "num_postings": sum(r["postings"] for r in ranges), "files": sorted([r["low"], r["high"], r["file"]] for r in ranges),
-        "common": {r["g"]: round(r["share"], 4) for r in common}, "id": stored.schema["doc_ids"].dataType.elementType.simpleString(), "texts": spark.read.parquet(f"{at}/texts").schema.json() if texts is not None else None, "gone": [],
+        "name": name, "layout": LAYOUT, "num_files": n_files, "num_ngrams": sum(r["ngrams"] for r in ranges), "num_postings": sum(r["postings"] for r in ranges), "files": sorted([r["low"], r["high"], r["file"]] for r in ranges),
+        "common": {c["g"]: round(c["share"], 4) for r in ranges for c in r["common"]}, "id": stored.schema["doc_ids"].dataType.elementType.simpleString(), "texts": spark.read.parquet(f"{at}/texts").schema.json() if folder.exists(f"{name}/texts") else None, "gone": [],
     }
 
 
-def _texts_of(corpus: DataFrame, max_bytes: int, store: bool) -> DataFrame | None:
-    return _indexable(corpus, max_bytes).select(*[c for c in STORED if c in corpus.columns]) if store else None
+def _texts_of(corpus: DataFrame, max_bytes: int) -> DataFrame:
+    return _indexable(corpus, max_bytes).select(*[c for c in STORED if c in corpus.columns])
 
 
 def _publish(spark: SparkSession, folder: Folder, segments: list[dict], corpus_version: str | None) -> dict:
@@ -169,8 +227,7 @@ def build(corpus: DataFrame, path: str, force: bool = False, max_bytes: int = IN
         except NoIndex:
             pass
     with _writing(folder):
-        segment = _write_segment(spark, folder, extract_blocks(corpus, max_bytes), _files(corpus, max_bytes), _texts_of(corpus, max_bytes, store))
-        return _publish(spark, folder, [segment], corpus_version)
+        return _publish(spark, folder, [_new_segment(corpus, folder, max_bytes, store)], corpus_version)
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -182,7 +239,7 @@ def facts(spark: SparkSession, path: str) -> dict:
     folder = Folder(spark, path)
     try:
         out = json.loads(folder.read(CURRENT))
-        ok = out["format"] == FORMAT and all(folder.exists(f"{s['name']}/{t}/_SUCCESS") for s in out["segments"] for t in ("postings", "files"))
+        ok = out["format"] == FORMAT and all(s["layout"] == LAYOUT for s in out["segments"]) and all(folder.exists(f"{s['name']}/{t}/_SUCCESS") for s in out["segments"] for t in ("postings", "files"))
     except Exception as e:  # unreadable in any way
         raise NoIndex(f"no readable index in {path}") from e
     if not ok:
@@ -198,9 +255,10 @@ def _live(spark: SparkSession, path: str, segment: dict, rows: DataFrame) -> Dat
 
 
 def _blocks(spark: SparkSession, path: str, segment: dict, ngrams: list[bytes] | None = None) -> DataFrame:
-    """(ngram, block, doc_ids) of a segment as stored; of some n-grams alone, out of the files whose range holds them."""
+    """(ngram, block, n, docs) of a segment as stored, also the row of each block without ngram and docs; of some n-grams
+    alone, out of the files whose range holds them."""
     at = f"{path}/{segment['name']}/postings"
-    reader = spark.read.schema(f"ngram binary, block bigint, doc_ids array<{segment['id']}>")
+    reader = spark.read.schema("ngram binary, block bigint, n int, docs binary")
     if ngrams is None:
         return reader.parquet(at)
     wanted = [g.hex().upper() for g in ngrams]
@@ -209,26 +267,46 @@ def _blocks(spark: SparkSession, path: str, segment: dict, ngrams: list[bytes] |
     return rows.where(F.col("ngram").isin([F.lit(g) for g in ngrams]))
 
 
-def _posting_table(spark: SparkSession, path: str, segments: list[dict]) -> DataFrame:
-    def of(s: dict) -> DataFrame:
-        rows = _blocks(spark, path, s)
-        if s["gone"]:
-            rows = _live(spark, path, s, rows.select("ngram", "block", F.explode("doc_ids").alias("doc_id")))
-            rows = rows.groupBy("ngram", "block").agg(F.collect_list("doc_id").alias("doc_ids"))  # as long as a block has documents
-        return rows
+def _block_ids(spark: SparkSession, path: str, segment: dict) -> DataFrame:
+    """(block, doc_ids) of a segment: what the places in its lists stand for."""
+    rows = spark.read.schema(f"ngram binary, block bigint, doc_ids array<{segment['id']}>").parquet(f"{path}/{segment['name']}/postings")
+    return rows.where(F.col("ngram").isNull()).select("block", "doc_ids")
+
 
-    return reduce(DataFrame.unionByName, map(of, segments))
+def _named(spark: SparkSession, path: str, segment: dict, rows: DataFrame) -> DataFrame:
+    """Rows with a block and `at`, places in it: with a row for each place, which has its doc_id instead."""
+    rows = rows.join(_block_ids(spark, path, segment), "block")
+    others = [c for c in rows.columns if c not in ("block", "at", "doc_ids")]
+    return rows.select(*others, F.explode(F.transform("at", lambda i: F.get("doc_ids", i))).alias("doc_id"))
+
+
+def _live_blocks(spark: SparkSession, path: str, segment: dict) -> DataFrame:
+    """(ngram, block, n, docs) of a segment without the documents that are gone from it, or n-grams that only those had."""
+    rows = _blocks(spark, path, segment).where(F.col("ngram").isNotNull())
+    if not segment["gone"]:
+        return rows
+    gone = reduce(DataFrame.unionByName, [spark.read.parquet(f"{path}/{segment['name']}/{name}") for name in segment["gone"]])
+    places_of = _block_ids(spark, path, segment).select("block", F.posexplode("doc_ids").alias("at", "doc_id"))
+    dead = places_of.join(gone, "doc_id", "left_semi").groupBy("block").agg(F.collect_list("at").alias("at")).select("block", bitmap("at").alias("dead"))
+    # a bit for each document
+    rows = rows.join(F.broadcast(dead) if segment["num_files"] <= 32 * BROADCAST_ROWS else dead, "block", "left")
+    return rows.select("ngram", "block", without("docs", "dead").alias("left")).select("ngram", "block", "left.n", "left.docs").where(F.col("n") > 0)
 
 
 def posting_table(spark: SparkSession, path: str) -> DataFrame:
-    """(ngram, block, doc_ids) of the documents in force."""
-    return _posting_table(spark, path.rstrip("/"), facts(spark, path)["segments"])
+    """(ngram, block, n, docs) of the documents in force: n of a block of documents hold the n-gram, those at the places docs."""
+    path = path.rstrip("/")
+    return reduce(DataFrame.unionByName, [_live_blocks(spark, path, s) for s in facts(spark, path)["segments"]])
+
+
+def _postings_of(spark: SparkSession, path: str, segment: dict, lists: DataFrame) -> DataFrame:
+    return _live(spark, path, segment, _named(spark, path, segment, lists.select("ngram", "block", places("docs").alias("at"))))
 
 
 def postings(spark: SparkSession, path: str) -> DataFrame:
     """(ngram, doc_id); a filter on ngram reaches the sorted files."""
     path = path.rstrip("/")
-    return reduce(DataFrame.unionByName, [_live(spark, path, s, _long(_blocks(spark, path, s))) for s in facts(spark, path)["segments"]])
+    return reduce(DataFrame.unionByName, [_postings_of(spark, path, s, _blocks(spark, path, s)).select("ngram", "doc_id") for s in facts(spark, path)["segments"]])
 
 
 def files(spark: SparkSession, path: str) -> DataFrame:
@@ -270,7 +348,7 @@ def refresh(corpus: DataFrame, path: str, max_bytes: int = INDEX_BYTES, corpus_v
         same = old.join(new, ["doc_id", "path", "mtime_secs"], "left_semi").select(F.col("path").alias("__path"))
         fresh = corpus.join(same, key == F.col("__path"), "left_anti")
         segments = [_without(spark, path, s, new) for s in before["segments"]]
-        segment = _write_segment(spark, folder, extract_blocks(fresh, max_bytes), _files(fresh, max_bytes), _texts_of(fresh, max_bytes, store))
+        segment = _new_segment(fresh, folder, max_bytes, store)
         return _publish(spark, folder, _merged(spark, folder, [*segments, segment]), corpus_version)
 
 
@@ -290,10 +368,17 @@ def _merged(spark: SparkSession, folder: Folder, segments: list[dict]) -> list[d
     live = [s for s in segments if s["num_files"] > s.get("num_gone", 0)] or segments[-1:]
     if len(live) <= MOST_SEGMENTS and 2 * sum(s.get("num_gone", 0) for s in live) <= sum(s["num_files"] for s in live):
         return live
-    texts = None
+    name, path = f"s-{uuid.uuid4().hex}", folder.path
+    at = f"{path}/{name}"
     if len({s["texts"] for s in live}) == 1 and live[0]["texts"]:
-        texts = reduce(DataFrame.unionByName, [_live(spark, folder.path, s, spark.read.parquet(f"{folder.path}/{s['name']}/texts")) for s in live])
-    return [_write_segment(spark, folder, _posting_table(spark, folder.path, live), _files_of(spark, folder.path, live), texts)]
+        texts = reduce(DataFrame.unionByName, [_live(spark, path, s, spark.read.parquet(f"{path}/{s['name']}/texts")) for s in live])
+        _write_texts(texts, at, _parts(spark, texts.agg(F.coalesce(F.sum(F.octet_length("text").cast("bigint")), F.lit(0))).first()[0]))
+    _files_of(spark, path, live).write.mode("overwrite").parquet(f"{at}/files")
+    # blocks stay as they are, with the ids of documents that are gone, which no list leads to any more
+    lists = [_live_blocks(spark, path, s).withColumn("doc_ids", F.lit(None).cast(f"array<{s['id']}>")) for s in live]
+    ids = [_block_ids(spark, path, s).select(F.lit(None).cast("binary").alias("ngram"), "block", F.size("doc_ids").alias("n"), F.lit(None).cast("binary").alias("docs"), "doc_ids") for s in live]
+    size = sum(folder.size(f"{s['name']}/postings") for s in live)
+    return [_write_segment(spark, folder, reduce(DataFrame.unionByName, lists + ids).repartitionByRange(_parts(spark, size), "ngram"), name)]
 
 
 def append(corpus: DataFrame, path: str, max_bytes: int = INDEX_BYTES, batch: str | None = None, store: bool = True) -> dict:
@@ -310,7 +395,7 @@ def append(corpus: DataFrame, path: str, max_bytes: int = INDEX_BYTES, batch: st
             before = {"segments": [], "corpus_version": None, "batches": []}
         if batch is not None and any(batch in s.get("batches", []) for s in before["segments"]):
             return before
-        segment = _write_segment(spark, folder, extract_blocks(corpus, max_bytes), _files(corpus, max_bytes), _texts_of(corpus, max_bytes, store))
+        segment = _new_segment(corpus, folder, max_bytes, store)
         ids = spark.read.parquet(f"{path}/{segment['name']}/files").select("doc_id")
         others = []
         for s in before["segments"]:
@@ -337,7 +422,7 @@ def status(spark: SparkSession, path: str) -> DataFrame:
         return spark.createDataFrame([(False, *[None] * 7)], kinds)
     ngrams, n = f["num_ngrams"], f["segments"][0]["num_postings"]
     if ngrams is None:
-        ngrams, n = posting_table(spark, path).agg(F.count_distinct("ngram"), F.coalesce(F.sum(F.size("doc_ids")), F.lit(0)).cast("bigint")).first()
+        ngrams, n = posting_table(spark, path).agg(F.count_distinct("ngram"), F.coalesce(F.sum("n"), F.lit(0)).cast("bigint")).first()
     return spark.createDataFrame([(True, f["format"], f["num_files"], ngrams, n, f["corpus_version"], f["timestamp"], Folder(spark, path).size())], kinds)
 
 
@@ -349,7 +434,8 @@ def clear(spark: SparkSession, path: str) -> bool:
 
 def lookup(spark: SparkSession, path: str, ngrams: list[bytes]) -> DataFrame:
     """(ngram, doc_ids): sorted posting lists."""
-    rows = postings(spark, path).where(F.col("ngram").isin([F.lit(g) for g in ngrams]))
+    path = path.rstrip("/")
+    rows = reduce(DataFrame.unionByName, [_postings_of(spark, path, s, _blocks(spark, path, s, ngrams)) for s in facts(spark, path)["segments"]])
     return rows.groupBy("ngram").agg(F.array_sort(F.collect_set("doc_id")).alias("doc_ids"))
 
 
@@ -402,7 +488,12 @@ def matching(spark: SparkSession, path: str, condition: object, state: dict | No
     path = path.rstrip("/")
     state = state or facts(spark, path)
     wanted = gram_query.wanted(condition)
-    return reduce(DataFrame.union, [_live(spark, path, s, gram_query.candidates_of_blocks(_blocks(spark, path, s, wanted), condition)) for s in state["segments"]])
+
+    def of(s: dict) -> DataFrame:
+        lists = _blocks(spark, path, s, wanted).select("ngram", "block", places("docs").alias("at"))
+        return _live(spark, path, s, _named(spark, path, s, gram_query.candidates_of_blocks(lists, condition)))
+
+    return reduce(DataFrame.union, [of(s) for s in state["segments"]])
 
 
 def candidates(corpus: DataFrame, path: str, spec: SearchSpec, current: bool = False) -> DataFrame:

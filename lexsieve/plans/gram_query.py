@@ -128,13 +128,12 @@ def wanted(c: object) -> list[bytes]:
 
 
 def candidates_of_blocks(blocks: DataFrame, c: object) -> DataFrame:
-    """blocks(ngram, block, doc_ids) of the wanted n-grams -> doc_id of the documents that meet the condition, each once.
+    """blocks(ngram, block, at) of the wanted n-grams -> (block, at): the places of the documents that meet the condition.
 
     Lists are intersected and united block by block, so that what is shuffled is a row for each n-gram and block.
     """
-    kind = blocks.schema["doc_ids"].dataType.simpleString()
-    lists = blocks.groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("ngram", "doc_ids"))).alias("m"))
-    none = F.array().cast(kind)
+    lists = blocks.groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("ngram", "at"))).alias("m"))
+    none = F.array().cast(blocks.schema["at"].dataType)
 
     def documents(c: object):
         if isinstance(c, Term):
@@ -146,7 +145,7 @@ def candidates_of_blocks(blocks: DataFrame, c: object) -> DataFrame:
             out = F.array_union(out, p) if isinstance(c, Either) else F.array_intersect(out, p)
         return out
 
-    return lists.select(F.explode(documents(c)).alias("doc_id"))
+    return lists.select("block", documents(c).alias("at"))
 
 
 def candidates_in_cases(postings: DataFrame, literal: str) -> DataFrame:

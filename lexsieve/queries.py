@@ -241,7 +241,7 @@ g AS (SELECT doc_id, unnest(list_distinct(list_transform(generate_series(1, (len
 @query("gram_trigrams", "WITH " + _GRAM.format(n2=6) + " SELECT ngram, count(*)::BIGINT AS docs FROM g GROUP BY ngram")
 def gram_trigrams(spark: SparkSession, d: str) -> DataFrame:
     rows = I.posting_table(spark, index_of(spark, d)).where(F.octet_length("ngram") == 3)
-    return rows.groupBy(F.hex("ngram").alias("ngram")).agg(F.sum(F.size("doc_ids")).alias("docs"))
+    return rows.groupBy(F.hex("ngram").alias("ngram")).agg(F.sum("n").alias("docs"))
 
 
 def _grams_sql() -> str:
@@ -263,12 +263,13 @@ g AS (SELECT DISTINCT doc_id, ngram FROM ({" UNION ALL ".join(parts)}) AS a)"""
 
 @query("gram_sparse", f"WITH {_grams_sql()} SELECT (length(ngram) // 2)::INT AS bytes, count(*)::BIGINT AS postings, count(DISTINCT ngram)::BIGINT AS ngrams FROM g GROUP BY length(ngram)")
 def gram_sparse(spark: SparkSession, d: str) -> DataFrame:
-    return I.extract(C.documents(spark, d)).groupBy(F.octet_length("ngram").alias("bytes")).agg(F.count("*").alias("postings"), F.count_distinct("ngram").alias("ngrams"))
+    grams = I.extracted_counts(C.documents(spark, d)).groupBy("ngram").agg(F.sum("n").alias("n"))
+    return grams.groupBy(F.octet_length("ngram").alias("bytes")).agg(F.sum("n").alias("postings"), F.count("*").alias("ngrams"))
 
 
 @query("gram_df", f"WITH {_grams_sql()} SELECT ngram, count(*)::BIGINT AS docs FROM g GROUP BY ngram")
 def gram_df(spark: SparkSession, d: str) -> DataFrame:
-    return I.posting_table(spark, index_of(spark, d)).groupBy(F.hex("ngram").alias("ngram")).agg(F.sum(F.size("doc_ids")).alias("docs"))
+    return I.posting_table(spark, index_of(spark, d)).groupBy(F.hex("ngram").alias("ngram")).agg(F.sum("n").alias("docs"))
 
 
 @query("index_status", f"WITH {_grams_sql()} SELECT TRUE AS exists, 2 AS format, (SELECT count(*) FROM documents)::BIGINT AS num_files, count(DISTINCT ngram)::BIGINT AS num_ngrams, count(*)::BIGINT AS num_postings, NULL::VARCHAR AS corpus_version, TRUE AS built, TRUE AS on_disk FROM g")
