@@ -153,11 +153,11 @@ def _writing(folder: Folder):
         folder.delete(LOCK)
 
 
-def _new_segment(corpus: DataFrame, folder: Folder, max_bytes: int, store: bool) -> dict:
-    """Write a segment of the documents of a corpus; its entry for CURRENT."""
-    spark, name = corpus.sparkSession, f"s-{uuid.uuid4().hex}"
+def _new_segment(corpus: DataFrame, folder: Folder, max_bytes: int, store: bool, volume: tuple[int, int] | None = None, name: str | None = None) -> dict:
+    """Write a segment of the documents of a corpus; its entry for CURRENT.  volume: their number and bytes, if known."""
+    spark, name = corpus.sparkSession, name or f"s-{uuid.uuid4().hex}"
     at = f"{folder.path}/{name}"
-    n, size = _volume(corpus, max_bytes)
+    n, size = volume or _volume(corpus, max_bytes)
     parts = _parts(spark, size)
     if store:
         _write_texts(_texts_of(corpus, max_bytes), at, parts)
@@ -335,23 +335,35 @@ def refresh(corpus: DataFrame, path: str, max_bytes: int = INDEX_BYTES, corpus_v
     spark = corpus.sparkSession
     folder, path = Folder(spark, path), path.rstrip("/")
     with _writing(folder):
-        before = facts(spark, path)
-        new = _prepared(corpus, max_bytes).select("doc_id", "path", "mtime_secs")
+        before, name = facts(spark, path), f"s-{uuid.uuid4().hex}"
+        # the keys of the corpus, so that its texts aren't read for each comparison
+        _prepared(corpus, max_bytes).select("doc_id", "path", "mtime_secs", F.octet_length("content").cast("bigint").alias("bytes")).write.parquet(f"{path}/{name}/keys")
+        new = spark.read.parquet(f"{path}/{name}/keys")
         old = _files_of(spark, path, before["segments"])
         found = {r["status"]: r["n"] for r in changes(old, new).groupBy("status").agg(F.count("*").alias("n")).collect()}
         if set(found) <= {"unchanged"}:
             now = {**before, "corpus_version": corpus_version}
             folder.publish(CURRENT, json.dumps(now))
+            folder.delete(name)
             return now
-        key = F.col("path" if "path" in corpus.columns else "doc_id").cast("string")
         # a document is unchanged if path, mtime and id are
-        same = old.join(new, ["doc_id", "path", "mtime_secs"], "left_semi").select(F.col("path").alias("__path"))
-        fresh = corpus.join(same, key == F.col("__path"), "left_anti")
+        fresh = new.join(old, ["doc_id", "path", "mtime_secs"], "left_anti")
+        volume = tuple(fresh.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first())
         segments = [_without(spark, path, s, new) for s in before["segments"]]
-        segment = _new_segment(fresh, folder, max_bytes, store)
+        segment = _new_segment(_only(corpus, fresh, volume[0]), folder, max_bytes, store, volume, name)
+        folder.delete(f"{name}/keys")
         return _publish(spark, folder, _merged(spark, folder, [*segments, segment]), corpus_version)
 
 
+def _only(corpus: DataFrame, keys: DataFrame, n: int) -> DataFrame:
+    """The documents of a corpus whose doc_id, path and mtime are among n keys."""
+    path = F.col("path") if "path" in corpus.columns else F.col("doc_id").cast("string")
+    mtime = F.col("mtime").cast("bigint") if "mtime" in corpus.columns else F.lit(0).cast("bigint")
+    keys = keys.select(F.col("doc_id").alias("__doc"), F.col("path").alias("__path"), F.col("mtime_secs").alias("__mtime"))
+    same = F.col("doc_id").eqNullSafe(F.col("__doc")) & path.eqNullSafe(F.col("__path")) & mtime.eqNullSafe(F.col("__mtime"))
+    return corpus.join(F.broadcast(keys) if n <= BROADCAST_ROWS else keys, same, "left_semi")
+
+
 def _without(spark: SparkSession, path: str, segment: dict, new: DataFrame) -> dict:
     """The segment's entry, with the documents that `new` (doc_id, path, mtime_secs) doesn't hold as they were marked gone."""
     was = _files_of(spark, path, [segment])
