@@ -404,6 +404,8 @@ def append(corpus: DataFrame, path: str, max_bytes: int = INDEX_BYTES, batch: st
         try:
             before = facts(spark, path)
         except NoIndex:
+            if folder.exists(CURRENT):  # of another layout, or damaged: what it holds must not be lost unsaid
+                raise
             before = {"segments": [], "corpus_version": None, "batches": []}
         if batch is not None and any(batch in s.get("batches", []) for s in before["segments"]):
             return before
